@@ -26,16 +26,22 @@ STRFTIME = {
 
 def java_pattern(fmt: str) -> str:
     """A strftime pattern as a Spark datetime pattern; other letters are quoted."""
-    out, i = [], 0
-    while i < len(fmt):
-        ch = fmt[i]
+    out, letters, i = [], "", 0
+    while i <= len(fmt):
+        ch = fmt[i] if i < len(fmt) else ""
+        if ch.isalpha():  # a run of plain letters is quoted as one
+            letters, i = letters + ch, i + 1
+            continue
+        if letters:
+            out.append(f"'{letters}'")
+            letters = ""
         if ch == "%" and i + 1 < len(fmt):
             if fmt[i + 1] not in STRFTIME:
                 raise OpError(f"date directive %{fmt[i + 1]} is not supported")
             out.append(STRFTIME[fmt[i + 1]])
             i += 2
             continue
-        out.append(f"'{ch}'" if ch.isalpha() else ("''" if ch == "'" else ch))
+        out.append("''" if ch == "'" else ch)
         i += 1
     return "".join(out)
 

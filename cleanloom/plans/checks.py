@@ -405,7 +405,7 @@ def assess_risk(df: DataFrame, plan: Mapping, is_deployed: bool = False) -> Data
     out = out.withColumn("removal_percent", F.bround(removed * 100, 1)).withColumn("reasons", F.array_compact(F.array(*fixed, risky)))
     n = F.size("reasons")
     level = F.when(n == 0, "none").when(F.lit(is_deployed) | (n > 1), "high").otherwise("moderate")
-    return out.withColumn("reasons", F.array_join("reasons", "; ")).withColumn("risk_level", level)
+    return out.withColumn("risk_level", level).withColumn("reasons", F.array_join("reasons", "; "))
 
 
 def removed_sample(df: DataFrame, plan: Mapping, n: int = 3) -> DataFrame:
