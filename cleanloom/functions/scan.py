@@ -371,7 +371,7 @@ def _edges(c: Chunked, cells: Column, size: int, forward: bool) -> DataFrame:
         c.df.select(*by, cells.alias("__cell"), F.row_number().over(c.window(reverse=forward)).alias("__d"))
         .where(F.col("__d") <= size)
         .groupBy(*by)
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("__d") if forward else F.col("__d")).alias("d"), "__cell"))).alias("__e"))
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("__d") if forward else F.col("__d")).alias("d"), "__cell"))).alias("__e"))
     )
     w = c.group_window(reverse=not forward)
     lists = F.collect_list("__e").over(w.rowsBetween(-size, -1))

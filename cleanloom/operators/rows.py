@@ -139,7 +139,7 @@ def _ordered_text(df: DataFrame, by: Sequence[str], column: str, keys: Sequence[
     item = F.struct(*[scan._sort_value(c.df, k).alias(f"s{i}") for i, k in enumerate(c.keys)], text(df, column).alias("v"))
 
     def joined(items: Column) -> Column:
-        return F.array_join(F.transform(F.array_sort(items), lambda x: x["v"]), ", ")
+        return F.array_join(F.transform(F.sort_array(items), lambda x: x["v"]), ", ")
 
     part = c.df.groupBy(*[col(b) for b in by], col(c.chunk)).agg(joined(F.collect_list(item)).alias("v"))
     pieces = F.collect_list(F.struct(col(c.chunk).alias("c"), F.col("v")))

@@ -68,14 +68,14 @@ def union_tables(df: DataFrame, other_tables, match_columns: bool = True) -> Dat
 
 
 def lookup(df: DataFrame, lookup_table: DataFrame, lookup_column: str, lookup_key: str, return_columns, default_value=None,
-           order_by=None) -> DataFrame:
-    """First row per key of the lookup table; misses and null hits take the default."""
+           lookup_order=None) -> DataFrame:
+    """First row per key of the lookup table, in ``lookup_order``; misses and null hits take the default."""
     names = as_list(return_columns)
     need(df, [lookup_column])
     need(lookup_table, [lookup_key, *names])
-    side = lookup_table if not order_by else lookup_table.select(
-        *dict.fromkeys([lookup_key, *names, *[k.name for k in scan.keys_of(order_by)]]))
-    first = remove_duplicates(side, [lookup_key], "first", order_by)
+    side = lookup_table if not lookup_order else lookup_table.select(
+        *dict.fromkeys([lookup_key, *names, *[k.name for k in scan.keys_of(lookup_order)]]))
+    first = remove_duplicates(side, [lookup_key], "first", lookup_order)
     first = first.select(col(lookup_key).alias(lookup_column), *[F.struct(col(n).alias("v")).alias(f"__v{i}") for i, n in enumerate(names)])
     out = attach(df, first, [lookup_column])
     for i, n in enumerate(names):

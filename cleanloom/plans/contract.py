@@ -134,7 +134,7 @@ def alternative_names(name: Column) -> Column:
             got = every.setdefault(_plain(n), [])
             got += [x for x in names if x not in got]
     same = F.coalesce(F.try_element_at(_lookup(every), normal_name(name)), F.array().cast("array<string>"))
-    return F.array_sort(F.array_remove(F.array_union(F.array_distinct(spelled), same), name))
+    return F.sort_array(F.array_remove(F.array_union(F.array_distinct(spelled), same), name))
 
 
 def generate_contract(profile: DataFrame, contract_id: str = "contract", mark_all_required: bool = True) -> DataFrame:
@@ -150,7 +150,7 @@ def generate_contract(profile: DataFrame, contract_id: str = "contract", mark_al
 def fingerprint(contract: DataFrame) -> DataFrame:
     """(contract_id, fingerprint): the first 16 hex digits of SHA-256 over name:semantic:dtype in column order."""
     item = F.struct("position", F.concat_ws(":", "name", "semantic_type", "dtype").alias("t"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), "|")  # one entry per column
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["t"]), "|")  # one entry per column
     return contract.groupBy("contract_id").agg(F.substring(F.sha2(joined, 256), 1, 16).alias("fingerprint"))
 
 
@@ -160,7 +160,7 @@ CANDIDATE = "array<struct<score:double,place:int,target:string,match_type:string
 def _candidates(incoming: DataFrame, contract: DataFrame, values: bool) -> DataFrame:
     """Each incoming column with the contract columns it may become, best first."""
     fields = ["position", "name", "alternative_names", "semantic_type", "dtype", "sample_values", "required"]
-    wide = contract.groupBy("contract_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("targets"))  # one entry per column
+    wide = contract.groupBy("contract_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("targets"))  # one entry per column
     both = incoming.join(wide, "contract_id")
     w_name, w_type, w_value, floor = (0.5, 0.3, 0.2, 0.4) if values else (0.6, 0.4, 0.0, 0.5)
 
@@ -183,7 +183,7 @@ def map_columns(incoming: DataFrame, contract: DataFrame, values: bool = True) -
     Result: one row per (file, contract_id) with the arrays ``mappings``, ``unmapped`` and ``targets``.
     """
     cand = _candidates(incoming, contract, values)
-    cols = F.array_sort(F.collect_list(F.struct("position", F.col("column").alias("name"), "candidates")))  # one entry per column
+    cols = F.sort_array(F.collect_list(F.struct("position", F.col("column").alias("name"), "candidates")))  # one entry per column
     wide = cand.groupBy("file", "contract_id").agg(cols.alias("cols"), F.first("targets").alias("targets"))
     kind = "array<struct<incoming:string,target:string,score:double,match_type:string,type_ok:boolean,dtype_ok:boolean>>"
 

@@ -146,6 +146,7 @@ def run_plan(df: DataFrame, steps: Sequence[Mapping], tables: Mapping[str, DataF
             reports.append(StepReport(step.get("op", ""), False, str(e)))
             if stop_on_error:
                 return PlanResult(original, False, reports)
+            continue
         if count_rows:
             counts.append(df.agg(F.lit(i + 1).alias("step"), F.lit(step.get("op")).alias("op"), F.count(F.lit(1)).alias("rows")))
     total = None

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import quantiles, textfn
-from ..functions.core import as_list, attach, col, is_numeric, need, numeric_columns, per_column, rows_frame, text, type_class
+from ..functions.core import as_list, col, is_numeric, need, numeric_columns, per_column, rows_frame, text, type_class
 
 # value patterns, in order of preference, with the semantic type and the layout they stand for (fixed values)
 PATTERNS = (
@@ -49,13 +49,27 @@ def value_counts(df: DataFrame, columns=None) -> DataFrame:
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _whole(counts: DataFrame) -> DataFrame:
+    """Keep the count column in use, so that every reader of the value counts has
+    the same plan and Spark shuffles them once (exchange reuse)."""
+    return counts.where("count > 0")
+
+
+def _merge(sides: Sequence[DataFrame]) -> DataFrame:
+    """One row per column from frames with one row per column: a union and one small aggregate, no joins."""
+    out = sides[0]
+    for side in sides[1:]:
+        out = out.unionByName(side, allowMissingColumns=True)
+    return out.groupBy("column").agg(*[F.first(c, ignorenulls=True).alias(c) for c in out.columns if c != "column"])
+
+
 def value_metrics(counts: DataFrame) -> DataFrame:
     """Per column, from its value counts: uniques, text flags, pattern hits, boolean words, smallest-hash samples."""
     v, n = F.col("value"), F.col("count")
     clean = textfn.strip(v)
     weigh = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
     hits = [weigh(clean.rlike(p)).alias(f"hit_{name}") for name, p, _, _ in PATTERNS]
-    return counts.groupBy("column").agg(
+    return _whole(counts).groupBy("column").agg(
         F.sum(n).alias("filled"), F.count(F.lit(1)).alias("unique_count"),
         weigh(v == "").alias("empty_string_count"), weigh((clean == "") & (v != "")).alias("whitespace_only_count"),
         weigh((clean != v) & (v != "")).alias("edge_whitespace_count"),
@@ -64,7 +78,7 @@ def value_metrics(counts: DataFrame) -> DataFrame:
 
 def lower_uniques(counts: DataFrame) -> DataFrame:
     """Per column: distinct values ignoring case."""
-    low = counts.groupBy("column", F.lower("value").alias("low")).agg(F.lit(1).alias("one"))
+    low = _whole(counts).groupBy("column", F.lower("value").alias("low")).agg(F.lit(1).alias("one"))
     return low.groupBy("column").agg(F.count(F.lit(1)).alias("unique_lower_count"))
 
 
@@ -75,9 +89,9 @@ def top_values(counts: DataFrame, total: Column, n: int = 10) -> DataFrame:
     values sends n rows per task.
     """
     w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value"))
-    best = counts.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
+    best = _whole(counts).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
     cell = F.struct(F.col("__rn").alias("rank"), F.col("value"), F.col("count"), F.bround(F.col("count") / total * 100, 1).alias("percent"))
-    return best.groupBy("column").agg(F.array_sort(F.collect_list(cell)).alias("top_values"))
+    return best.groupBy("column").agg(F.sort_array(F.collect_list(cell)).alias("top_values"))
 
 
 def samples(counts: DataFrame, n: int = 5) -> DataFrame:
@@ -87,8 +101,8 @@ def samples(counts: DataFrame, n: int = 5) -> DataFrame:
     of two sample lists a fair estimate of the overlap of the columns.
     """
     w = Window.partitionBy("column").orderBy(F.xxhash64("value"), F.col("value"))
-    few = counts.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
-    return few.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("__rn", "value"))).alias("s")).select(
+    few = _whole(counts).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
+    return few.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("__rn", "value"))).alias("s")).select(
         "column", F.transform("s", lambda x: x["value"]).alias("sample_values"))
 
 
@@ -104,15 +118,16 @@ def statistics(df: DataFrame, columns=None) -> DataFrame:
         fix = F.when(n > 2, F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
         stats[c] = {"n": F.count(x), "min_value": F.min(x), "max_value": F.max(x), "mean": F.avg(x), "std": F.stddev(x),
                     "skewness": F.skewness(x) * fix}
-    moments = per_column(df, stats)
     rows = df.count()
     if rows <= quantiles.small_limit(df):
-        quart = per_column(df, {c: {"q": F.percentile(col(c).cast("double"), F.array(F.lit(.25), F.lit(.5), F.lit(.75)))} for c in names})
-        quart = quart.select("column", F.get("q", F.lit(0)).alias("q0"), F.get("q", F.lit(1)).alias("q1"), F.get("q", F.lit(2)).alias("q2"))
+        for c in names:
+            stats[c]["q"] = F.percentile(col(c).cast("double"), F.array(F.lit(.25), F.lit(.5), F.lit(.75)))
+        both = per_column(df, stats)
+        both = both.select("*", *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(3)]).drop("q")
     else:
         pairs = [F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("value")) for c in names]
-        quart = quantiles.quantiles(df.select(F.inline(F.array(*pairs))), ["column"], "value", [0.25, 0.5, 0.75], rows * len(names))
-    both = attach(moments, quart, ["column"])
+        long = df.select(F.inline(F.array(*pairs)))
+        both = _merge([per_column(df, stats), quantiles.quantiles(long, ["column"], "value", [0.25, 0.5, 0.75], rows * len(names))])
     spread = F.col("q2") - F.col("q0")
     both = both.withColumn("lower_bound", F.col("q0") - 1.5 * spread).withColumn("upper_bound", F.col("q2") + 1.5 * spread)
     # second pass: count values outside the fences
@@ -120,7 +135,8 @@ def statistics(df: DataFrame, columns=None) -> DataFrame:
     outside = per_column(df.withColumn("__m", fences), {
         c: {"outlier_count": F.count_if((col(c) < F.try_element_at("__m", F.lit(c))["lower_bound"])
                                         | (col(c) > F.try_element_at("__m", F.lit(c))["upper_bound"]))} for c in names})
-    out = attach(both, outside, ["column"]).where("n >= 2")
+    out = _merge([both, outside]).where("n >= 2")
+    spread = F.col("q2") - F.col("q0")
     r4 = lambda c: F.bround(c, 4)
     return out.select("column", "min_value", "max_value", r4("mean").alias("mean"), r4("q1").alias("median"), r4("std").alias("std"),
                       r4("q0").alias("q1"), r4("q2").alias("q3"), r4("skewness").alias("skewness"), "outlier_count",
@@ -157,16 +173,14 @@ def profile_table(df: DataFrame) -> DataFrame:
                         "position int, column string, dtype string")
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     counts = value_counts(df)
-    out = schema.withColumn("row_count", total)
-    for side in (value_metrics(counts), lower_uniques(counts), samples(counts), top_values(counts, total)):
-        out = attach(out, side, ["column"])
+    sides = [schema, value_metrics(counts), lower_uniques(counts), samples(counts), top_values(counts, total)]
     names = numeric_columns(df)
     if names:
-        out = attach(out, statistics(df, names), ["column"])
-    else:
-        out = out.select("*", *[F.lit(None).cast("double").alias(c) for c in (
-            "min_value", "max_value", "mean", "median", "std", "q1", "q3", "skewness")], F.lit(None).cast("bigint").alias("outlier_count"),
-            F.lit(None).cast("double").alias("lower_bound"), F.lit(None).cast("double").alias("upper_bound"))
+        sides.append(statistics(df, names))
+    out = _merge(sides).withColumn("row_count", total)
+    missing = {"min_value": "double", "max_value": "double", "mean": "double", "median": "double", "std": "double", "q1": "double", "q3": "double",
+               "skewness": "double", "outlier_count": "bigint", "lower_bound": "double", "upper_bound": "double"}
+    out = out.withColumns({c: F.lit(None).cast(k) for c, k in missing.items() if c not in out.columns})
     numeric = F.col("dtype").isin("int64", "float64")
     meaning = semantic_type(F.col("column"), numeric)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -239,4 +253,4 @@ def casing_examples(df: DataFrame, column: str, n: int = 3) -> DataFrame:
     w = Window.partitionBy("low").orderBy("value")
     few = counts.select(low.alias("low"), "value").join(best.select("low"), "low", "left_semi")
     few = few.withColumn("__rn", F.row_number().over(w)).where("__rn <= 3")
-    return few.groupBy("low").agg(F.array_sort(F.collect_list("value")).alias("variants"))
+    return few.groupBy("low").agg(F.sort_array(F.collect_list("value")).alias("variants"))

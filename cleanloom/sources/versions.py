@@ -76,9 +76,9 @@ def lineage(nodes: DataFrame, node_id: str, depth: int = 3) -> DataFrame:
     return nodes.sparkSession.sql(
         """
         WITH RECURSIVE chain(id, parent_id, level) AS (
-          SELECT id, parent_id, 1 FROM {nodes} WHERE id = {node}
+          SELECT id, parent_id, 1 FROM {nodes} WHERE id = :node
           UNION ALL
-          SELECT n.id, n.parent_id, c.level + 1 FROM {nodes} n JOIN chain c ON n.id = c.parent_id WHERE c.level < {depth}
+          SELECT n.id, n.parent_id, c.level + 1 FROM {nodes} n JOIN chain c ON n.id = c.parent_id WHERE c.level < :depth
         )
         SELECT n.*, c.level FROM chain c JOIN {nodes} n ON n.id = c.id ORDER BY c.level DESC
-        """, nodes=nodes, node=F.lit(node_id), depth=F.lit(depth))
+        """, args={"node": node_id, "depth": int(depth)}, nodes=nodes)

@@ -21,8 +21,9 @@ ORDER = ("source_file", "row_block", "row_id")
 
 def arriving_files(spark: SparkSession, folder: str, pattern: str = "*.csv", max_files: int = 1000) -> DataFrame:
     """(path, length, modificationTime) of new files; the content column is never read."""
-    return (spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files)
-            .load(folder).select("path", "length", "modificationTime"))
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    return (spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern)
+            .option("maxFilesPerTrigger", max_files).load(folder).select("path", "length", "modificationTime"))
 
 
 def run_files(spark: SparkSession, paths: list[str], module: Module, out: str, batch: int, force: bool = False) -> None:

@@ -118,7 +118,7 @@ Q = {
     "match_schema": (
         lambda s, d: N.match_schema(incoming(s, d), contract(s, d)).selectExpr("file", "size(mappings) AS mapped", "size(missing_required) AS missing", "level", "is_compatible", "auto_processable"),
         """SELECT f AS file, m::INTEGER AS mapped, x::INTEGER AS missing, l AS level, c AS is_compatible, a AS auto_processable FROM (VALUES ('same', 5, 0, 'HIGH', true, true), ('renamed', 5, 0, 'HIGH', true, true),
-           ('fewer', 3, 2, 'LOW', true, false)) v(f, m, x, l, c, a) WHERE (SELECT count(*) FROM customer) > 0"""),
+           ('fewer', 3, 2, 'LOW', true, false), ('other', 0, 5, 'NO_MATCH', false, false)) v(f, m, x, l, c, a) WHERE (SELECT count(*) FROM customer) > 0"""),
     "match_mappings": (
         lambda s, d: N.match_schema(incoming(s, d), contract(s, d)).where("file <> 'other'").selectExpr("file", "inline(mappings)").selectExpr("file", "incoming", "target", "match_type", "type_ok", "dtype_ok"),
         """SELECT f AS file, i AS incoming, g AS target, m AS match_type, true AS type_ok, true AS dtype_ok FROM (VALUES ('same', 'c_custkey', 'c_custkey', 'exact'), ('same', 'c_name', 'c_name', 'exact'),
