@@ -90,7 +90,8 @@ def top_values(counts: DataFrame, total: Column, n: int = 10) -> DataFrame:
     """
     w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value"))
     best = _whole(counts).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
-    cell = F.struct(F.col("__rn").alias("rank"), F.col("value"), F.col("count"), F.bround(F.col("count") / total * 100, 1).alias("percent"))
+    best = best.withColumn("percent", F.bround(F.col("count") / total * 100, 1))
+    cell = F.struct(F.col("__rn").alias("rank"), "value", "count", "percent")
     return best.groupBy("column").agg(F.sort_array(F.collect_list(cell)).alias("top_values"))
 
 
