@@ -6,15 +6,42 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .core import OpError, col, is_string, is_temporal
 
-# Layouts tried in this order; month first, so d/M/yyyy only takes days above 12.
+# (shape of the text, layout), tried in this order. Month first: d/M/yyyy only takes days above 12.
+# The shape keeps a layout's parser away from text it cannot read.
+DAY, CLOCK, CLOCK_S, AMPM = r"\d{1,2}", r"\d{1,2}:\d{2}", r"\d{1,2}:\d{2}:\d{2}", r"\d{1,2}:\d{2} [AaPp][Mm]"
+MONTH = r"[A-Za-z]{3,9}"
 MIXED_LAYOUTS = (
-    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy/M/d", "yyyy/M/d H:mm", "yyyy/M/d H:mm:ss",
-    "M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy h:mm a", "M/d/yyyy H:mm:ss",
-    "M/d/yy", "M/d/yy H:mm", "M/d/yy h:mm a",
-    "M-d-yyyy", "M-d-yyyy H:mm", "MMM d yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMMM d, yyyy",
-    "MMMM d yyyy h:mm a", "MMMM d, yyyy h:mm a", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy",
-    "d/M/yyyy", "d.M.yyyy", "yyyyMMdd",
+    (r"\d{4}-\d{2}-\d{2}", "yyyy-MM-dd"),
+    (rf"\d{{4}}-\d{{2}}-\d{{2}} {CLOCK_S}", "yyyy-MM-dd HH:mm:ss"),
+    (rf"\d{{4}}-\d{{2}}-\d{{2}} {CLOCK}", "yyyy-MM-dd HH:mm"),
+    (rf"\d{{4}}-\d{{2}}-\d{{2}}T{CLOCK_S}", "yyyy-MM-dd'T'HH:mm:ss"),
+    (rf"\d{{4}}-\d{{2}}-\d{{2}}T{CLOCK}", "yyyy-MM-dd'T'HH:mm"),
+    (rf"\d{{4}}-\d{{2}}-\d{{2}} {CLOCK_S}\.\d{{1,6}}", "yyyy-MM-dd HH:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]"),
+    (rf"\d{{4}}/{DAY}/{DAY}", "yyyy/M/d"),
+    (rf"\d{{4}}/{DAY}/{DAY} {CLOCK}", "yyyy/M/d H:mm"),
+    (rf"\d{{4}}/{DAY}/{DAY} {CLOCK_S}", "yyyy/M/d H:mm:ss"),
+    (rf"{DAY}/{DAY}/\d{{4}}", "M/d/yyyy"),
+    (rf"{DAY}/{DAY}/\d{{4}} {CLOCK}", "M/d/yyyy H:mm"),
+    (rf"{DAY}/{DAY}/\d{{4}} {AMPM}", "M/d/yyyy h:mm a"),
+    (rf"{DAY}/{DAY}/\d{{4}} {CLOCK_S}", "M/d/yyyy H:mm:ss"),
+    (rf"{DAY}/{DAY}/\d{{2}}", "M/d/yy"),
+    (rf"{DAY}/{DAY}/\d{{2}} {CLOCK}", "M/d/yy H:mm"),
+    (rf"{DAY}/{DAY}/\d{{2}} {AMPM}", "M/d/yy h:mm a"),
+    (rf"{DAY}-{DAY}-\d{{4}}", "M-d-yyyy"),
+    (rf"{DAY}-{DAY}-\d{{4}} {CLOCK}", "M-d-yyyy H:mm"),
+    (rf"{MONTH} {DAY} \d{{4}}", "MMM d yyyy"),
+    (rf"{MONTH} {DAY}, \d{{4}}", "MMM d, yyyy"),
+    (rf"{MONTH} {DAY} \d{{4}}", "MMMM d yyyy"),
+    (rf"{MONTH} {DAY}, \d{{4}}", "MMMM d, yyyy"),
+    (rf"{MONTH} {DAY} \d{{4}} {AMPM}", "MMMM d yyyy h:mm a"),
+    (rf"{MONTH} {DAY}, \d{{4}} {AMPM}", "MMMM d, yyyy h:mm a"),
+    (rf"{DAY} {MONTH} \d{{4}}", "d MMM yyyy"),
+    (rf"{DAY} {MONTH} \d{{4}}", "d MMMM yyyy"),
+    (rf"{DAY}-{MONTH}-\d{{4}}", "d-MMM-yyyy"),
+    (rf"{DAY}/{DAY}/\d{{4}}", "d/M/yyyy"),
+    (rf"{DAY}/{DAY}/\d{{4}} {CLOCK}", "d/M/yyyy H:mm"),
+    (rf"{DAY}\.{DAY}\.\d{{4}}", "d.M.yyyy"),
+    (r"\d{8}", "yyyyMMdd"),
 )
 
 # strftime letter -> Java pattern
@@ -49,9 +76,8 @@ def java_pattern(fmt: str) -> str:
 def parse_text(value: Column, layouts=MIXED_LAYOUTS) -> Column:
     """First layout that fits, as a timestamp without zone; else null."""
     clean = F.trim(value)
-    # only text of a plausible length with a digit reaches the parsers
-    tries = [F.try_to_timestamp(clean, F.lit(p)) for p in layouts]
-    return F.when(clean.rlike(r"^(?=.*\d).{6,40}$"), F.coalesce(*tries)).cast("timestamp_ntz")
+    tries = [F.when(clean.rlike(f"^{shape}$"), F.try_to_timestamp(clean, F.lit(layout))) for shape, layout in layouts]
+    return F.coalesce(*tries).cast("timestamp_ntz")
 
 
 def parse_any(df: DataFrame, name: str, layout: str | None = None, layouts=MIXED_LAYOUTS) -> Column:

@@ -31,6 +31,7 @@ ROWS_PER_CHUNK = 10_000
 MAX_CHUNKS = 4096
 SAMPLE_PER_CHUNK = 32
 HASH_SPACE = 1 << 30
+BROADCAST_CELLS = 200_000
 
 
 @dataclass(frozen=True)
@@ -174,14 +175,12 @@ class Chunked:
             *[a.alias(n) for n, a in aggs.items()]
         )
 
-    def carry(self, aggs: Mapping[str, Column], folds: Mapping[str, object], reverse: bool = False) -> DataFrame | None:
+    def carry(self, aggs: Mapping[str, Column], folds: Mapping[str, object], reverse: bool = False) -> DataFrame:
         """Value of each fold over the group's earlier chunks (later ones when ``reverse``).
 
         ``aggs`` build the per-chunk summary; ``folds`` map an output name to a
         function of (column, window) giving the exclusive running value.
         """
-        if self.chunks == 1:
-            return None
         w = self.group_window(reverse)
         before = w.rowsBetween(Window.unboundedPreceding, -1)
         s = self.summary(**aggs).withColumn("__nth", F.row_number().over(w))
@@ -191,12 +190,16 @@ class Chunked:
         )
         return s.where("__nth > 1").drop("__nth")
 
-    def with_carry(self, out: DataFrame, carry: DataFrame | None, names: Sequence[str]) -> DataFrame:
-        """Join the carried values on; rows of a group's first chunk get null."""
-        if carry is None:
-            return out.select("*", *[F.lit(None).alias(n) for n in names])
+    def with_carry(self, out: DataFrame, carry: DataFrame, width: int = 1) -> DataFrame:
+        """Join the carried values on; rows of a group's first chunk get null.
+
+        The carry has at most one row per bound, each of up to ``width`` cells, so
+        its size is known here; past ``BROADCAST_CELLS`` Spark chooses the join.
+        """
         keys = {c: f"__c{i}" for i, c in enumerate([*self.part, self.chunk])}
-        right = F.broadcast(carry.withColumnsRenamed(keys))  # at most one row per bound
+        right = carry.withColumnsRenamed(keys)
+        if self.chunks * width <= BROADCAST_CELLS:
+            right = F.broadcast(right)
         cond = None
         for c, r in keys.items():
             test = out[q(c)].eqNullSafe(right[r])
@@ -204,6 +207,19 @@ class Chunked:
         return out.join(right, cond, "left").drop(*keys.values())
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage before a frame is read several times.
+
+    An ordered operator reads its input up to four times, so a chain of them would
+    repeat the first steps many times over. With a shared folder named in
+    ``spark.checkpoint.dir`` the frame is checkpointed there; without one it is
+    returned as it is, and only the work repeats.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return df.checkpoint() if folder else df
+
+
 def chunked(df: DataFrame, part=None, order_by=None, rows: int | None = None) -> Chunked:
     """Cut the rows into ranges of (group, order key). Runs a count and a key sample."""
     part = as_list(part)
@@ -248,7 +264,7 @@ def running(df: DataFrame, part, order_by, aggs: Mapping[str, tuple[str, Column]
         {f"__s{i}": local[kind](value) for i, (kind, value) in enumerate(aggs.values())},
         {names[n]: (lambda w, i=i, k=k: fold[k](f"__s{i}").over(w)) for i, (n, (k, _)) in enumerate(aggs.items())},
     )
-    out = c.with_carry(out, carry, list(names.values()))
+    out = c.with_carry(out, carry, len(names))
     for name, (kind, _) in aggs.items():
         here, prev = col(name), col(names[name])
         both = {
@@ -266,7 +282,7 @@ def number(df: DataFrame, part, order_by, name: str, rows: int | None = None) ->
     if c.chunks == 1:
         return out.drop(c.chunk)
     carry = c.carry({"__n": F.count(F.lit(1))}, {"__p": lambda w: F.sum("__n").over(w)})
-    out = c.with_carry(out, carry, ["__p"])
+    out = c.with_carry(out, carry)
     return out.withColumn(name, col(name) + F.coalesce(col("__p"), F.lit(0))).drop(c.chunk, "__p")
 
 
@@ -276,29 +292,31 @@ def last_known(df: DataFrame, part, order_by, columns: Mapping[str, str], forwar
     ``columns`` maps a source column to the name of the result.
     """
     c = chunked(df, part, order_by)
+    return fill_on(c, c.df, columns, forward).drop(c.chunk)
+
+
+def fill_on(c: Chunked, out: DataFrame, columns: Mapping[str, str], forward: bool) -> DataFrame:
+    """``last_known`` on a frame that is cut already; ``out`` is ``c.df`` with more columns."""
     frame = c.window(reverse=not forward).rowsBetween(Window.unboundedPreceding, 0)
-    out = c.df.select("*", *[F.last(col(s), ignorenulls=True).over(frame).alias(f"__l{i}") for i, s in enumerate(columns)])
+    out = out.select("*", *[F.last(col(s), ignorenulls=True).over(frame).alias(f"__l{i}") for i, s in enumerate(columns)])
     if c.chunks > 1:
-        pick = F.struct(*[_sort_value(c.df, k) for k in c.keys]) if _packable(c) else None
-        if pick is None:
-            # mixed or descending text keys: take the edge values by window instead
-            edge = _edge_values(c, list(columns), forward)
-            carry = edge
-        else:
-            by = F.max_by if forward else F.min_by
-            carry = c.carry(
-                {f"__v{i}": by(F.when(col(s).isNotNull(), F.struct(col(s).alias("v"))), F.when(col(s).isNotNull(), pick))
-                 for i, s in enumerate(columns)},
-                {f"__e{i}": (lambda w, i=i: F.last(f"__v{i}", ignorenulls=True).over(w)["v"]) for i in range(len(columns))},
-                reverse=not forward,
-            )
-        out = c.with_carry(out, carry, [f"__e{i}" for i in range(len(columns))])
-        for i in range(len(columns)):
-            out = out.withColumn(f"__l{i}", F.coalesce(f"__l{i}", f"__e{i}"))
+        out = c.with_carry(out, _last_carry(c, list(columns), forward), len(columns))
+        out = out.withColumns({f"__l{i}": F.coalesce(f"__l{i}", f"__e{i}") for i in range(len(columns))})
         out = out.drop(*[f"__e{i}" for i in range(len(columns))])
-    for i, target in enumerate(columns.values()):
-        out = out.withColumn(target, col(f"__l{i}"))
-    return out.drop(c.chunk, *[f"__l{i}" for i in range(len(columns))])
+    out = out.withColumns({target: col(f"__l{i}") for i, target in enumerate(columns.values())})
+    return out.drop(*[f"__l{i}" for i in range(len(columns))])
+
+
+def _last_carry(c: Chunked, columns: Sequence[str], forward: bool) -> DataFrame:
+    if not _packable(c):
+        return _edge_values(c, columns, forward)
+    at = F.struct(*[_sort_value(c.df, k) for k in c.keys])
+    by = F.max_by if forward else F.min_by
+    known = lambda s: col(s).isNotNull()
+    return c.carry(
+        {f"__v{i}": by(F.when(known(s), F.struct(col(s).alias("v"))), F.when(known(s), at)) for i, s in enumerate(columns)},
+        {f"__e{i}": (lambda w, i=i: F.last(f"__v{i}", ignorenulls=True).over(w)["v"]) for i in range(len(columns))},
+        reverse=not forward)
 
 
 def _packable(c: Chunked) -> bool:
@@ -356,7 +374,7 @@ def with_edges(c: Chunked, out: DataFrame, cells: Column, before: int, after: in
     """
     for size, name, forward in ((before, "__b", True), (after, "__a", False)):
         if size and c.chunks > 1:
-            out = c.with_carry(out, _edges(c, cells, size, forward), [name])
+            out = c.with_carry(out, _edges(c, cells, size, forward), size)
     return out
 
 
@@ -385,12 +403,12 @@ def _edges(c: Chunked, cells: Column, size: int, forward: bool) -> DataFrame:
     return s.select(*by, cut.alias("__b" if forward else "__a"))
 
 
-def shifted(df: DataFrame, part, order_by, column: str, name: str, offset: int, edge_default=None) -> DataFrame:
-    """Value ``offset`` rows back (negative: ahead); ``edge_default`` only past the group's edge."""
+def shifted(df: DataFrame, part, order_by, columns: Mapping[str, str], offset: int, edge_default=None) -> DataFrame:
+    """Values ``offset`` rows back (negative: ahead); ``edge_default`` only past the group's edge."""
     c = chunked(df, part, order_by)
     n = abs(offset)
     back = offset >= 0
-    cell = F.struct(col(column).alias("v"))
+    cell = F.struct(*[col(s).alias(f"v{i}") for i, s in enumerate(columns)])
     w = c.window(reverse=not back)
     out = c.df.select("*", F.lag(cell, n).over(w).alias("__x") if n else cell.alias("__x"), F.row_number().over(w).alias("__rn"))
     if n and c.chunks > 1:
@@ -400,10 +418,13 @@ def shifted(df: DataFrame, part, order_by, column: str, name: str, offset: int,
         else:
             other = F.get("__a", F.lit(n) - F.col("__rn"))
         out = out.withColumn("__x", F.when(F.col("__rn") > n, F.col("__x")).otherwise(other))
-    value = F.col("__x.v")
-    if edge_default is not None:
-        value = F.when(F.col("__x").isNull(), F.lit(edge_default).cast(df.schema[column].dataType)).otherwise(value)
-    return out.withColumn(name, value).drop("__x", "__rn", "__b", "__a", c.chunk)
+    new = {}
+    for i, (source, target) in enumerate(columns.items()):
+        value = F.col(f"__x.v{i}")
+        if edge_default is not None:
+            value = F.when(F.col("__x").isNull(), F.lit(edge_default).cast(df.schema[source].dataType)).otherwise(value)
+        new[target] = value
+    return out.withColumns(new).drop("__x", "__rn", "__b", "__a", c.chunk)
 
 
 def moving_sums(df: DataFrame, part, order_by, value: Column, before: int, after: int, total: str, count: str) -> DataFrame:
@@ -429,18 +450,23 @@ def moving_sums(df: DataFrame, part, order_by, value: Column, before: int, after
     return out.drop("__rn", "__rr", "__b", "__a", c.chunk)
 
 
-def last_within(df: DataFrame, part, order_by, column: str, name: str, limit: int, forward: bool = True) -> DataFrame:
+def last_within(df: DataFrame, part, order_by, columns: Mapping[str, str], limit: int, forward: bool = True) -> DataFrame:
     """Last non-null value among the row and the ``limit`` rows before it (after it when not ``forward``)."""
     c = chunked(df, part, order_by)
     w = c.window(reverse=not forward)
-    cell = F.struct(col(column).alias("v"))
-    out = c.df.select("*", F.last(col(column), ignorenulls=True).over(w.rowsBetween(-limit, 0)).alias("__x"), F.row_number().over(w).alias("__rn"))
+    cell = F.struct(*[col(s).alias(f"v{i}") for i, s in enumerate(columns)])
+    local = [F.last(col(s), ignorenulls=True).over(w.rowsBetween(-limit, 0)).alias(f"__x{i}") for i, s in enumerate(columns)]
+    out = c.df.select("*", *local, F.row_number().over(w).alias("__rn"))
     if c.chunks > 1:
         out = with_edges(c, out, cell, limit if forward else 0, 0 if forward else limit)
         side = "__b" if forward else "__a"
         lack = F.least(F.lit(limit) - (F.col("__rn") - 1), F.size(side))
         start = F.size(side) - lack + 1 if forward else F.lit(1)
-        cells = F.when((lack > 0) & F.col(side).isNotNull(), F.filter(F.slice(side, start, lack), lambda x: x["v"].isNotNull()))
-        pick = F.try_element_at(cells, F.lit(-1 if forward else 1))["v"]
-        out = out.withColumn("__x", F.coalesce("__x", pick))
-    return out.withColumn(name, F.col("__x")).drop("__x", "__rn", "__b", "__a", c.chunk)
+        near = F.when((lack > 0) & F.col(side).isNotNull(), F.slice(side, start, lack))
+        found = {}
+        for i in range(len(columns)):
+            known = F.filter(near, lambda x, i=i: x[f"v{i}"].isNotNull())
+            found[f"__x{i}"] = F.coalesce(f"__x{i}", F.try_element_at(known, F.lit(-1 if forward else 1))[f"v{i}"])
+        out = out.withColumns(found)
+    out = out.withColumns({target: F.col(f"__x{i}") for i, target in enumerate(columns.values())})
+    return out.drop(*[f"__x{i}" for i in range(len(columns))], "__rn", "__b", "__a", c.chunk)

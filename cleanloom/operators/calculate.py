@@ -104,26 +104,32 @@ def cumulative(df: DataFrame, target_columns, operation: str = "sum", partition_
     part = as_list(partition_by)
     need(df, part)
     keys = scan.need_order(df, order_by)
-    for c in existing(df, target_columns):
-        df = _running(df, c, f"{c}{suffix}", operation, part, keys)
-    return df
+    return _running(df, {c: f"{c}{suffix}" for c in existing(df, target_columns)}, operation, part, keys)
 
 
-def _running(df: DataFrame, column: str, name: str, operation: str, part, keys) -> DataFrame:
-    x = num(df, column)
-    wanted = {"mean": {"__a": ("sum", x), "__b": ("count", x)}, "prod": {"__a": ("product", x)}}.get(
-        operation, {"__a": (operation, x)})
-    out = scan.running(df, part, keys, wanted)
-    value = F.col("__a") / F.nullif(F.col("__b"), F.lit(0)) if operation == "mean" else F.col("__a")
-    shown = _known(part) if operation == "count" else _known(part) & x.isNotNull()
-    return out.withColumn(name, F.when(shown, value)).drop("__a", "__b")
+def _running(df: DataFrame, columns: Mapping[str, str], operation: str, part, keys) -> DataFrame:
+    """All columns in one scan."""
+    wanted = {}
+    for i, c in enumerate(columns):
+        x = num(df, c)
+        if operation == "mean":
+            wanted |= {f"__a{i}": ("sum", x), f"__b{i}": ("count", x)}
+        else:
+            wanted[f"__a{i}"] = ("product" if operation == "prod" else operation, x)
+    out = scan.running(df, part, keys, wanted) if wanted else df
+    new = {}
+    for i, (c, name) in enumerate(columns.items()):
+        value = F.col(f"__a{i}") / F.nullif(F.col(f"__b{i}"), F.lit(0)) if operation == "mean" else F.col(f"__a{i}")
+        shown = _known(part) if operation == "count" else _known(part) & num(df, c).isNotNull()
+        new[name] = F.when(shown, value)
+    return out.withColumns(new).drop(*wanted) if new else out
 
 
 def running_total(df: DataFrame, column: str, new_column: str, group_by=None, order_by=None) -> DataFrame:
     need(df, [column])
     part = as_list(group_by)
     need(df, part)
-    return _running(df, column, new_column, "sum", part, scan.need_order(df, order_by))
+    return _running(df, {column: new_column}, "sum", part, scan.need_order(df, order_by))
 
 
 RANKS = ("dense", "min", "max", "first", "average")
@@ -144,13 +150,17 @@ def rank(df: DataFrame, column: str, new_column: str | None = None, ascending: b
         keys = [scan.Key(column, ascending, False), *scan.need_order(df, order_by)]
         out = scan.number(df, part, keys, "__rank")
         return out.withColumn(name, F.when(_known(part) & col(column).isNotNull(), F.col("__rank"))).drop("__rank")
+    out = attach(df, rank_table(df, part, column, ascending, method), [*part, column])
+    return out.withColumn(name, F.when(_known(part), F.col("__rank"))).drop("__rank")
+
+
+def rank_table(df: DataFrame, part: Sequence[str], column: str, ascending: bool, method: str) -> DataFrame:
+    """(group, value, __rank): one row per distinct value."""
     runs = quantiles.value_runs(df, part, column, ascending)
     before, cnt = F.col("__before"), F.col("__cnt")
     value = {"dense": F.col("__dense"), "min": before + 1, "max": before + cnt,
              "average": before + (cnt + 1) / F.lit(2.0)}[method]
-    stats = runs.select(*[col(p) for p in part], col(column), value.alias("__rank"))
-    out = attach(df, stats, [*part, column])
-    return out.withColumn(name, F.when(_known(part), F.col("__rank"))).drop("__rank")
+    return runs.select(*[col(p) for p in part], col(column), value.alias("__rank"))
 
 
 def dense_rank(df: DataFrame, column: str, new_column: str | None = None, ascending: bool = True, partition_by=None) -> DataFrame:
@@ -159,9 +169,17 @@ def dense_rank(df: DataFrame, column: str, new_column: str | None = None, ascend
 
 def rank_values(df: DataFrame, target_columns, method: str = "average", ascending: bool = True, partition_by=None,
                 suffix: str = "_rank", order_by=None) -> DataFrame:
+    one_of("method", method, RANKS)
+    part = as_list(partition_by)
+    need(df, part)
+    source, out = df, df
     for c in existing(df, target_columns):
-        df = rank(df, c, f"{c}{suffix}", ascending, method, partition_by, order_by)
-    return df
+        if method == "first":
+            out = rank(out, c, f"{c}{suffix}", ascending, method, partition_by, order_by)
+        else:  # ranks come from the frame as given, so columns do not pile up on each other
+            out = attach(out, rank_table(source, part, c, ascending, method), [*part, c])
+            out = out.withColumn(f"{c}{suffix}", F.when(_known(part), F.col("__rank"))).drop("__rank")
+    return out
 
 
 def percent_rank(df: DataFrame, column: str, new_column: str | None = None, ascending: bool = True, partition_by=None,
@@ -347,7 +365,7 @@ def is_between(df: DataFrame, column: str, min_value, max_value, new_column: str
 def _shift(df: DataFrame, column: str, name: str, offset: int, default, partition_by, order_by) -> DataFrame:
     part = as_list(partition_by)
     need(df, [column, *part])
-    out = scan.shifted(df, part, scan.need_order(df, order_by), column, name, offset)
+    out = scan.shifted(df, part, scan.need_order(df, order_by), {column: name}, offset)
     value = F.coalesce(col(name), F.lit(default).cast(df.schema[column].dataType)) if default is not None else col(name)
     return out.withColumn(name, F.when(_known(part), value))
 
@@ -368,9 +386,8 @@ def lag_lead(df: DataFrame, target_columns, periods: int = 1, partition_by=None,
     """Older shift: the sign gives the direction, the fill is used past the edge only."""
     suffix = suffix if suffix is not None else (f"_lag{periods}" if periods >= 0 else f"_lead{-periods}")
     part = as_list(partition_by)
-    for c in existing(df, target_columns):
-        df = scan.shifted(df, part, scan.need_order(df, order_by), c, f"{c}{suffix}", periods, fill_value)
-    return df
+    names = {c: f"{c}{suffix}" for c in existing(df, target_columns)}
+    return scan.shifted(df, part, scan.need_order(df, order_by), names, periods, fill_value) if names else df
 
 
 def moving_average(df: DataFrame, column: str, window: int, new_column: str | None = None, min_periods: int = 1,
@@ -442,16 +459,19 @@ def handle_outliers(df: DataFrame, target_columns, method: str = "cap", threshol
     """
     one_of("method", method, ("cap", "remove", "flag", "replace_null"))
     one_of("threshold_method", threshold_method, ("iqr", "zscore", "percentile"))
+    source = df
     for c in existing(df, target_columns):
         if not is_numeric(df, c):
             continue
-        low, high = outlier_bounds(df, c, threshold_method, lower_percentile, upper_percentile)
+        if method == "remove":
+            source = df = scan.settle(df) if df is not source else df
+        low, high = outlier_bounds(source, c, threshold_method, lower_percentile, upper_percentile)
         x = num(df, c)
         outside = F.coalesce((x < low) | (x > high), F.lit(False))
         if method == "cap":
             df = df.withColumn(c, F.when(x.isNotNull(), F.least(F.greatest(x, low), high)))
         elif method == "remove":
-            df = df.where(~outside)
+            df = df.where(~outside)  # the next column's bounds see the remaining rows
         elif method == "flag":
             df = df.withColumn(f"{c}_outlier", outside)
         else:

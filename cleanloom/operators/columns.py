@@ -214,9 +214,7 @@ def _fill(df: DataFrame, columns, limit, group_by, order_by, forward: bool) -> D
     else:
         if limit < 1:
             raise OpError("limit must be at least 1")
-        out = df
-        for i, c in enumerate(names):
-            out = scan.last_within(out, part, keys, c, f"__f{i}", limit, forward)
+        out = scan.last_within(df, part, keys, {c: f"__f{i}" for i, c in enumerate(names)}, limit, forward)
     grouped = F.lit(True)
     for p in part:
         grouped = grouped & col(p).isNotNull()

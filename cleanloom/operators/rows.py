@@ -10,8 +10,9 @@ from ..functions import predicates, quantiles, scan, textfn
 from ..functions.core import (OpError, as_list, attach, col, existing, is_numeric, is_string, need, need_new, num,
                               one_of, q, string_columns, text, tmp_name)
 
-# Up to this many rows a sort-and-limit keeps a heap per task; above it rows are numbered instead.
-HEAP_ROWS = 100_000
+# Up to this many rows a sort-and-limit keeps a heap per task, and one task merges the heaps;
+# above it rows are numbered in chunks instead.
+HEAP_ROWS = 1_000
 
 
 def _rest(df: DataFrame, used: Sequence[str]) -> list[str]:
@@ -229,14 +230,17 @@ def fill_blanks(df: DataFrame, column: str, method: str = "value", value=None, o
         return df.withColumn(column, F.coalesce(col(column), F.lit(value).cast(kind)))
     if method in ("forward", "backward"):
         return scan.last_known(df, [], scan.need_order(df, order_by), {column: column}, method == "forward")
+    value = fill_value(df, column, method)
+    return df.withColumn(column, F.coalesce(col(column) if method == "mode" else num(df, column), value))
+
+
+def fill_value(df: DataFrame, column: str, method: str) -> Column:
+    """Mean, median or mode of a column as a scalar subquery."""
     if method == "mode":
-        fill = quantiles.modes(df, [], column, "m").select("m").scalar()
-        return df.withColumn(column, F.coalesce(col(column), fill))
+        return quantiles.modes(df, [], column, "m").select("m").scalar()
     if method == "mean":
-        fill = df.agg(F.avg(num(df, column)).alias("m")).scalar()
-    else:
-        fill = quantiles.quantiles(df, [], column, [0.5]).select("q0").scalar()
-    return df.withColumn(column, F.coalesce(num(df, column), fill))
+        return df.agg(F.avg(num(df, column)).alias("m")).scalar()
+    return quantiles.quantiles(df, [], column, [0.5]).select("q0").scalar()
 
 
 def fill_nulls(df: DataFrame, target_columns=None, method: str = "value", value=None, order_by=None) -> DataFrame:
@@ -244,17 +248,23 @@ def fill_nulls(df: DataFrame, target_columns=None, method: str = "value", value=
     targets = existing(df, target_columns) or list(df.columns)
     if method == "value" and value is None:
         raise OpError("method 'value' needs a value")
+    method = {"ffill": "forward", "bfill": "backward"}.get(method, method)
+    one_of("method", method, ("value", "mean", "median", "mode", "forward", "backward", "interpolate"))
+    if method == "interpolate":
+        for c in [c for c in targets if is_numeric(df, c)]:
+            df = scan.settle(interpolate(df, c, order_by))
+        return df
+    if method in ("forward", "backward"):
+        keys = scan.need_order(df, order_by)
+        names = [c for c in targets if c not in {k.name for k in keys}]
+        return scan.last_known(df, [], keys, {c: c for c in names}, method == "forward") if names else df
+    source = df  # every fill value comes from the frame as given
     for c in targets:
-        if method == "interpolate":
-            if is_numeric(df, c):
-                df = interpolate(df, c, order_by)
-        elif method in ("mean", "median") and not is_numeric(df, c):
-            continue
-        elif method == "value" and not _fits(df, c, value):
-            continue
-        else:
-            alias = {"ffill": "forward", "bfill": "backward"}.get(method, method)
-            df = fill_blanks(df, c, alias, value, order_by)
+        if method == "value":
+            if _fits(df, c, value):
+                df = fill_blanks(df, c, "value", value)
+        elif method == "mode" or is_numeric(df, c):
+            df = df.withColumn(c, F.coalesce(col(c) if method == "mode" else num(df, c), fill_value(source, c, method)))
     return df
 
 
@@ -272,11 +282,11 @@ def interpolate(df: DataFrame, column: str, order_by=None, group_by=None) -> Dat
     keys = scan.need_order(df, order_by)
     part = as_list(group_by)
     pos = tmp_name(df, "pos")
-    out = scan.number(df, part, keys, pos)
     known = F.when(col(column).isNotNull(), F.struct(col(pos).alias("p"), col(column).cast("double").alias("v")))
-    out = out.withColumn("__known", known)
-    out = scan.last_known(out, part, keys, {"__known": "__prev"}, True)
-    out = scan.last_known(out, part, keys, {"__known": "__next"}, False)
+    numbered = scan.settle(scan.number(df, part, keys, pos).withColumn("__known", known))
+    c = scan.chunked(numbered, part, keys)
+    out = scan.fill_on(c, c.df, {"__known": "__prev"}, True)
+    out = scan.fill_on(c, out, {"__known": "__next"}, False).drop(c.chunk)
     p, n = F.col("__prev"), F.col("__next")
     line = p["v"] + (n["v"] - p["v"]) * (col(pos) - p["p"]) / F.nullif(n["p"] - p["p"], F.lit(0))
     return out.withColumn(column, F.coalesce(col(column).cast("double"), line, F.when(p.isNotNull(), p["v"]))).drop(

@@ -231,7 +231,7 @@ def sort_order_valid(b: Side, a: Side, plan: Mapping) -> list[Column]:
     up = _params(plan).get("ascending", True)
     c = cols[0]
     kept = a.df.where(col(c).isNotNull())
-    pairs = scan.shifted(kept, [], scan.need_order(kept, order), c, "__prev", 1)
+    pairs = scan.shifted(kept, [], scan.need_order(kept, order), {c: "__prev"}, 1)
     wrong = (col(c) < F.col("__prev")) if up else (col(c) > F.col("__prev"))
     n = a.scalar("unsorted", pairs.agg(F.count_if(wrong).alias("n")))
     return [_issue("sort_order_valid", F.when(n > 0, "info"), c, "not sorted by the first key", None, n)]

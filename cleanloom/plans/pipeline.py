@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import scan
 from ..functions.core import OpError
 from ..operators import calculate, columns, dates, format, groups, quality, rows, tables, text
 
@@ -92,6 +93,11 @@ def _bind(df: DataFrame, params: Mapping, tables: Mapping[str, DataFrame], fn: C
     return out
 
 
+def reads_order(fn: Callable) -> bool:
+    """Operators that depend on row order read their input several times (see ``scan``)."""
+    return "order_by" in inspect.signature(fn).parameters
+
+
 def check_params(step: Mapping) -> list[str]:
     """Problems of one step that can be seen without data."""
     try:
@@ -133,13 +139,16 @@ def run_plan(df: DataFrame, steps: Sequence[Mapping], tables: Mapping[str, DataF
     """Apply the steps in order. On a failed step the original frame comes back
     (``stop_on_error``) or the step is skipped. ``count_rows`` adds a lazy frame
     (step, rows) with the row count after every step."""
-    original, reports, counts = df, [], []
+    original, reports, counts, scans = df, [], [], 0
     for i, step in enumerate(steps):
         try:
             problems = check_params(step)
             if problems:
                 raise OpError("; ".join(problems))
             fn = get_op(step["op"])
+            if scans and reads_order(fn):
+                df = scan.settle(df)  # an ordered step on top of another would repeat it
+            scans += reads_order(fn)
             df = fn(df, **_bind(df, step.get("params") or {}, tables or {}, fn, order_by))
             reports.append(StepReport(step["op"], True, columns=list(df.columns)))
         except (OpError, AnalysisException, KeyError, TypeError, ValueError) as e:
@@ -157,6 +166,7 @@ def run_plan(df: DataFrame, steps: Sequence[Mapping], tables: Mapping[str, DataF
 
 def dry_run(df: DataFrame, steps: Sequence[Mapping], tables: Mapping[str, DataFrame] | None = None, order_by=None) -> list[dict]:
     """Per step: the columns it would leave. The plan is analysed on an empty copy of the table."""
+    # limit(0) frames: nothing is read or checkpointed at any size
     shadow = {k: v.limit(0) for k, v in (tables or {}).items()}
     result = run_plan(df.limit(0), steps, shadow, False, order_by)
     return [{"step": i + 1, "op": r.op, "ok": r.success, "error": r.error, "columns": r.columns} for i, r in enumerate(result.steps)]

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import textfn
 from ..functions.core import OpError, as_list
+from ..operators.rows import head_rows
 
 # delimiters tried, in order of preference (fixed values)
 DELIMITERS = (",", ";", "\t", "|")
@@ -216,5 +217,5 @@ def export(df: DataFrame, path: str, format: str = "csv", limit: int | None = No
     if limit is not None:
         if not 0 < limit <= MAX_EXPORT:
             raise OpError(f"limit must be between 1 and {MAX_EXPORT}")
-        df = (df.orderBy(*as_list(order_by)) if order_by else df).limit(limit)
+        df = head_rows(df, limit, order_by) if order_by else df.limit(limit)
     write_csv(df, path, "overwrite") if format == "csv" else df.write.mode("overwrite").json(path)
