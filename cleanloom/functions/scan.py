@@ -359,7 +359,7 @@ def _edge_values(c: Chunked, columns: Sequence[str], forward: bool) -> DataFrame
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     s = rows.withColumn("__nth", F.row_number().over(w)).select(
         *[col(p) for p in c.part], col(c.chunk), "__nth",
-        *[F.last(F.when(col(f"__v{i}.v").isNotNull(), col(f"__v{i}")), ignorenulls=True).over(before)["v"].alias(f"__e{i}")
+        *[F.last(F.when(F.col(f"__v{i}")["v"].isNotNull(), F.col(f"__v{i}")), ignorenulls=True).over(before)["v"].alias(f"__e{i}")
           for i in range(len(columns))],
     )
     return s.where("__nth > 1").drop("__nth")
@@ -450,6 +450,10 @@ def moving_sums(df: DataFrame, part, order_by, value: Column, before: int, after
     return out.drop("__rn", "__rr", "__b", "__a", c.chunk)
 
 
+def _field_known(name: str):
+    return lambda x: x[name].isNotNull()
+
+
 def last_within(df: DataFrame, part, order_by, columns: Mapping[str, str], limit: int, forward: bool = True) -> DataFrame:
     """Last non-null value among the row and the ``limit`` rows before it (after it when not ``forward``)."""
     c = chunked(df, part, order_by)
@@ -465,7 +469,7 @@ def last_within(df: DataFrame, part, order_by, columns: Mapping[str, str], limit
         near = F.when((lack > 0) & F.col(side).isNotNull(), F.slice(side, start, lack))
         found = {}
         for i in range(len(columns)):
-            known = F.filter(near, lambda x, i=i: x[f"v{i}"].isNotNull())
+            known = F.filter(near, _field_known(f"v{i}"))
             found[f"__x{i}"] = F.coalesce(f"__x{i}", F.try_element_at(known, F.lit(-1 if forward else 1))[f"v{i}"])
         out = out.withColumns(found)
     out = out.withColumns({target: F.col(f"__x{i}") for i, target in enumerate(columns.values())})

@@ -18,6 +18,9 @@ from ..operators.rows import head_rows
 # delimiters tried, in order of preference (fixed values)
 DELIMITERS = (",", ";", "\t", "|")
 
+# encodings by the name Spark's readers know
+CHARSETS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1", "iso-8859-1": "ISO-8859-1"}
+
 # words of a summary row (fixed values)
 SUMMARY_WORDS = ("total", "sum", "average", "avg", "count", "grand total", "subtotal", "sub-total", "sum total", "overall")
 
@@ -183,7 +186,7 @@ def read_csv_safe(spark: SparkSession, paths, encoding: str | None = None, delim
         names = [f.strip().lstrip("\ufeff") or f"col_{i}" for i, f in enumerate(g["fields"])]
         skip = g["header_row"] + 1 if find_header else 0
         schema = ", ".join(f"`{n}` string" for n in names) + ", `bad_line` string"
-        part = (spark.read.schema(schema).option("sep", delimiter or g["delimiter"]).option("encoding", encoding or g["encoding"])
+        part = (spark.read.schema(schema).option("sep", delimiter or g["delimiter"]).option("encoding", _charset(encoding or g["encoding"]))
                 .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad_line").option("header", False)
                 .option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).csv(g["files"]))
         part = part.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("row_block"),
@@ -198,9 +201,13 @@ def read_csv_safe(spark: SparkSession, paths, encoding: str | None = None, delim
     return out
 
 
+def _charset(name: str) -> str:
+    return CHARSETS.get(name.lower(), name)
+
+
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8") -> DataFrame:
     """A CSV folder with known layout, all columns as text."""
-    return spark.read.csv(path, header=True, sep=sep, encoding=encoding, escape='"')
+    return spark.read.csv(path, header=True, sep=sep, encoding=_charset(encoding), escape='"')
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
