@@ -83,7 +83,7 @@ def trim_whitespace(df: DataFrame, columns=None, trim_type: str = "all") -> Data
         if trim_type == "trailing":
             return F.regexp_replace(c, rf"{textfn.WHITE}+$", "")
         s = textfn.strip(c)
-        return F.regexp_replace(s, rf"{textfn.WHITE}+", " ") if trim_type == "all" else s
+        return F.regexp_replace(s, textfn.RUN, " ") if trim_type == "all" else s
 
     return df.withColumns({c: cut(col(c)) for c in names})
 

@@ -27,8 +27,8 @@ def build_module(df: DataFrame, steps: Sequence[Mapping], contract_id: str = "mo
 
 
 def match_incoming(df: DataFrame, module: Module, file: str = "incoming") -> DataFrame:
-    """Profile a frame and match it against the module's contract: one row."""
-    p = profile.profile_table(df).select(F.lit(file).alias("file"), F.lit(module.contract_id).alias("contract_id"), "position", "column",
+    """Read the meaning of a frame's columns and match them against the module's contract: one row."""
+    p = profile.column_meanings(df).select(F.lit(file).alias("file"), F.lit(module.contract_id).alias("contract_id"), "position", "column",
                                          "semantic_type", "dtype", "sample_values")
     return contracts.match_schema(p, module.contract)
 

@@ -166,12 +166,31 @@ def semantic_type(name: Column, numeric: Column) -> Column:
             .when(hinted, pair("name")).otherwise(pair("unknown")))
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    """The columns that hold single values."""
+    return df.select(*[col(f.name) for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct", "binary", "variant")])
+
+
+def _schema_rows(df: DataFrame) -> DataFrame:
+    return rows_frame(df.sparkSession, [(i, c, DTYPES[type_class(df.schema[c].dataType)]) for i, c in enumerate(df.columns)],
+                      "position int, column string, dtype string")
+
+
+def column_meanings(df: DataFrame) -> DataFrame:
+    """(position, column, dtype, semantic_type, sample_values): the part of a profile that matching
+    reads, without statistics and top values. One shuffle of value counts."""
+    df = _plain(df)
+    counts = value_counts(df)
+    out = _merge([_schema_rows(df), value_metrics(counts), samples(counts)])
+    kind = semantic_type(F.col("column"), F.col("dtype").isin("int64", "float64"))
+    return out.withColumn("__m", kind).select("position", "column", "dtype", F.col("__m.semantic_type").alias("semantic_type"),
+                                              F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"))
+
+
 def profile_table(df: DataFrame) -> DataFrame:
     """One row per column with everything the contract, matching and issue rules need."""
-    plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct", "binary", "variant")]
-    df = df.select(*[col(c) for c in plain])
-    schema = rows_frame(df.sparkSession, [(i, c, DTYPES[type_class(df.schema[c].dataType)]) for i, c in enumerate(plain)],
-                        "position int, column string, dtype string")
+    df = _plain(df)
+    schema = _schema_rows(df)
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     counts = value_counts(df)
     sides = [schema, value_metrics(counts), lower_uniques(counts), samples(counts), top_values(counts, total)]

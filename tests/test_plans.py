@@ -62,7 +62,7 @@ def leads(spark):
 def match(df, contract, name="f"):
     from pyspark.sql import functions as F
 
-    p = P.profile_table(df).select(F.lit(name).alias("file"), F.lit("c").alias("contract_id"), "position", "column", "semantic_type", "dtype", "sample_values")
+    p = P.column_meanings(df).select(F.lit(name).alias("file"), F.lit("c").alias("contract_id"), "position", "column", "semantic_type", "dtype", "sample_values")
     return N.match_schema(p, contract)
 
 

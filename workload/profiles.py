@@ -37,7 +37,7 @@ def statistics_sql(c, source):
 
 
 def incoming(s, d):
-    """profiles of four tables offered to the contract of customer"""
+    """the columns of four tables offered to the contract of customer"""
     out = None
     sides = {
         "same": t(s, d, "customer"),
@@ -46,7 +46,7 @@ def incoming(s, d):
         "other": t(s, d, "events"),
     }
     for name, df in sides.items():
-        one = P.profile_table(df).select(F.lit(name).alias("file"), F.lit("customers").alias("contract_id"), "position", "column", "semantic_type", "dtype", "sample_values")
+        one = P.column_meanings(df).select(F.lit(name).alias("file"), F.lit("customers").alias("contract_id"), "position", "column", "semantic_type", "dtype", "sample_values")
         out = one if out is None else out.unionByName(one)
     return out
 
