@@ -11,8 +11,11 @@ from ..functions.core import OpError, as_list, col, is_numeric, need, one_of, te
 from .rows import _all_not_null, _simple_agg, aggregate_columns
 
 
-def aggregate(df: DataFrame, group_by, aggregations: Mapping[str, str | list[str]], order_by=None) -> DataFrame:
-    """Group by non-null keys; several functions of a column are named ``column_function``."""
+def aggregate(df: DataFrame, group_by, aggregations: Mapping[str, str | list[str]], reset_index: bool = True, order_by=None) -> DataFrame:
+    """Group by non-null keys; several functions of a column are named ``column_function``.
+
+    ``reset_index`` is accepted and has no effect: keys are always columns here.
+    """
     by = as_list(group_by)
     several = any(not isinstance(f, str) for f in aggregations.values())
     wanted = [(c, f, f"{c}_{f}" if several else c) for c, fs in aggregations.items() for f in as_list(fs)]
@@ -23,7 +26,7 @@ def group_by(df: DataFrame, by_columns=None, aggregations: Mapping[str, str] | N
     """Older group-by: without functions every column is counted."""
     by = as_list(by_columns) or as_list(target_columns)
     aggs = dict(aggregations or {c: "count" for c in df.columns if c not in by})
-    return aggregate(df, by, aggs, order_by)
+    return aggregate(df, by, aggs, order_by=order_by)
 
 
 def pivot(df: DataFrame, index, columns: str, values, aggfunc: str = "sum", fill_value=0, pivot_values=None, order_by=None) -> DataFrame:

@@ -50,8 +50,8 @@ def join(df: DataFrame, right_data: DataFrame, on=None, left_on=None, right_on=N
     return join_tables(df, right_data, on or left_on, on or right_on, how, ("", suffix))
 
 
-def union_tables(df: DataFrame, other_tables, match_columns: bool = True) -> DataFrame:
-    """Stack tables on their common columns, or on all columns with nulls."""
+def union_tables(df: DataFrame, other_tables, ignore_index: bool = True, match_columns: bool = True) -> DataFrame:
+    """Stack tables on their common columns, or on all columns with nulls. ``ignore_index`` has no meaning without an index."""
     others = [other_tables] if isinstance(other_tables, DataFrame) else list(other_tables)
     if match_columns:
         common = [c for c in df.columns if all(c in o.columns for o in others)]

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import contract as contracts
 from . import pipeline, profile
 from ..functions.core import rows_frame
+from ..sources import files
 
 
 @dataclass
@@ -39,6 +40,11 @@ def apply_module(df: DataFrame, module: Module, mapping: Mapping[str, str] | Non
     return pipeline.run_plan(df.withColumnsRenamed(rename), module.steps, tables, True, order_by)
 
 
+def profile_files(spark: SparkSession, paths) -> DataFrame:
+    """Read files of any layout and profile their data columns."""
+    return profile.profile_table(files.read_csv_safe(spark, paths).drop("source_file", "row_block", "row_id", "bad_line"))
+
+
 RUN_SCHEMA = "file string, contract_id string, score double, level string, status string, error string"
 
 

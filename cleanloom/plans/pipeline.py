@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import scan
 from ..functions.core import OpError
 from ..operators import calculate, columns, dates, format, groups, quality, rows, tables, text
+from ..sources import files
 
 _MODULES = (rows, columns, calculate, text, format, dates, groups, tables, quality)
 
@@ -65,6 +66,82 @@ def custom(df: DataFrame, query: str) -> DataFrame:
 register_op("custom", custom)
 
 
+# parameters that change only the findings of a step, not its frame
+_FINDINGS = ("threshold", "add_drift_flag", "sample_size", "include_top_values", "top_n")
+
+# steps that only look: the frame passes unchanged, their findings come from ``metrics``
+_METRICS: dict[str, Callable[..., DataFrame]] = {
+    "detect_nulls": quality.null_metrics, "profile_column": quality.profile_column, "validate_pattern": quality.pattern_metrics,
+    "validate_schema": quality.validate_schema, "compare_schemas": quality.compare_schemas, "infer_types": quality.infer_types,
+    "detect_renamed_columns": quality.detect_renamed_columns, "detect_enum_drift": quality.enum_metrics,
+    "detect_format_drift": quality.format_metrics, "detect_distribution_drift": quality.distribution_drift,
+    "normalize_boolean": quality.boolean_metrics, "generate_drift_report": quality.generate_drift_report,
+}
+
+
+def _observer(name: str) -> Callable[..., DataFrame]:
+    def look(df: DataFrame, **params) -> DataFrame:
+        return quality.convert_inferred(df, params.get("columns")) if name == "infer_types" and params.get("apply_conversion") else df
+
+    return look
+
+
+for _n in _METRICS:
+    if _n not in _OPS:
+        register_op(_n, _observer(_n))
+register_op("detect_header", files.apply_detected_header)
+
+
+def metrics(df: DataFrame, step: Mapping) -> DataFrame:
+    """The findings of a looking step as a small frame; parameters it has no use for are left out."""
+    fn = _METRICS.get(ALIASES.get(step["op"], step["op"]))
+    if fn is None:
+        raise OpError(f"{step['op']!r} has no metrics")
+    known = inspect.signature(fn).parameters
+    return fn(df, **{k: v for k, v in (step.get("params") or {}).items() if k in known})
+
+
+# older step type -> (operator, parameter that takes the target columns, renamed parameters)
+_OLDER: dict[str, tuple[str, str | None, dict[str, str]]] = {
+    "filter_rows": ("filter_rows", None, {}), "drop_rows": ("drop_rows", "target_columns", {}), "sort_rows": ("sort_rows", "columns", {}),
+    "select_columns": ("select_columns", "columns", {}), "drop_columns": ("remove_columns", "columns", {}), "slice_rows": ("slice_rows", None, {}),
+    "sample_rows": ("sample_rows", None, {"frac": "fraction", "random_state": "seed"}), "trim_whitespace": ("trim_columns", "target_columns", {}),
+    "deduplicate": ("remove_duplicates", "subset", {}), "replace_values": ("replace_values", "target_columns", {"find": "old_value", "replace": "new_value"}),
+    "fill_nulls": ("fill_nulls", "target_columns", {"fill_value": "value"}), "format_date": ("format_date", "column", {}),
+    "add_column": ("add_expression", None, {"new_name": "name"}), "round_numbers": ("round_numbers", "column", {}), "abs_value": ("absolute_value", "column", {}),
+    "floor_ceiling": ("floor_ceil", "column", {"operation": "method"}), "date_diff": ("date_diff_columns", "target_columns", {}), "date_add": ("date_add", "column", {}),
+    "extract_date_part": ("extract_date_parts", "target_columns", {}), "substring": ("substring_columns", "target_columns", {}),
+    "pad_string": ("pad_text", "column", {"width": "length", "fillchar": "pad_char"}), "coalesce": ("coalesce", "columns", {}),
+    "split_column": ("split_column", "column", {}), "merge_columns": ("merge_columns", "columns", {"new_column_name": "new_column"}),
+    "pivot": ("pivot", None, {}), "melt": ("unpivot", None, {"id_vars": "id_columns", "value_vars": "value_columns"}), "transpose": ("transpose", None, {}),
+    "reorder_columns": ("reorder_columns", None, {}), "rename_column": ("rename_columns", None, {"rename_map": "mapping"}),
+    "format_phone": ("format_phone_columns", "target_columns", {}), "flag_duplicates": ("is_duplicate", "subset", {"column_name": "new_column"}),
+    "join": ("join", None, {}), "custom": ("custom", None, {"code": "query"}), "sanitize_headers": ("sanitize_headers", None, {}),
+    "conditional_replace": ("conditional_replace", None, {}),
+}
+# defaults of the older steps that differ (fixed values)
+_OLDER_DEFAULTS = {"pivot": {"aggfunc": "first", "fill_value": None}, "merge_columns": {"keep_original": True}, "flag_duplicates": {"new_column": "is_duplicate"},
+                   "add_column": {"name": "new_column"}, "rename_column": {"strict": False}, "select_columns": {"strict": False},
+                   "drop_columns": {"strict": False}, "pad_string": {"length": 10}}
+
+
+def older_step(plan: Mapping) -> dict:
+    """An older plan (type, target_columns, conditions, parameters) as a step."""
+    kind = plan.get("type", "")
+    op, target, renamed = _OLDER.get(kind, (kind, "target_columns", {}))
+    params = {**_OLDER_DEFAULTS.get(kind, {}), **{renamed.get(k, k): v for k, v in (plan.get("parameters") or {}).items()}}
+    columns = plan.get("target_columns")
+    if kind == "rename_column" and "new_name" in params:
+        params["mapping"] = {columns[0]: params.pop("new_name")}
+    elif kind == "reorder_columns":
+        params["strict"] = not params.pop("keep_unlisted", False)
+    elif target and columns and target not in params:
+        params[target] = columns[0] if kind == "split_column" else columns
+    if plan.get("conditions") and op in ("filter_rows", "drop_rows"):
+        params["conditions"] = plan["conditions"]
+    return {"op": op, "params": params}
+
+
 def get_op(name: str) -> Callable[..., DataFrame]:
     name = ALIASES.get(name, name)
     if name not in _OPS:
@@ -81,7 +158,7 @@ _TABLE_PARAMS = ("right_table", "right_data", "lookup_table", "other_tables")
 
 
 def _bind(df: DataFrame, params: Mapping, tables: Mapping[str, DataFrame], fn: Callable, order_by) -> dict:
-    out = dict(params)
+    out = dict(_accepted(fn, params))
     for p in _TABLE_PARAMS:
         if p in out:
             one = lambda t: t if isinstance(t, DataFrame) else tables[t] if t in tables else df.sparkSession.table(t)
@@ -109,7 +186,7 @@ def check_params(step: Mapping) -> list[str]:
         return []
     names = list(signature.parameters)[1:]
     given = step.get("params") or {}
-    bad = [f"unknown parameter {p!r}" for p in given if p not in names]
+    bad = [f"unknown parameter {p!r}" for p in given if p not in names and p not in _FINDINGS]
     needed = [n for n in names if signature.parameters[n].default is inspect.Parameter.empty and n != "order_by"]
     return bad + [f"missing parameter {n!r}" for n in needed if n not in given]
 
@@ -134,6 +211,14 @@ class PlanResult:
     counts: DataFrame | None = None
 
 
+def _accepted(fn: Callable, params: Mapping) -> Mapping:
+    """Parameters of a looking operator that only its metrics read are dropped for the transform."""
+    names = inspect.signature(fn).parameters
+    if any(p.kind is inspect.Parameter.VAR_KEYWORD for p in names.values()):
+        return params
+    return {k: v for k, v in params.items() if k in names or k not in _FINDINGS}
+
+
 def run_plan(df: DataFrame, steps: Sequence[Mapping], tables: Mapping[str, DataFrame] | None = None, stop_on_error: bool = True,
              order_by=None, count_rows: bool = False) -> PlanResult:
     """Apply the steps in order. On a failed step the original frame comes back

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions import textfn
+from ..functions import scan, textfn
 from ..functions.core import OpError, as_list
+from ..functions.scan import number
 from ..operators.rows import head_rows
 
 # delimiters tried, in order of preference (fixed values)
@@ -86,11 +87,16 @@ def _count(items: Column, test) -> Column:
 
 def score_headers(heads: DataFrame, delimiters: DataFrame, max_rows: int = 20, expected_columns: Sequence[str] | None = None,
                   min_string_columns: int = 2) -> DataFrame:
-    """(file, row, fields, score) of the first rows: +30 per expected name found, +10 per text field when there
-    are enough, +20 without blanks, +15 when name-like, +5 per field whose kind changes in the next row."""
+    """(file, row, fields, score) of the first lines of each file."""
     d = heads.where(F.col("row") < max_rows).join(delimiters, "file").select("file", "row", cells(F.col("line"), F.col("delimiter")).alias("fields"))
-    w = Window.partitionBy("file").orderBy("row")  # at most max_rows rows per file
-    d = d.withColumn("next", F.lead("fields").over(w)).withColumn("width", F.max(F.size("fields")).over(Window.partitionBy("file")))
+    return score_fields(d, expected_columns, min_string_columns)
+
+
+def score_fields(rows: DataFrame, expected_columns: Sequence[str] | None = None, min_string_columns: int = 2) -> DataFrame:
+    """Score (file, row, fields) rows as headers: +30 per expected name found, +10 per text field when there
+    are enough, +20 without blanks, +15 when name-like, +5 per field whose kind changes in the next row."""
+    w = Window.partitionBy("file").orderBy("row")  # a few rows per file
+    d = rows.withColumn("next", F.lead("fields").over(w)).withColumn("width", F.max(F.size("fields")).over(Window.partitionBy("file")))
     filled = F.filter("fields", lambda v: v != "")
     number = r"^[0-9]+$"
     texty = _count(filled, lambda v: ~F.translate(v, ".-", "").rlike(number))
@@ -111,9 +117,12 @@ def _is_number(v: Column) -> Column:
 
 def detect_header(heads: DataFrame, delimiters: DataFrame, **options) -> DataFrame:
     """(file, header_row, score, fields): the best-scoring row, the first on a tie."""
-    s = score_headers(heads, delimiters, **options)
+    return best_header(score_headers(heads, delimiters, **options))
+
+
+def best_header(scores: DataFrame) -> DataFrame:
     best = F.max_by(F.struct("row", "score", "fields"), F.struct("score", (-F.col("row")).alias("r")))
-    return s.groupBy("file").agg(best.alias("b")).select("file", F.col("b.row").alias("header_row"), F.col("b.score").alias("score"), F.col("b.fields").alias("fields"))
+    return scores.groupBy("file").agg(best.alias("b")).select("file", F.col("b.row").alias("header_row"), F.col("b.score").alias("score"), F.col("b.fields").alias("fields"))
 
 
 def detect_header_row(heads: DataFrame, delimiters: DataFrame, max_rows_to_scan: int = 10) -> DataFrame:
@@ -142,6 +151,22 @@ def detect_header_row(heads: DataFrame, delimiters: DataFrame, max_rows_to_scan:
     return out.select("file", row.alias("header_row"), F.bround(sure, 4).alias("confidence"))
 
 
+def apply_detected_header(df: DataFrame, max_rows_to_check: int = 20, expected_columns: Sequence[str] | None = None,
+                          min_string_columns: int = 2, apply_header: bool = True, order_by=None) -> DataFrame:
+    """A frame read with junk lines or a wrong header: name the columns by the best of its first rows and
+    drop the rows up to it. Only that one row comes to the driver, as column names must."""
+    keys = scan.need_order(df, order_by)
+    names = [c for c in df.columns if c not in {k.name for k in keys}]
+    head = number(df, [], keys, "__row").where(F.col("__row") <= max_rows_to_check)
+    fields = F.array(*[F.coalesce(textfn.strip(F.col(c).cast("string")), F.lit("")) for c in names])
+    scored = score_fields(head.select(F.lit("").alias("file"), (F.col("__row") - 1).alias("row"), fields.alias("fields")), expected_columns, min_string_columns)
+    best = best_header(scored).first()
+    if best is None or not apply_header:
+        return df
+    out = number(df, [], keys, "__row").where(F.col("__row") > best["header_row"] + 1).drop("__row")
+    return out.withColumnsRenamed({c: f or f"col_{i}" for i, (c, f) in enumerate(zip(names, best["fields"]))})
+
+
 def detect_footer_rows(rows: DataFrame, columns: Sequence[str], file: str = "file", order: Sequence[str] = ("row",), max_rows_to_check: int = 5) -> DataFrame:
     """(file, footer_rows, footer_type): the unbroken run of blank or summary rows at the end of each file.
 

@@ -31,6 +31,34 @@ def test_own_operator(people):
     assert L.custom(people, "SELECT max(pay) AS m FROM {df}").first()["m"] == 5000.0
 
 
+def test_looking_steps_and_older_plans(people):
+    steps = [{"op": "detect_nulls", "params": {"threshold": 0.3}}, {"op": "validate_schema", "params": {"expected_columns": ["id", "zip"]}},
+             {"op": "detect_format_drift", "params": {"column": "email", "format_type": "email", "sample_size": 10}}]
+    out = run_plan(people, steps)
+    assert out.success and out.df.columns == people.columns
+    assert ("age", 2, 0.4, True) in rows(L.metrics(people, steps[0]))
+    assert rows(L.metrics(people, steps[1])) == [("missing", "zip", "zip", None)]
+    assert rows(L.metrics(people, steps[2]), "format", "match_count") == [("expected", 3)]
+    older = [{"type": "drop_rows", "target_columns": ["name"]}, {"type": "pad_string", "target_columns": ["email"], "parameters": {"width": 12, "side": "both", "fillchar": "."}},
+             {"type": "rename_column", "target_columns": ["pay"], "parameters": {"new_name": "salary"}}, {"type": "flag_duplicates", "target_columns": ["age"]},
+             {"type": "merge_columns", "target_columns": ["id", "age"], "parameters": {"separator": "/", "new_column_name": "key"}}]
+    done = run_plan(people, [L.older_step(p) for p in older], order_by=["id"])
+    assert done.success and done.df.columns == ["id", "name", "email", "age", "salary", "hired", "is_duplicate", "key"]
+    assert rows(done.df, "id", "email") == [(1, ".ann@x.org.."), (2, None), (3, "....bad.....")]
+
+
+def test_header_of_a_frame(spark):
+    data = [(1, "Lead export", None, None), (2, "by hand", "", None), (3, "lead_id", "full_name", "score"), (4, "1", "Ann", "70"), (5, "2", "Bob", "80")]
+    df = spark.createDataFrame(data, "line int, c0 string, c1 string, c2 string")
+    out = run_plan(df, [{"op": "detect_header", "params": {"order_by": ["line"]}}])
+    assert out.success and rows(out.df.drop("line"), "lead_id", "full_name", "score") == [("1", "Ann", "70"), ("2", "Bob", "80")]
+
+
+def test_profile_of_files(spark, folder):
+    p = {r["column"]: r["dtype"] for r in M.profile_files(spark, str(folder / "semi.csv")).collect()}
+    assert set(p) == {"sku", "price", "qty"}
+
+
 def test_every_check_can_be_silent(people):
     for kind in ("filter_rows", "sort_rows", "group_by", "fill_nulls", "convert_type", "deduplicate", "join", "normalize", "format_phone", "slice_rows", "drop_rows"):
         issues = H.validate(people, people, {"type": kind, "target_columns": ["id"], "parameters": {"n": 5, "aggregations": {}}})

@@ -52,6 +52,33 @@ def step_counts(s, d):
     return L.run_plan(t(s, d, "orders"), steps, stop_on_error=False, order_by=["o_orderkey"], count_rows=True).counts
 
 
+OLDER = [
+    {"type": "drop_rows", "conditions": [{"column": "o_orderstatus", "operator": "eq", "value": "P"}]},
+    {"type": "rename_column", "target_columns": ["o_orderpriority"], "parameters": {"new_name": "priority"}},
+    {"type": "substring", "target_columns": ["priority"], "parameters": {"after": "-"}},
+    {"type": "pad_string", "target_columns": ["priority"], "parameters": {"width": 15, "side": "right", "fillchar": "."}},
+    {"type": "extract_date_part", "target_columns": ["o_orderdate"], "parameters": {"parts": ["year"]}},
+    {"type": "flag_duplicates", "target_columns": ["o_custkey"]},
+    {"type": "cumulative", "target_columns": ["o_totalprice"], "parameters": {"operation": "max"}},
+    {"type": "drop_columns", "target_columns": ["o_orderdate", "nope"]},
+]
+
+
+def older_run(s, d):
+    return L.run_plan(t(s, d, "orders"), [L.older_step(p) for p in OLDER], order_by=["o_orderkey"]).df
+
+
+def header_of_table(s, d):
+    """orders as text below two junk lines and their header, read without a header"""
+    body = t(s, d, "orders").selectExpr("o_orderkey + 3 AS line", "CAST(o_orderkey AS string) AS c0", "o_orderstatus AS c1", "CAST(o_custkey AS string) AS c2")
+    top = s.sql("SELECT * FROM VALUES (0L, 'Order export', NULL, NULL), (1L, 'made by hand', NULL, NULL), (2L, 'order_id', 'status', 'customer') AS v(line, c0, c1, c2)")
+    return L.run_plan(top.unionByName(body), [{"op": "detect_header", "params": {"order_by": ["line"]}}]).df.select("order_id", "status", "customer")
+
+
+def findings(s, d):
+    return L.metrics(t(s, d, "orders"), {"op": "detect_enum_drift", "params": {"column": "o_orderstatus", "expected_values": ["O", "Q"], "add_drift_flag": True}})
+
+
 MODULE_STEPS = [{"op": "change_text_casing", "params": {"column": "segment", "case": "title"}},
                 {"op": "aggregate", "params": {"group_by": "segment", "aggregations": {"balance": ["sum", "count"]}}}]
 
@@ -167,6 +194,15 @@ Q = {
         step_counts,
         """SELECT 1::INTEGER AS step, 'filter_rows' AS op, count(*) AS rows FROM orders WHERE o_orderstatus = 'O'
            UNION ALL SELECT 3, 'remove_duplicates', count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus = 'O'"""),
+    "run_plan_older": (
+        older_run,
+        """WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, rpad(split_part(o_orderpriority, '-', -1), 15, '.') AS priority, year(o_orderdate)::INTEGER AS o_orderdate_year
+             FROM orders WHERE o_orderstatus <> 'P')
+           SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1 AS is_duplicate, max(o_totalprice) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS o_totalprice_cummax FROM o"""),
+    "detect_header": (header_of_table, "SELECT o_orderkey::VARCHAR AS order_id, o_orderstatus AS status, o_custkey::VARCHAR AS customer FROM orders"),
+    "step_metrics": (
+        findings,
+        "SELECT o_orderstatus AS value, 'new' AS kind, count(*) AS count FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1 UNION ALL SELECT 'q', 'missing', 0"),
     "custom_sql": (
         lambda s, d: L.custom(t(s, d, "orders"), "SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS top FROM {df} GROUP BY o_orderstatus"),
         "SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1"),

@@ -99,7 +99,7 @@ Q = {
         lambda s, d: J.union_tables(t(s, d, "customer").selectExpr("c_custkey AS key", "c_name AS name", "c_mktsegment"), [t(s, d, "supplier").selectExpr("s_name AS name", "s_suppkey AS key", "s_acctbal")]),
         "SELECT c_custkey AS key, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier"),
     "union_all_columns": (
-        lambda s, d: J.union_tables(t(s, d, "customer").selectExpr("c_custkey AS key", "c_name AS name", "c_mktsegment"), t(s, d, "supplier").selectExpr("s_name AS name", "s_suppkey AS key", "s_acctbal"), False),
+        lambda s, d: J.union_tables(t(s, d, "customer").selectExpr("c_custkey AS key", "c_name AS name", "c_mktsegment"), t(s, d, "supplier").selectExpr("s_name AS name", "s_suppkey AS key", "s_acctbal"), match_columns=False),
         "SELECT c_custkey AS key, c_name AS name, c_mktsegment, NULL::DOUBLE AS s_acctbal FROM customer UNION ALL SELECT s_suppkey, s_name, NULL, s_acctbal FROM supplier"),
     "lookup": (
         lambda s, d: J.lookup(t(s, d, "customer"), t(s, d, "nation").where("n_nationkey < 20"), "c_nationkey", "n_nationkey", ["n_name", "n_regionkey"], "unknown"),
