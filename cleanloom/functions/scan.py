@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from .core import OpError, as_list, col, need, q, tmp_name
 
 ROWS_PER_CHUNK = 10_000
+ROWS_PER_TASK = 2_000_000
 MAX_CHUNKS = 4096
 SAMPLE_PER_CHUNK = 32
 HASH_SPACE = 1 << 30
@@ -78,12 +79,16 @@ def _conf(df: DataFrame, name: str, default: int) -> int:
 
 
 def chunk_target(df: DataFrame, rows: int) -> int:
-    """How many chunks to cut: one per 10 000 rows, at most 4 per shuffle partition and 4096."""
-    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    most = min(_conf(df, "maxChunks", MAX_CHUNKS), max(4 * shuffle, 64))
+    """How many chunks to cut: one per 10 000 rows, but no more than 4 per shuffle partition
+    unless a chunk would pass two million rows; at most 4096."""
+    most = min(_conf(df, "maxChunks", MAX_CHUNKS), max(4 * shuffle_partitions(df), 64, math.ceil(rows / ROWS_PER_TASK)))
     return max(1, min(most, math.ceil(rows / _conf(df, "rowsPerChunk", ROWS_PER_CHUNK))))
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _literal(value, type_name: str) -> str:
     if isinstance(value, bool):
         value = "true" if value else "false"
@@ -169,6 +174,13 @@ class Chunked:
         chunk = col(self.chunk)
         return Window.partitionBy(*by).orderBy(chunk.desc() if reverse else chunk.asc())
 
+    def spread(self) -> DataFrame:
+        """The rows on their way into a chunk window. With more chunks than shuffle partitions the
+        exchange gets a partition per chunk, so that a task sorts about one chunk."""
+        if self.chunks <= shuffle_partitions(self.df):
+            return self.df
+        return self.df.repartition(self.chunks, *[col(c) for c in self.part], col(self.chunk))
+
     def summary(self, **aggs: Column) -> DataFrame:
         """One partially aggregated row per (group, chunk)."""
         return self.df.groupBy(*[col(c) for c in self.part], col(self.chunk)).agg(
@@ -251,7 +263,7 @@ def running(df: DataFrame, part, order_by, aggs: Mapping[str, tuple[str, Column]
     Null values do not count and do not stop the run.
     """
     c = chunked(df, part, order_by)
-    out = c.df
+    out = c.spread()
     frame = c.window().rowsBetween(Window.unboundedPreceding, 0)
     local = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "product": F.product}
     for name, (kind, value) in aggs.items():
@@ -278,7 +290,7 @@ def running(df: DataFrame, part, order_by, aggs: Mapping[str, tuple[str, Column]
 def number(df: DataFrame, part, order_by, name: str, rows: int | None = None) -> DataFrame:
     """1-based position of each row in its group, as bigint."""
     c = chunked(df, part, order_by, rows)
-    out = c.df.withColumn(name, F.row_number().over(c.window()).cast("bigint"))
+    out = c.spread().withColumn(name, F.row_number().over(c.window()).cast("bigint"))
     if c.chunks == 1:
         return out.drop(c.chunk)
     carry = c.carry({"__n": F.count(F.lit(1))}, {"__p": lambda w: F.sum("__n").over(w)})
@@ -292,11 +304,11 @@ def last_known(df: DataFrame, part, order_by, columns: Mapping[str, str], forwar
     ``columns`` maps a source column to the name of the result.
     """
     c = chunked(df, part, order_by)
-    return fill_on(c, c.df, columns, forward).drop(c.chunk)
+    return fill_on(c, c.spread(), columns, forward).drop(c.chunk)
 
 
 def fill_on(c: Chunked, out: DataFrame, columns: Mapping[str, str], forward: bool) -> DataFrame:
-    """``last_known`` on a frame that is cut already; ``out`` is ``c.df`` with more columns."""
+    """``last_known`` on a frame that is cut already; ``out`` is ``c.spread()``, maybe with more columns."""
     frame = c.window(reverse=not forward).rowsBetween(Window.unboundedPreceding, 0)
     out = out.select("*", *[F.last(col(s), ignorenulls=True).over(frame).alias(f"__l{i}") for i, s in enumerate(columns)])
     if c.chunks > 1:
@@ -410,7 +422,7 @@ def shifted(df: DataFrame, part, order_by, columns: Mapping[str, str], offset: i
     back = offset >= 0
     cell = F.struct(*[col(s).alias(f"v{i}") for i, s in enumerate(columns)])
     w = c.window(reverse=not back)
-    out = c.df.select("*", F.lag(cell, n).over(w).alias("__x") if n else cell.alias("__x"), F.row_number().over(w).alias("__rn"))
+    out = c.spread().select("*", F.lag(cell, n).over(w).alias("__x") if n else cell.alias("__x"), F.row_number().over(w).alias("__rn"))
     if n and c.chunks > 1:
         out = with_edges(c, out, cell, n if back else 0, 0 if back else n)
         if back:
@@ -432,7 +444,7 @@ def moving_sums(df: DataFrame, part, order_by, value: Column, before: int, after
     c = chunked(df, part, order_by)
     w = c.window()
     frame = w.rowsBetween(-before, after)
-    out = c.df.select(
+    out = c.spread().select(
         "*", F.sum(value).over(frame).alias(total), F.count(value).over(frame).alias(count),
         F.row_number().over(w).alias("__rn"), F.row_number().over(c.window(reverse=True)).alias("__rr"),
     )
@@ -460,7 +472,7 @@ def last_within(df: DataFrame, part, order_by, columns: Mapping[str, str], limit
     w = c.window(reverse=not forward)
     cell = F.struct(*[col(s).alias(f"v{i}") for i, s in enumerate(columns)])
     local = [F.last(col(s), ignorenulls=True).over(w.rowsBetween(-limit, 0)).alias(f"__x{i}") for i, s in enumerate(columns)]
-    out = c.df.select("*", *local, F.row_number().over(w).alias("__rn"))
+    out = c.spread().select("*", *local, F.row_number().over(w).alias("__rn"))
     if c.chunks > 1:
         out = with_edges(c, out, cell, limit if forward else 0, 0 if forward else limit)
         side = "__b" if forward else "__a"

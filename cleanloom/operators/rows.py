@@ -285,7 +285,7 @@ def interpolate(df: DataFrame, column: str, order_by=None, group_by=None) -> Dat
     known = F.when(col(column).isNotNull(), F.struct(col(pos).alias("p"), col(column).cast("double").alias("v")))
     numbered = scan.settle(scan.number(df, part, keys, pos).withColumn("__known", known))
     c = scan.chunked(numbered, part, keys)
-    out = scan.fill_on(c, c.df, {"__known": "__prev"}, True)
+    out = scan.fill_on(c, c.spread(), {"__known": "__prev"}, True)
     out = scan.fill_on(c, out, {"__known": "__next"}, False).drop(c.chunk)
     p, n = F.col("__prev"), F.col("__next")
     line = p["v"] + (n["v"] - p["v"]) * (col(pos) - p["p"]) / F.nullif(n["p"] - p["p"], F.lit(0))

@@ -212,20 +212,35 @@ def read_csv_safe(spark: SparkSession, paths, encoding: str | None = None, delim
         skip = g["header_row"] + 1 if find_header else 0
         schema = ", ".join(f"`{n}` string" for n in names) + ", `bad_line` string"
         part = (spark.read.schema(schema).option("sep", delimiter or g["delimiter"]).option("encoding", _charset(encoding or g["encoding"]))
-                .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad_line").option("header", False)
+                .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad_line").option("header", skip == 1)
                 .option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).csv(g["files"]))
         part = part.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("row_block"),
                            F.monotonically_increasing_id().alias("row_id"))
-        if skip:
-            # the header lines are the first lines of the first block
-            w = Window.partitionBy("source_file").orderBy("row_id")
-            first = part.where("row_block = 0").select("source_file", "row_id", F.row_number().over(w).alias("n")).where(F.col("n") <= skip)
-            cut = first.groupBy("source_file").agg(F.max("row_id").alias("cut")).withColumnRenamed("source_file", "f")
-            part = part.join(cut, F.col("source_file") == F.col("f"), "left").where((F.col("row_block") > 0) | (F.col("row_id") > F.col("cut"))).drop("f", "cut")
+        if skip > 1:
+            part = _drop_first_lines(part, skip, len(g["files"]))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 
+# a per-file table of at most this many rows is broadcast
+BROADCAST_FILES = 100_000
+
+
+def _drop_first_lines(part: DataFrame, skip: int, n_files: int) -> DataFrame:
+    """Drop the junk and header lines on top of each file; the reader itself skips only one line.
+
+    The table of cut places has one row per file, and the number of files is known, so it is
+    broadcast: the rows of one very large file need no shuffle.
+    """
+    w = Window.partitionBy("source_file").orderBy("row_id")
+    first = part.where("row_block = 0").select("source_file", "row_id", F.row_number().over(w).alias("n")).where(F.col("n") <= skip)
+    cut = first.groupBy(F.col("source_file").alias("f")).agg(F.max("row_id").alias("cut"))
+    if n_files <= BROADCAST_FILES:
+        cut = F.broadcast(cut)
+    kept = part.join(cut, F.col("source_file") == F.col("f"), "left").where((F.col("row_block") > 0) | (F.col("row_id") > F.col("cut")))
+    return kept.drop("f", "cut")
+
+
 def _charset(name: str) -> str:
     return CHARSETS.get(name.lower(), name)
 
