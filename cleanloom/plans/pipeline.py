@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scan
-from ..functions.core import OpError
+from ..functions.core import OpError, as_list, per_column, q
 from ..operators import calculate, columns, dates, format, groups, quality, rows, tables, text
 from ..sources import files
 
@@ -101,6 +101,25 @@ def metrics(df: DataFrame, step: Mapping) -> DataFrame:
     return fn(df, **{k: v for k, v in (step.get("params") or {}).items() if k in known})
 
 
+def effect(df: DataFrame, step: Mapping, tables: Mapping[str, DataFrame] | None = None, order_by=None) -> DataFrame:
+    """What a step would do to its columns, in one pass: rows (column, rows_after, changed, new_nulls).
+
+    A copy of each target column rides along through the step, so this is for steps that keep
+    their rows and other columns (text, format, date, number and null steps).
+    """
+    params = step.get("params") or {}
+    names = [c for p in ("column", "columns", "target_columns") for c in as_list(params.get(p)) if c in df.columns]
+    fn = get_op(step["op"])
+    old = {c: f"__old_{i}" for i, c in enumerate(names)}
+    out = fn(df.withColumns({o: F.col(q(c)) for c, o in old.items()}), **_bind(df, params, tables or {}, fn, order_by))
+    names = [c for c in names if c in out.columns and old[c] in out.columns]
+    if not names:
+        raise OpError("the step keeps none of its target columns")
+    same = lambda c: F.col(old[c]).cast("string").eqNullSafe(F.col(q(c)).cast("string"))
+    return per_column(out, {c: {"rows_after": F.count(F.lit(1)), "changed": F.count_if(~same(c)),
+                                "new_nulls": F.count_if(F.col(old[c]).isNotNull() & F.col(q(c)).isNull())} for c in names})
+
+
 # older step type -> (operator, parameter that takes the target columns, renamed parameters)
 _OLDER: dict[str, tuple[str, str | None, dict[str, str]]] = {
     "filter_rows": ("filter_rows", None, {}), "drop_rows": ("drop_rows", "target_columns", {}), "sort_rows": ("sort_rows", "columns", {}),

@@ -195,12 +195,14 @@ def sniff(spark: SparkSession, paths, **header_options) -> DataFrame:
     return detect_encoding(spark, paths).join(delim, "file").join(detect_header(heads, delim, **header_options), "file")
 
 
-def read_csv_safe(spark: SparkSession, paths, encoding: str | None = None, delimiter: str | None = None, find_header: bool = True) -> DataFrame:
+def read_csv_safe(spark: SparkSession, paths, encoding: str | None = None, delimiter: str | None = None, find_header: bool = True,
+                  multi_line: bool = False) -> DataFrame:
     """All files as text columns plus ``source_file``, ``row_block``, ``row_id`` (their line order) and ``bad_line``.
 
     Files are grouped by encoding, delimiter and header line and each group is read once:
     one read over files with different headers would put values in the wrong columns. The
     list of layouts (one row per group, with its paths) is read on the driver, as paths must be.
+    ``multi_line`` reads quoted line breaks, at the price that a file is not split.
     """
     plan = sniff(spark, paths)
     groups = plan.groupBy("encoding", "delimiter", "header_row", "fields").agg(F.collect_list("file").alias("files")).collect()
@@ -212,7 +214,7 @@ def read_csv_safe(spark: SparkSession, paths, encoding: str | None = None, delim
         skip = g["header_row"] + 1 if find_header else 0
         schema = ", ".join(f"`{n}` string" for n in names) + ", `bad_line` string"
         part = (spark.read.schema(schema).option("sep", delimiter or g["delimiter"]).option("encoding", _charset(encoding or g["encoding"]))
-                .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad_line").option("header", skip == 1)
+                .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad_line").option("header", skip == 1).option("multiLine", multi_line)
                 .option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).csv(g["files"]))
         part = part.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("row_block"),
                            F.monotonically_increasing_id().alias("row_id"))

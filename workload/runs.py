@@ -203,6 +203,11 @@ Q = {
     "step_metrics": (
         findings,
         "SELECT o_orderstatus AS value, 'new' AS kind, count(*) AS count FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1 UNION ALL SELECT 'q', 'missing', 0"),
+    "step_effect": (
+        lambda s, d: L.effect(t(s, d, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderstatus = 'F' THEN 'soon' ELSE date_format(o_orderdate, 'M/d/yyyy') END AS day"),
+                              {"op": "format_date", "params": {"column": "day", "output_format": "%m/%d/%Y"}}),
+        """SELECT 'day' AS "column", count(*) AS rows_after, count(*) FILTER (o_orderstatus = 'F' OR month(o_orderdate) < 10 OR day(o_orderdate) < 10) AS changed,
+           count(*) FILTER (o_orderstatus = 'F') AS new_nulls FROM orders"""),
     "custom_sql": (
         lambda s, d: L.custom(t(s, d, "orders"), "SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS top FROM {df} GROUP BY o_orderstatus"),
         "SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1"),
