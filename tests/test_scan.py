@@ -157,6 +157,12 @@ def test_identical_rows_do_not_break_the_cut(spark, chunks):
     assert R.row_number(df, "n", order_by=["x"]).agg(F.sum("n")).first()[0] == 60 * 61 // 2
 
 
+def test_few_distinct_keys_are_still_cut(spark, chunks):
+    df = spark.range(4000).select((F.col("id") % 20).alias("day"), F.col("id"))
+    c = scan.chunked(df, [], ["day"])
+    assert 10 <= c.chunks <= 20 and c.df.select("day", c.chunk).distinct().count() == 20
+
+
 def test_offset_and_large_limit(spark, frame, chunks, monkeypatch):
     df, pdf = frame
     assert sorted(r["k"] for r in R.offset_rows(df, 100, ["k"]).collect()) == pdf.k.tolist()[100:]

@@ -103,14 +103,14 @@ Q = {
         """WITH c AS (SELECT c_mktsegment, o_orderstatus, o_orderpriority, count(*) AS n FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') ON c_custkey = o_custkey GROUP BY ALL)
            SELECT sum(n)::BIGINT AS row_count, 3::INTEGER AS column_count, (sum(n) - count(*))::BIGINT AS duplicate_rows, (sum(n) FILTER (o_orderstatus IS NOT NULL))::BIGINT AS complete_rows, 'critical' AS severity FROM c"""),
     "generate_contract": (
-        lambda s, d: contract(s, d).selectExpr("name", "semantic_type", "dtype", "required", "nullable", "max_null_percent", "min_value", "max_value", "array_sort(allowed_values) AS allowed_values",
+        lambda s, d: contract(s, d).selectExpr("name", "semantic_type", "dtype", "required", "nullable", "max_null_percent", "min_value", "max_value", "array_join(array_sort(allowed_values), '|') AS allowed_values",
                                                "array_contains(alternative_names, upper(name)) AS has_upper"),
         """SELECT 'c_custkey' AS name, 'phone' AS semantic_type, 'int64' AS dtype, true AS required, false AS nullable, 10.0::DOUBLE AS max_null_percent, min(c_custkey)::DOUBLE AS min_value,
-           max(c_custkey)::DOUBLE AS max_value, NULL::VARCHAR[] AS allowed_values, true AS has_upper FROM customer
+           max(c_custkey)::DOUBLE AS max_value, NULL::VARCHAR AS allowed_values, true AS has_upper FROM customer
            UNION ALL SELECT 'c_name', 'name', 'object', true, false, 10, NULL, NULL, NULL, true
            UNION ALL SELECT 'c_nationkey', 'numeric', 'int64', true, false, 10, min(c_nationkey), max(c_nationkey), NULL, true FROM customer
            UNION ALL SELECT 'c_acctbal', 'numeric', 'float64', true, false, 10, min(c_acctbal), max(c_acctbal), NULL, true FROM customer
-           UNION ALL SELECT 'c_mktsegment', 'category', 'object', true, false, 10, NULL, NULL, list_sort(list(DISTINCT c_mktsegment)), true FROM customer"""),
+           UNION ALL SELECT 'c_mktsegment', 'category', 'object', true, false, 10, NULL, NULL, string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment), true FROM customer"""),
     "contract_fingerprint": (
         lambda s, d: N.fingerprint(contract(s, d)),
         """SELECT 'customers' AS contract_id, left(sha256('c_custkey:phone:int64|c_name:name:object|c_nationkey:numeric:int64|c_acctbal:numeric:float64|c_mktsegment:category:object'), 16) AS fingerprint

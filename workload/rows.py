@@ -116,6 +116,6 @@ Q = {
         lambda s, d: R.explode_column(t(s, d, "part").selectExpr("p_partkey", "replace(nullif(p_name, 'red widget'), ' ', ' ; ') AS p_name"), "p_name", ";"),
         """SELECT p_partkey, unnest(CASE WHEN p_name = 'red widget' THEN [NULL] ELSE string_split(p_name, ' ') END) AS p_name FROM part"""),
     "explode_arrays": (
-        lambda s, d: R.explode(t(s, d, "embeddings"), ["embedding"]),
-        "SELECT vec_id, unnest(embedding) AS embedding, label FROM embeddings"),
+        lambda s, d: R.explode(t(s, d, "embeddings"), ["embedding"]).selectExpr("vec_id", "CAST(embedding AS double) AS embedding", "label"),
+        "SELECT vec_id, unnest(embedding)::DOUBLE AS embedding, label FROM embeddings"),
 }
