@@ -9,9 +9,6 @@ from .core import quote_literal
 # Python's str.strip() and \s also cover these control characters
 WHITE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 
-# a run of white space that is not one plain space: replacing single spaces by themselves would be wasted work
-RUN = rf" {WHITE}+|(?! ){WHITE}{WHITE}*"
-
 
 def strip(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, rf"^{WHITE}+", ""), rf"{WHITE}+$", "")
