@@ -4,10 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, table
+from .common import cut, shared_folder, table
 from .mixing import mixed
+from .neardup import classes
+from .pieces import sampled
+from .pii import BASE, fit, mark
 from .quality import host_verdicts, judged, measured
 from .sharding import shard_rows
+from .tokens import read_tokens, write_tokens
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer lies; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_simple8b_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    to = shared_folder(spark)
+    write_tokens(table(spark, folder, "documents"), to, tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return read_tokens(spark, to, digest=True)
+
+
+def op4_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    _, named = classes(docs, keep=[docs["doc_id"], docs["text"]])
+    return named.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
 
 
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,6 +38,11 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed(docs, keep=[docs["doc_id"]]).select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op7_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return sampled(docs, tokenizer_file("piece_bpe_32k.model"), keep=[docs["doc_id"]], digest=True).select("row.*", "sample", "n_pieces", "log_prob", "log_inclusion", "ids_crc32", "round_trip")
+
+
 def op8_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     crc = F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary"))
@@ -28,7 +56,16 @@ def op9_host_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged(m, host_verdicts(m)).select("row.doc_id", "m.*", "base_failed", "kept", "host_failed", F.col("host").alias("source"))
 
 
-Q = {f.__name__: f for f in (op6_mix_sources, op8_histogram_shards, op9_host_rules)}
+def op10_weak_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = mark(docs, fit(docs), keep=[docs["doc_id"]])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("row.doc_id", *[count(k) for k in BASE], F.sha2(joined(F.filter("spans", lambda x: x["kind"].isin(*BASE))), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
+
+
+Q = {f.__name__: f for f in (op1_simple8b_tokens, op4_dart_minhash, op6_mix_sources, op7_sampled_pieces, op8_histogram_shards, op9_host_rules, op10_weak_pii)}
 SQL: dict[str, str] = {}
 
 
