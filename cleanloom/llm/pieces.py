@@ -46,7 +46,7 @@ class Vocabulary:
         floor = min(weigh(s) for s in scores)
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
-        self.is_byte = np.array([sp.is_byte(i) for i in range(n)])
+        self.raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self.unknown, self.byte_weight = sp.unk_id(), floor / temperature
         self.weights = {self.pieces[i]: (i, weigh(scores[i]) / temperature) for i in range(n)
                         if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
@@ -62,12 +62,7 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids; bytes that are no UTF-8 become replacement characters."""
-        parts = map(self.pieces.__getitem__, ids.tolist())
-        if self.is_byte[ids].any():
-            joined = b"".join(bytes([int(p[3:5], 16)]) if len(p) == 6 and p[:3] == "<0x" else p.encode() for p in parts).decode("utf-8", "replace")
-        else:
-            joined = "".join(parts)
-        text = joined.replace(SPACE, " ")
+        text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -104,6 +99,7 @@ class Lattices:
         for p, (i, _) in v.weights.items():
             if len(p) == 1:
                 self.single[ord(p)] = i
+        self.ascii = np.array([v.bytes.get(c, v.unknown) for c in range(128)])
         self.weight = np.zeros(len(v.pieces))
         for i, w in v.weights.values():
             self.weight[i] = w
@@ -146,7 +142,8 @@ class Lattices:
         letters = self.letter[codes]
         single = self.single[codes]
         spelled = np.fromiter((len(v.bytes) == 256 and len(chr(c).encode("utf-8", "surrogatepass")) or 1 for c in codes[single < 0].tolist()), np.float64)
-        source, target, piece = [place], [place + 1], [np.where(single >= 0, single, -codes - 1)]
+        own = np.where(single >= 0, single, np.where((codes < 128) & (len(v.bytes) == 256), self.ascii[np.minimum(codes, 127)], -codes - 1))
+        source, target, piece = [place], [place + 1], [own]
         weight = [self.weight[np.maximum(single, 0)]]
         weight[0][single < 0] = spelled * v.byte_weight
         at, state = place, self.table[0, letters]
