@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import cut, shared_folder, table
 from .mixing import mixed
 from .neardup import classes
+from .neighbours import search
 from .pieces import sampled
 from .pii import BASE, fit, mark
 from .quality import host_verdicts, judged, measured
@@ -33,6 +34,11 @@ def op4_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return named.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
 
 
+def op5_adaptive_scan(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return search(vectors, vectors["vec_id"] % 100 == 0)
+
+
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return mixed(docs, keep=[docs["doc_id"]]).select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
@@ -65,7 +71,7 @@ def op10_weak_pii(spark: SparkSession, folder: str) -> DataFrame:
                         joined(F.col("spans")).alias("spans"))
 
 
-Q = {f.__name__: f for f in (op1_simple8b_tokens, op4_dart_minhash, op6_mix_sources, op7_sampled_pieces, op8_histogram_shards, op9_host_rules, op10_weak_pii)}
+Q = {f.__name__: f for f in (op1_simple8b_tokens, op4_dart_minhash, op5_adaptive_scan, op6_mix_sources, op7_sampled_pieces, op8_histogram_shards, op9_host_rules, op10_weak_pii)}
 SQL: dict[str, str] = {}
 
 
