@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import cut, shared_folder, table
 from .mixing import mixed
@@ -11,6 +11,7 @@ from .neighbours import search
 from .pieces import sampled
 from .pii import BASE, fit, mark
 from .quality import host_verdicts, judged, measured
+from .secrets import scan_secrets
 from .sharding import shard_rows
 from .tokens import read_tokens, write_tokens
 
@@ -28,6 +29,23 @@ def op1_simple8b_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return read_tokens(spark, to, digest=True)
 
 
+def span_text(spans) -> Column:
+    """kind:start:end of each span, joined by commas"""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def span_count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op2_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    base = F.filter("spans", lambda x: x["kind"] != "random")
+    return scan_secrets(docs, keep=[docs["doc_id"]]).select(
+        "row.doc_id", *[span_count(k) for k in ("assign", "access", "hex")], F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live"))
+
+
 def op4_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     _, named = classes(docs, keep=[docs["doc_id"], docs["text"]])
@@ -65,13 +83,11 @@ def op9_host_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op10_weak_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = mark(docs, fit(docs), keep=[docs["doc_id"]])
-    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("row.doc_id", *[count(k) for k in BASE], F.sha2(joined(F.filter("spans", lambda x: x["kind"].isin(*BASE))), 256).alias("base_sha256"),
-                        joined(F.col("spans")).alias("spans"))
+    base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
+    return found.select("row.doc_id", *[span_count(k) for k in BASE], F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
-Q = {f.__name__: f for f in (op1_simple8b_tokens, op4_dart_minhash, op5_adaptive_scan, op6_mix_sources, op7_sampled_pieces, op8_histogram_shards, op9_host_rules, op10_weak_pii)}
+Q = {f.__name__: f for f in (op1_simple8b_tokens, op2_secret_ownership, op4_dart_minhash, op5_adaptive_scan, op6_mix_sources, op7_sampled_pieces, op8_histogram_shards, op9_host_rules, op10_weak_pii)}
 SQL: dict[str, str] = {}
 
 
