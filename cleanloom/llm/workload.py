@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import cut, shared_folder, table
+from .licences import scan_licences
 from .mixing import mixed
 from .neardup import classes
 from .neighbours import search
@@ -46,6 +47,11 @@ def op2_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
         F.size(F.filter("spans", lambda x: x["live"])).cast("long").alias("n_live"))
 
 
+def op3_licence_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return scan_licences(docs, keep=[docs["doc_id"]]).select("row.doc_id", "n_paragraphs", "n_confirmed", "n_unknown", "families")
+
+
 def op4_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     _, named = classes(docs, keep=[docs["doc_id"], docs["text"]])
@@ -87,7 +93,7 @@ def op10_weak_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", *[span_count(k) for k in BASE], F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
-Q = {f.__name__: f for f in (op1_simple8b_tokens, op2_secret_ownership, op4_dart_minhash, op5_adaptive_scan, op6_mix_sources, op7_sampled_pieces, op8_histogram_shards, op9_host_rules, op10_weak_pii)}
+Q = {f.__name__: f for f in (op1_simple8b_tokens, op2_secret_ownership, op3_licence_classifier, op4_dart_minhash, op5_adaptive_scan, op6_mix_sources, op7_sampled_pieces, op8_histogram_shards, op9_host_rules, op10_weak_pii)}
 SQL: dict[str, str] = {}
 
 
