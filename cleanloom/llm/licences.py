@@ -55,16 +55,15 @@ CONFIRMED = 0.5
 def grams(paragraph: Column) -> Column:
     """The distinct words and pairs and triples of words, in lower case."""
     words = F.filter(F.split(F.lower(paragraph), r"[^\p{L}\p{N}.]+|\.(?=\P{N}|$)"), lambda w: w != "")
-    return let(words, lambda w: F.array_distinct(F.concat(
+    return let(words, lambda w: F.array_compact(F.array_distinct(F.concat(
         w, F.transform(w, lambda x, i: F.when(i + 1 < F.size(w), F.concat_ws(" ", x, F.get(w, i + 1)))),
-        F.transform(w, lambda x, i: F.when(i + 2 < F.size(w), F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)))))))
+        F.transform(w, lambda x, i: F.when(i + 2 < F.size(w), F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2))))))))
 
 
 def named(gram_list: Column) -> Column:
     """The family a paragraph names, if it names exactly one; null if several, unknown if none."""
-    plain = F.concat(F.lit(" "), F.array_join(F.filter(gram_list, lambda g: ~g.contains(" ")), " "), F.lit(" "))
-    joined = F.concat(plain, F.lit("| "), F.array_join(F.filter(gram_list, lambda g: g.contains(" ")), " | "))
-    hits = F.filter(F.array(*[F.when(joined.rlike(p), F.lit(f)) for f, p in NAMES.items()]), lambda x: x.isNotNull())
+    plain = F.array_join(F.filter(gram_list, lambda g: ~g.contains(" ")), " ")
+    hits = F.filter(F.array(*[F.when(plain.rlike(p), F.lit(f)) for f, p in NAMES.items()]), lambda x: x.isNotNull())
     return F.when(F.size(hits) == 0, F.lit(UNKNOWN)).when(F.size(hits) == 1, F.get(hits, 0))
 
 
@@ -128,9 +127,15 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def fit(each: DataFrame) -> Model:
-    """Trained on the templates and, of each label, on the paragraphs (``grams``) with the smallest hashes."""
+    """Trained on the templates and, of each label, on the paragraphs (``grams``) with the smallest hashes.
+
+    A paragraph that names no licence but shares three words in a row with a template has no label.
+    """
     spark = each.sparkSession
-    labelled = cut(each.select("grams", named(F.col("grams")).alias("label")).where("label IS NOT NULL").select("grams", "label", F.xxhash64("grams").alias("h")).dropDuplicates(["h", "label"]))
+    known = templates(spark).select(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("g")).first()["g"]  # fixed templates
+    alike = F.arrays_overlap("grams", F.array(*[F.lit(g) for g in known if g.count(" ") == 2]))
+    label = named(F.col("grams"))
+    labelled = cut(each.select("grams", F.when(~((label == UNKNOWN) & alike), label).alias("label")).where("label IS NOT NULL").select("grams", "label", F.xxhash64("grams").alias("h")).dropDuplicates(["h", "label"]))
     rows = [(r["grams"], r["family"], False) for r in templates(spark).collect()]
     for label in FAMILIES:
         taken = labelled.where(F.col("label") == label).orderBy("h").limit(TRAINED_ON).collect()

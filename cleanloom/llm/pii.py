@@ -155,7 +155,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.array(rows) @ np.array(self.weights), -30, 30)))
 
 
-def estimate(patterns: list[tuple[str, int]], rounds: int = 60) -> tuple[float, np.ndarray, dict[str, float]]:
+def estimate(patterns: list[tuple[str, int]], rounds: int = 300) -> tuple[float, np.ndarray, dict[str, float]]:
     """EM on counted vote patterns: prior, P(vote | class) by labeler (class, labeler, vote), posterior of each pattern."""
     patterns = sorted(patterns)
     v = np.array([[int(x) + 1 for x in p.split(",")] for p, _ in patterns])

@@ -79,15 +79,14 @@ def host_verdicts(measured: DataFrame, most: float = 0.5) -> DataFrame:
     """A row for each host that is not null: host, n_docs, host_rate (of its worst rule) and host_failed.
 
     For each rule the prior is a beta distribution with the mean and the spread of the rates of all hosts (method of moments,
-    less the variance that chance gives a host of its size). A host fails if for any rule its shrunk rate is above ``most``:
+    less the variance that chance gives a host of its size), hosts counting alike so that one large host does not set it. A host fails if for any rule its shrunk rate is above ``most``:
     few documents alone do not fail a host. An empty table gives no hosts.
     """
     rules = [f.name for f in measured.schema["failed"].dataType.fields]
     hosts = cut(measured.where("host IS NOT NULL").groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.col("failed")[r].cast("long")).alias(r) for r in rules]))
     whole = lambda c: F.round(c * UNIT).cast("decimal(38,0)")
-    share = {r: F.sum(r) / F.sum("n") for r in rules}
-    first = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum(whole(1 / F.col("n"))).alias("chance"), *[share[r].alias(f"{r}_mean") for r in rules],
+    first = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum(whole(1 / F.col("n"))).alias("chance"),
                       *[F.sum(whole(F.col(r) / F.col("n"))).alias(f"{r}_sum") for r in rules],
                       *[F.sum(whole((F.col(r) / F.col("n")) * (F.col(r) / F.col("n")))).alias(f"{r}_squares") for r in rules])
     p = first.first()  # one row
@@ -95,9 +94,9 @@ def host_verdicts(measured: DataFrame, most: float = 0.5) -> DataFrame:
     def rate(r: str) -> Column:
         if not p["hosts"]:
             return F.lit(0.0)
-        k, mean = p["hosts"], float(p[f"{r}_mean"])
-        middle = float(p[f"{r}_sum"]) / UNIT / k
-        spread = float(p[f"{r}_squares"]) / UNIT / k - middle * middle - mean * (1 - mean) * float(p["chance"]) / UNIT / k
+        k = p["hosts"]
+        mean = float(p[f"{r}_sum"]) / UNIT / k
+        spread = float(p[f"{r}_squares"]) / UNIT / k - mean * mean - mean * (1 - mean) * float(p["chance"]) / UNIT / k
         weight = MOST_PRIOR if spread <= 1e-9 else min(MOST_PRIOR, max(LEAST_PRIOR, mean * (1 - mean) / spread - 1))
         return (F.col(r) + F.lit(weight * mean)) / (F.col("n") + F.lit(weight))
 
