@@ -81,11 +81,21 @@ def num(df: DataFrame, name: str) -> Column:
     return col(name).cast("double") if is_numeric(df, name) else col(name).try_cast("double")
 
 
+def plain_number(s: Column) -> Column:
+    """A number's shortest text without exponent: the point moves, no digit is cut."""
+    sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    digits = F.regexp_replace(F.regexp_replace(F.substring_index(s, "E", 1), "[-.]", ""), "(?<=.)0+$", "")
+    shift = F.substring_index(s, "E", -1).try_cast("int")
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -shift - 1), digits)
+    whole = F.rpad(digits, shift + 1, "0")
+    large = F.concat(sign, F.substring(whole, 1, shift + 1), F.lit("."), F.when(F.length(digits) > shift + 1, F.substring(digits, shift + 2, F.length(digits))).otherwise(F.lit("0")))
+    return F.when(~s.contains("E"), s).when(shift < 0, small).otherwise(large)
+
+
 def text(df: DataFrame, name: str) -> Column:
-    """The column as text; null stays null. Doubles keep plain decimal notation."""
+    """The column as text; null stays null. Doubles keep all their digits, in plain decimal notation."""
     if isinstance(dtype(df, name), (T.DoubleType, T.FloatType)):
-        plain = F.regexp_replace(F.format_string("%.10f", col(name).cast("double")), r"(\.\d+?)0+$", "$1")
-        return F.when(col(name).isNotNull(), plain)
+        return plain_number(col(name).cast("double").cast("string"))
     return col(name) if is_string(df, name) else col(name).cast("string")
 
 

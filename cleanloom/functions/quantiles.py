@@ -57,7 +57,12 @@ def quantiles(df: DataFrame, part: Sequence[str], value: str, probs: Sequence[fl
     picked = runs.groupBy(*[col(p) for p in part]).agg(*aggs)
     return picked.select(
         *[col(p) for p in part],
-        *[(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * F.col(f"__f{i}")).alias(f"q{i}") for i in range(len(probs))])
+        *[_between(F.col(f"__lo{i}"), F.col(f"__hi{i}"), F.col(f"__f{i}")).alias(f"q{i}") for i in range(len(probs))])
+
+
+def _between(lo: Column, hi: Column, part: Column) -> Column:
+    """As ``percentile`` has it, so that both ways give the same: equal ends as they are, else a weighted sum, also of infinities."""
+    return F.when(lo == hi, lo).otherwise((1 - part) * lo + part * hi)
 
 
 def modes(df: DataFrame, part: Sequence[str], value: str, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from .core import OpError, as_list, col, need, q, tmp_name
 
@@ -31,7 +31,8 @@ ROWS_PER_CHUNK = 10_000
 ROWS_PER_TASK = 2_000_000
 MAX_CHUNKS = 4096
 SAMPLE_PER_CHUNK = 32
-BROADCAST_CELLS = 200_000
+BROADCAST_BYTES = 4_000_000
+_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 @dataclass(frozen=True)
@@ -204,12 +205,14 @@ class Chunked:
     def with_carry(self, out: DataFrame, carry: DataFrame, width: int = 1) -> DataFrame:
         """Join the carried values on; rows of a group's first chunk get null.
 
-        The carry has at most one row per bound, each of up to ``width`` cells, so
-        its size is known here; past ``BROADCAST_CELLS`` Spark chooses the join.
+        The carry has at most one row per bound, each of up to ``width`` cells. It is broadcast where
+        all its cells are of fixed width and their bytes are within ``BROADCAST_BYTES``; with text, lists or
+        more rows Spark chooses the join.
         """
         keys = {c: f"__c{i}" for i, c in enumerate([*self.part, self.chunk])}
         right = carry.withColumnsRenamed(keys)
-        if self.chunks * width <= BROADCAST_CELLS:
+        fixed = all(isinstance(f.dataType, _FIXED) for f in right.schema.fields)
+        if fixed and 16 * self.chunks * max(width, len(right.columns)) <= BROADCAST_BYTES:
             right = F.broadcast(right)
         cond = None
         for c, r in keys.items():

@@ -71,13 +71,14 @@ def copy_column(df: DataFrame, source: str, destination: str) -> DataFrame:
 
 
 def split_column(df: DataFrame, column: str, delimiter: str = ",", new_columns=None, keep_original: bool = False,
-                 max_splits: int = -1, expand: bool = True) -> DataFrame:
-    """Split text into named columns, numbered columns (one pass finds the width), or an array."""
+                 max_splits: int = -1, expand: bool = True, array_column: str | None = None) -> DataFrame:
+    """Split text into named columns, numbered columns (one pass finds the width), or an array, which takes
+    the column's place or the name ``array_column``."""
     need(df, [column])
     limit = max_splits + 1 if max_splits and max_splits > 0 else -1
     pieces = F.split(text(df, column), textfn.splitter(delimiter), limit)
     if not expand:
-        return df.withColumn(column, pieces)
+        return df.withColumn(array_column or column, pieces)
     names = as_list(new_columns)
     if not names:
         width = df.agg(F.max(F.size(pieces))).first()[0] or 0
@@ -231,18 +232,29 @@ def fill_backward(df: DataFrame, columns=None, limit: int | None = None, group_b
     return _fill(df, columns, limit, group_by, order_by, False)
 
 
-def _snake(name: str) -> str:
-    name = re.sub(r"\s+", "_", re.sub(r"[^\w\s]", "", name))
-    name = re.sub(r"([a-z])([A-Z])", r"\1_\2", name).lower()
-    return re.sub(r"_+", "_", name).strip("_")
+# a word of a header: letters, digits and joined marks, after everything else but spaces and underscores is gone
+_WORD = re.compile(r"[^\s_]+")
 
 
-def _camel(name: str) -> str:
-    head, *rest = re.split(r"[\s_]+", re.sub(r"[^\w\s]", "", name))
-    return head.lower() + "".join(w.title() for w in rest)
+def header_words(name: str) -> list[str]:
+    return _WORD.findall("".join(c for c in name if c.isalnum() or c.isspace() or c == "_"))
+
+
+def snake_words(words: Sequence[str]) -> str:
+    """Lower case, joined by underscores, also where a small ASCII letter meets a capital one."""
+    out = []
+    for word in words:
+        cuts = [i for i in range(1, len(word)) if "a" <= word[i - 1] <= "z" and "A" <= word[i] <= "Z"]
+        out += [word[a:b].lower() for a, b in zip([0, *cuts], [*cuts, len(word)])]
+    return "_".join(out)
+
+
+def camel_words(words: Sequence[str]) -> str:
+    return "".join(w.lower() if i == 0 else w.title() for i, w in enumerate(words))
 
 
 def sanitize_headers(df: DataFrame, style: str = "snake_case") -> DataFrame:
     """Clean column names; no data is read."""
     one_of("style", style, ("snake_case", "camelCase"))
-    return df.toDF(*[(_snake if style == "snake_case" else _camel)(c) for c in df.columns])
+    join = snake_words if style == "snake_case" else camel_words
+    return df.toDF(*[join(header_words(c)) for c in df.columns])

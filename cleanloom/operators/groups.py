@@ -36,9 +36,7 @@ def pivot(df: DataFrame, index, columns: str, values, aggfunc: str = "sum", fill
     one_of("aggfunc", aggfunc, ("sum", "mean", "count", "min", "max", "first", "last", "median", "std", "nunique"))
     keyed = df.where(_all_not_null([*idx, columns]))
     if pivot_values is None:
-        pivot_values = [r[0] for r in keyed.select(col(columns)).distinct().orderBy(col(columns)).limit(10_001).collect()]
-        if len(pivot_values) > 10_000:
-            raise OpError(f"{columns!r} has over 10000 values: a table cannot have that many columns; group by it instead")
+        pivot_values = [r[0] for r in keyed.select(col(columns)).distinct().orderBy(col(columns)).collect()]  # they become column names
     keys = scan.keys_of(order_by)
     aggs = [(F.percentile(col(v), 0.5) if aggfunc == "median" else _simple_agg(keyed, v, aggfunc, keys)).alias(v) for v in vals]
     out = keyed.groupBy(*[col(c) for c in idx]).pivot(columns, list(pivot_values)).agg(*aggs)
@@ -68,9 +66,9 @@ def transpose_long(df: DataFrame, key: str, value_columns=None) -> DataFrame:
     return unpivot(df, [key], value_columns, "column", "value")
 
 
-def transpose(df: DataFrame, key: str | None = None, use_first_column_as_header: bool = False, max_columns: int = 1000, order_by=None) -> DataFrame:
-    """Rows to columns. A table has a bounded number of columns, so more than
-    ``max_columns`` rows is an error: use ``transpose_long`` there."""
+def transpose(df: DataFrame, key: str | None = None, use_first_column_as_header: bool = False, max_columns: int | None = None, order_by=None) -> DataFrame:
+    """Rows to columns. The keys become column names and so come to the driver; ``max_columns`` makes more of them an error,
+    and ``transpose_long`` has no such need."""
     if use_first_column_as_header:
         key = key or df.columns[0]
     if key is None:
@@ -78,8 +76,9 @@ def transpose(df: DataFrame, key: str | None = None, use_first_column_as_header:
         out = scan.number(df, [], keys, "__at").withColumn("__at", F.concat(F.lit("col_"), (F.col("__at") - 1).cast("string")))
         key, df = "__at", out
     need(df, [key])
-    heads = [r[0] for r in df.select(text(df, key).alias("k")).distinct().limit(max_columns + 1).collect()]
-    if len(heads) > max_columns:
+    heads = df.select(text(df, key).alias("k")).distinct()
+    heads = [r[0] for r in (heads if max_columns is None else heads.limit(max_columns + 1)).collect()]
+    if max_columns is not None and len(heads) > max_columns:
         raise OpError(f"more than {max_columns} rows: use transpose_long")
     heads = sorted(heads, key=lambda h: (int(h[4:]) if key == "__at" else 0, h))
     vals = [c for c in df.columns if c != key]

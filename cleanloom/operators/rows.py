@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -325,7 +326,7 @@ def add_rows(df: DataFrame, rows: Sequence[Mapping], position: str = "bottom", o
 
 def sample_rows(df: DataFrame, n: int | None = None, fraction: float | None = None, seed: int | None = None,
                 replace: bool = False, key=None) -> DataFrame:
-    """n rows or a fraction. A seeded exact sample orders by a hash of the row (or of ``key``)."""
+    """n rows or a fraction. An exact sample orders by a hash of the row (or of ``key``); without a seed one is drawn."""
     if n is not None and fraction is not None:
         raise OpError("give n or fraction, not both")
     if fraction is not None:
@@ -348,12 +349,10 @@ def sample_rows(df: DataFrame, n: int | None = None, fraction: float | None = No
         return numbered.join(draws, col(rn) == F.col("__draw")).drop(rn, "__draw")
     cols = as_list(key) or df.columns
     mark = tmp_name(df, "mark")
-    tagged = df.withColumn(mark, F.xxhash64(*[col(c) for c in cols], F.lit(seed if seed is not None else 0))
-                           if seed is not None else F.rand())
+    seed = random.getrandbits(62) if seed is None else seed
+    tagged = df.withColumn(mark, F.xxhash64(*[col(c) for c in cols], F.lit(seed)))
     if n <= HEAP_ROWS:
-        return tagged.orderBy(mark).limit(n).drop(mark)
-    if seed is None:
-        raise OpError("a large exact sample needs a seed")
+        return tagged.orderBy(mark, *_rest(df, [])).limit(n).drop(mark)
     rn = tmp_name(tagged, "row")
     return scan.number(tagged, [], [mark, *_rest(df, [])], rn).where(col(rn) <= n).drop(rn, mark)
 

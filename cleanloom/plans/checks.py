@@ -15,7 +15,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scan
-from ..functions.core import OpError, as_list, col, is_numeric, need, num, rows_frame, text, type_class
+from ..functions.core import OpError, as_list, col, is_numeric, need, num, q, rows_frame, text, type_class
 
 ROW_REDUCING = ("drop_rows", "filter_rows", "deduplicate", "slice_rows")
 HIGH_LOSS, EXTREME_LOSS = 0.5, 0.8
@@ -409,8 +409,9 @@ def assess_risk(df: DataFrame, plan: Mapping, is_deployed: bool = False) -> Data
 
 
 def removed_sample(df: DataFrame, plan: Mapping, n: int = 3) -> DataFrame:
-    """n of the rows a filter or drop would remove."""
+    """The first n of the rows a filter or drop would remove, by all columns that can be ordered."""
     from ..functions import predicates
+    from ..operators.rows import _rest
 
     mask = predicates.combine(df, plan["conditions"])
-    return df.where(~mask if _kind(plan) == "filter_rows" else mask).limit(n)
+    return df.where(~mask if _kind(plan) == "filter_rows" else mask).orderBy(*[F.col(q(c)) for c in _rest(df, [])]).limit(n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -27,6 +28,19 @@ def build_module(df: DataFrame, steps: Sequence[Mapping], contract_id: str = "mo
     return Module(contract_id, contracts.generate_contract(profile.profile_table(df), contract_id), steps)
 
 
+def save_module(module: Module, folder: str) -> Module:
+    """Write contract and steps under a shared folder; the module that comes back reads the written contract."""
+    spark = module.contract.sparkSession
+    module.contract.write.mode("overwrite").parquet(f"{folder}/contract")
+    rows_frame(spark, [(module.contract_id, json.dumps(list(module.steps)))], "contract_id string, steps string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/steps")
+    return load_module(spark, folder)
+
+
+def load_module(spark: SparkSession, folder: str) -> Module:
+    row = spark.read.parquet(f"{folder}/steps").first()
+    return Module(row["contract_id"], spark.read.parquet(f"{folder}/contract"), json.loads(row["steps"]))
+
+
 def match_incoming(df: DataFrame, module: Module, file: str = "incoming") -> DataFrame:
     """Read the meaning of a frame's columns and match them against the module's contract: one row."""
     p = profile.column_meanings(df).select(F.lit(file).alias("file"), F.lit(module.contract_id).alias("contract_id"), "position", "column",
@@ -56,12 +70,14 @@ class RunResult:
     mapping: dict[str, str]
 
 
-def run_module(df: DataFrame, module: Module, file: str = "incoming", force: bool = False, tables=None, order_by=None) -> RunResult:
+def run_module(df: DataFrame, module: Module, file: str = "incoming", force: bool = False, tables=None, order_by=None,
+               hidden: Sequence[str] = ()) -> RunResult:
     """match -> gate -> replay. NO_MATCH and LOW fail, MEDIUM waits unless forced, HIGH runs.
 
-    Only the match row (column names and a score) comes to the driver.
+    ``hidden`` columns ride along for the order and are no part of the match or the output. Only the match row (column
+    names and a score) comes to the driver.
     """
-    row = match_incoming(df, module, file).first()
+    row = match_incoming(df.drop(*hidden), module, file).first()
     level, score = (row["level"], float(row["score"])) if row else ("NO_MATCH", 0.0)
     mapping = {m["incoming"]: m["target"] for m in row["mappings"]} if row else {}
     status, error, output = "success", None, None
@@ -72,7 +88,7 @@ def run_module(df: DataFrame, module: Module, file: str = "incoming", force: boo
     else:
         done = apply_module(df, module, mapping, tables, order_by)
         if done.success:
-            output = done.df
+            output = done.df.drop(*hidden)
         else:
             status, error = "failed", next(s.error for s in done.steps if not s.success)
     record = rows_frame(df.sparkSession, [(file, module.contract_id, score, level, status, error)], RUN_SCHEMA)

@@ -86,6 +86,14 @@ def _observer(name: str) -> Callable[..., DataFrame]:
     return look
 
 
+def detect_enum_drift(df: DataFrame, column: str, expected_values: Sequence, case_sensitive: bool = False, add_drift_flag: bool = False) -> DataFrame:
+    """As a step it only looks, unless the flag column is asked for."""
+    return quality.detect_enum_drift(df, column, expected_values, case_sensitive) if add_drift_flag else df
+
+
+register_op("detect_enum_drift", detect_enum_drift)
+
+
 for _n in _METRICS:
     if _n not in _OPS:
         register_op(_n, _observer(_n))
@@ -141,7 +149,7 @@ _OLDER: dict[str, tuple[str, str | None, dict[str, str]]] = {
 # defaults of the older steps that differ (fixed values)
 _OLDER_DEFAULTS = {"pivot": {"aggfunc": "first", "fill_value": None}, "merge_columns": {"keep_original": True}, "flag_duplicates": {"new_column": "is_duplicate"},
                    "add_column": {"name": "new_column"}, "rename_column": {"strict": False}, "select_columns": {"strict": False},
-                   "drop_columns": {"strict": False}, "pad_string": {"length": 10}}
+                   "drop_columns": {"strict": False}, "pad_string": {"length": 10}, "split_column": {"keep_original": True}}
 
 
 def older_step(plan: Mapping) -> dict:
@@ -156,6 +164,8 @@ def older_step(plan: Mapping) -> dict:
         params["strict"] = not params.pop("keep_unlisted", False)
     elif target and columns and target not in params:
         params[target] = columns[0] if kind == "split_column" else columns
+    if kind == "split_column" and params.get("expand") is False:
+        params.setdefault("array_column", f"{params['column']}_split")
     if plan.get("conditions") and op in ("filter_rows", "drop_rows"):
         params["conditions"] = plan["conditions"]
     return {"op": op, "params": params}
@@ -189,9 +199,13 @@ def _bind(df: DataFrame, params: Mapping, tables: Mapping[str, DataFrame], fn: C
     return out
 
 
-def reads_order(fn: Callable) -> bool:
-    """Operators that depend on row order read their input several times (see ``scan``)."""
-    return "order_by" in inspect.signature(fn).parameters
+# operators that take an order and still read their input once: one sort, or one aggregate
+_READ_ONCE = {"sort_rows", "limit_rows", "head_rows", "tail_rows", "slice_rows", "remove_duplicates", "merge_duplicates", "aggregate", "group_by", "pivot", "add_rows"}
+
+
+def reads_often(name: str, fn: Callable) -> bool:
+    """Operators cut into chunks by row order read their input several times (see ``scan``)."""
+    return "order_by" in inspect.signature(fn).parameters and ALIASES.get(name, name) not in _READ_ONCE
 
 
 def check_params(step: Mapping) -> list[str]:
@@ -240,7 +254,8 @@ def _accepted(fn: Callable, params: Mapping) -> Mapping:
 
 def run_plan(df: DataFrame, steps: Sequence[Mapping], tables: Mapping[str, DataFrame] | None = None, stop_on_error: bool = True,
              order_by=None, count_rows: bool = False) -> PlanResult:
-    """Apply the steps in order. On a failed step the original frame comes back
+    """Apply the steps in order. Steps that are cut into chunks by row order count and sample their input while the plan is
+    built; from the second such step on the frame is checkpointed first. All others are lazy. On a failed step the original frame comes back
     (``stop_on_error``) or the step is skipped. ``count_rows`` adds a lazy frame
     (step, rows) with the row count after every step."""
     original, reports, counts, scans = df, [], [], 0
@@ -250,9 +265,10 @@ def run_plan(df: DataFrame, steps: Sequence[Mapping], tables: Mapping[str, DataF
             if problems:
                 raise OpError("; ".join(problems))
             fn = get_op(step["op"])
-            if scans and reads_order(fn):
+            often = reads_often(step["op"], fn)
+            if scans and often:
                 df = scan.settle(df)  # an ordered step on top of another would repeat it
-            scans += reads_order(fn)
+            scans += often
             df = fn(df, **_bind(df, step.get("params") or {}, tables or {}, fn, order_by))
             reports.append(StepReport(step["op"], True, columns=list(df.columns)))
         except (OpError, AnalysisException, KeyError, TypeError, ValueError) as e:

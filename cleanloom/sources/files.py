@@ -219,26 +219,19 @@ def read_csv_safe(spark: SparkSession, paths, encoding: str | None = None, delim
         part = part.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("row_block"),
                            F.monotonically_increasing_id().alias("row_id"))
         if skip > 1:
-            part = _drop_first_lines(part, skip, len(g["files"]))
+            part = _drop_first_lines(part, skip)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 
-# a per-file table of at most this many rows is broadcast
-BROADCAST_FILES = 100_000
-
-
-def _drop_first_lines(part: DataFrame, skip: int, n_files: int) -> DataFrame:
+def _drop_first_lines(part: DataFrame, skip: int) -> DataFrame:
     """Drop the junk and header lines on top of each file; the reader itself skips only one line.
 
-    The table of cut places has one row per file, and the number of files is known, so it is
-    broadcast: the rows of one very large file need no shuffle.
+    The table of cut places has one row per file; Spark sizes it and picks the join.
     """
     w = Window.partitionBy("source_file").orderBy("row_id")
     first = part.where("row_block = 0").select("source_file", "row_id", F.row_number().over(w).alias("n")).where(F.col("n") <= skip)
     cut = first.groupBy(F.col("source_file").alias("f")).agg(F.max("row_id").alias("cut"))
-    if n_files <= BROADCAST_FILES:
-        cut = F.broadcast(cut)
     kept = part.join(cut, F.col("source_file") == F.col("f"), "left").where((F.col("row_block") > 0) | (F.col("row_id") > F.col("cut")))
     return kept.drop("f", "cut")
 
@@ -256,15 +249,12 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("escape", '"').csv(path, header=True)
 
 
-MAX_EXPORT = 10_000
-
-
 def export(df: DataFrame, path: str, format: str = "csv", limit: int | None = None, order_by=None) -> None:
-    """CSV or JSON download, of at most 10 000 rows when a limit is given."""
+    """CSV or JSON download; a limit takes the first rows of a given order."""
     if format not in ("csv", "json"):
         raise OpError("format must be csv or json")
     if limit is not None:
-        if not 0 < limit <= MAX_EXPORT:
-            raise OpError(f"limit must be between 1 and {MAX_EXPORT}")
-        df = head_rows(df, limit, order_by) if order_by else df.limit(limit)
+        if limit < 1:
+            raise OpError("limit must be at least 1")
+        df = head_rows(df, limit, order_by)
     write_csv(df, path, "overwrite") if format == "csv" else df.write.mode("overwrite").json(path)

@@ -7,9 +7,10 @@ import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.core import OpError
+from ..operators.rows import head_rows
 
 SCHEMA = """id string, parent_id string, session_id string, path string, row_count bigint, column_count int, columns array<string>,
 steps string, description string, created_at timestamp"""
@@ -51,16 +52,18 @@ class Versions:
     def read(self, node_id: str) -> DataFrame:
         return self.spark.read.parquet(self.node(node_id)["path"])
 
-    def preview(self, node_id: str, n: int = 10) -> DataFrame:
-        return self.read(node_id).limit(n)
+    def preview(self, node_id: str, n: int = 10, order_by=None) -> DataFrame:
+        """The first rows in the given order, or in that of all columns that can be ordered."""
+        df = self.read(node_id)
+        return head_rows(df, n, order_by or [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)])
 
     def lineage(self, node_id: str, depth: int = 3) -> DataFrame:
         """The node and up to ``depth - 1`` ancestors, oldest first."""
         return lineage(self.nodes(), node_id, depth)
 
-    def saved_steps(self, node_id: str, depth: int = 1000) -> list[dict]:
+    def saved_steps(self, node_id: str, depth: int | None = None) -> list[dict]:
         """All steps from the root to this version, in order."""
-        rows = self.lineage(node_id, depth).select("steps").collect()  # one short row per version
+        rows = self.lineage(node_id, self.nodes().count() if depth is None else depth).select("steps").collect()  # one short row per version
         return [s for r in rows for s in json.loads(r["steps"])]
 
     def undo(self, node_id: str, to: str | None = None) -> tuple[str, DataFrame]:
@@ -73,12 +76,12 @@ class Versions:
 
 def lineage(nodes: DataFrame, node_id: str, depth: int = 3) -> DataFrame:
     """Ancestor chain of a (id, parent_id, ...) table by a recursive query, oldest first."""
-    return nodes.sparkSession.sql(
-        """
-        WITH RECURSIVE chain(id, parent_id, level) AS (
+    query = """
+        WITH RECURSIVE chain(id, parent_id, level) MAX RECURSION LEVEL {limit} AS (
           SELECT id, parent_id, 1 FROM {nodes} WHERE id = :node
           UNION ALL
           SELECT n.id, n.parent_id, c.level + 1 FROM {nodes} n JOIN chain c ON n.id = c.parent_id WHERE c.level < :depth
         )
         SELECT n.*, c.level FROM chain c JOIN {nodes} n ON n.id = c.id ORDER BY c.level DESC
-        """, args={"node": node_id, "depth": int(depth)}, nodes=nodes)
+        """
+    return nodes.sparkSession.sql(query.replace("{limit}", str(int(depth) + 1)), args={"node": node_id, "depth": int(depth)}, nodes=nodes)

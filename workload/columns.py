@@ -89,6 +89,10 @@ Q = {
     "replace_null_columns": (
         lambda s, d: C.replace_null(customer_orders(s, d).select("c_custkey", "o_orderkey", "o_orderstatus"), "none", ["o_orderstatus"]),
         f"SELECT c_custkey, o_orderkey, coalesce(o_orderstatus, 'none') AS o_orderstatus FROM {CUSTOMER_ORDERS}"),
+    "generate_uuid_facts": (
+        lambda s, d: C.generate_uuid(t(s, d, "customer"), "uuid").agg(
+            F.count(F.lit(1)).alias("n"), F.count_distinct("uuid").alias("n_distinct"), F.count_if(~F.col("uuid").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")).alias("malformed")),
+        "SELECT count(*) AS n, count(*) AS n_distinct, 0::BIGINT AS malformed FROM customer"),
     "generate_uuid": (lambda s, d: C.generate_uuid(t(s, d, "customer"), "uuid", "short", "c-"), None),
     "fill_forward": (
         lambda s, d: C.fill_forward(gappy_events(s, d), ["value"], order_by=["event_id"]),

@@ -277,5 +277,6 @@ Q = {
         """SELECT count(*) AS rows_before, count(DISTINCT user_id) AS rows_after, round_even((count(*) - count(DISTINCT user_id)) * 100.0::DOUBLE / count(*), 1) AS removal_percent,
            'removes many rows' AS reasons, 'moderate' AS risk_level FROM events"""),
     "risk_removed_sample": (
-        lambda s, d: H.removed_sample(t(s, d, "orders"), {"type": "drop_rows", "conditions": [{"column": "o_orderstatus", "operator": "eq", "value": "F"}]}, 3), None),
+        lambda s, d: H.removed_sample(t(s, d, "orders"), {"type": "drop_rows", "conditions": [{"column": "o_orderstatus", "operator": "eq", "value": "F"}]}, 3),
+        "SELECT * FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey, o_custkey LIMIT 3"),
 }

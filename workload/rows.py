@@ -1,11 +1,26 @@
 """Row operators."""
 
+from pyspark.sql import functions as F
+
 from cleanloom.operators import rows as R
 
 from .base import CUSTOMER_ORDERS, GAPPY, GAPPY_ORDERS, LINE_BY, LINE_ORDER, customer_orders, gappy_events, gappy_orders, t
 
 DIRTY = "SELECT c_custkey, '  ' || c_name || '  ' AS label, nullif(c_mktsegment, 'BUILDING') AS seg FROM customer"
 
+def sample_facts(s, d):
+    """sizes, distinct keys and subsets of seeded, unseeded and repeated samples of orders"""
+    orders = t(s, d, "orders")
+    one, two = (R.sample_rows(orders, n=2000, seed=7) for _ in range(2))
+    drawn = R.sample_rows(orders, n=3000, seed=7, replace=True, key=["o_orderkey"])
+    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    near = F.abs(count(R.sample_rows(orders, fraction=0.2, seed=7)) - 0.2 * count(orders)) <= 0.05 * count(orders) + 5
+    return s.range(1).select(
+        count(one).alias("n"), one.agg(F.count_distinct("o_orderkey")).scalar().alias("n_distinct"), count(one.exceptAll(orders)).alias("outside"), count(one.exceptAll(two)).alias("changed"),
+        count(R.sample_rows(orders, n=1500)).alias("unseeded"), count(drawn).alias("replaced"), count(drawn.select("o_orderkey").distinct().exceptAll(orders.select("o_orderkey"))).alias("replaced_outside"),
+        near.alias("fraction_near"))
+
+
 Q = {
     "sort_rows": (
         lambda s, d: R.sort_rows(t(s, d, "orders"), ["o_orderpriority", "o_totalprice"], [True, False], order_by=["o_orderkey"]),
@@ -102,6 +117,10 @@ Q = {
         lambda s, d: R.add_rows(t(s, d, "nation"), [{"n_nationkey": 98, "n_name": "NEW"}, {"n_nationkey": 99, "n_regionkey": 1, "note": "added"}], "bottom", "place"),
         """SELECT n_nationkey, n_name, n_regionkey, 0::INTEGER AS place, NULL::VARCHAR AS note FROM nation
            UNION ALL SELECT 98, 'NEW', NULL, 1, NULL UNION ALL SELECT 99, NULL, 1, 1, 'added'"""),
+    "sample_rows_facts": (
+        lambda s, d: sample_facts(s, d),
+        """SELECT least(2000, count(*))::BIGINT AS n, least(2000, count(*))::BIGINT AS n_distinct, 0::BIGINT AS outside, 0::BIGINT AS changed, least(1500, count(*))::BIGINT AS unseeded,
+           CASE WHEN count(*) > 0 THEN 3000 ELSE 0 END::BIGINT AS replaced, 0::BIGINT AS replaced_outside, true AS fraction_near FROM orders"""),
     "sample_rows": (lambda s, d: R.sample_rows(t(s, d, "customer"), n=100, seed=7, key=["c_custkey"]), None),
     "sample_rows_fraction": (lambda s, d: R.sample_rows(t(s, d, "customer"), fraction=0.2, seed=7), None),
     "sample_rows_replace": (lambda s, d: R.sample_rows(t(s, d, "customer"), n=200, seed=7, replace=True, key=["c_custkey"]), None),

@@ -1,6 +1,5 @@
 """Plans, modules, versions, files and arriving files."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -32,9 +31,9 @@ CLEANING = [
 
 
 def shared_folder(spark):
-    """A new folder under the cluster's shared checkpoint folder; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="cleanloom-")
+    """A new folder where all executors see it: under the checkpoint folder, or under the warehouse where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def named_customers(s, d):
@@ -178,7 +177,28 @@ def arrivals(s, d):
     return out.selectExpr("segment", "bround(balance_sum, 4) AS balance_sum", "balance_count", "CAST(layout AS bigint) AS layout").drop("layout")
 
 
+ORDERED_STEPS = [{"op": "running_total", "params": {"column": "balance", "new_column": "total"}},
+                 {"op": "lookup", "params": {"lookup_table": "nation", "lookup_column": "nation_key", "lookup_key": "n_nationkey", "return_columns": ["n_name"]}}]
+
+
+def ordered_arrivals(s, d):
+    """a stream over a module with an ordered step and a lookup, one file it must reject, and the whole batch once more"""
+    folder = shared_folder(s)
+    module = M.build_module(named_customers(s, d), [{"op": "change_column_type", "params": {"column": c, "to_type": k}} for c, k in (("balance", "double"), ("nation_key", "integer"))] + ORDERED_STEPS, "customers")
+    named_customers(s, d).orderBy("customer_id").coalesce(1).write.csv(f"{folder}/in/a", header=True)
+    t(s, d, "events").select("ts", "props").coalesce(1).write.csv(f"{folder}/in/b", header=True)
+    nation = {"nation": t(s, d, "nation")}
+    A.stream_module_run(s, f"{folder}/in/*", module, f"{folder}/out", f"{folder}/ckpt", tables=nation).awaitTermination()
+    A.run_files(s, [f"{folder}/in/a", f"{folder}/in/b"], M.load_module(s, f"{folder}/out/module"), f"{folder}/out", 0, tables=nation)
+    out = s.read.parquet(f"{folder}/out/output").selectExpr("CAST(customer_id AS bigint) AS customer_id", "n_name", "bround(total, 2) AS total")
+    return out.withColumn("records", A.run_records(s, f"{folder}/out").agg(F.count(F.lit(1))).scalar())
+
+
 Q = {
+    "stream_ordered_module": (
+        ordered_arrivals,
+        """SELECT c_custkey AS customer_id, n_name, round_even(sum(c_acctbal) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING), 2) AS total, 2::BIGINT AS records
+           FROM customer JOIN nation ON c_nationkey = n_nationkey"""),
     "run_plan_flagship": (
         lambda s, d: L.run_plan(t(s, d, "lineitem"), FLAGSHIP).df.selectExpr("l_returnflag", "l_linestatus", "revenue_sum", "revenue_mean", "l_quantity_sum", "l_orderkey_count", "CAST(place AS bigint) AS place"),
         """SELECT l_returnflag, l_linestatus, round_even(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue_sum, round_even(avg(l_extendedprice * (1 - l_discount)), 2) AS revenue_mean,
