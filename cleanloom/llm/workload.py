@@ -94,7 +94,40 @@ def op10_weak_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 Q = {f.__name__: f for f in (op1_simple8b_tokens, op2_secret_ownership, op3_licence_classifier, op4_dart_minhash, op5_adaptive_scan, op6_mix_sources, op7_sampled_pieces, op8_histogram_shards, op9_host_rules, op10_weak_pii)}
-SQL: dict[str, str] = {}
+SQL = {
+    "op9_host_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+p AS (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w),
+c AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS n FROM p),
+r AS (SELECT rid, count(DISTINCT j) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM c WHERE n > 1) GROUP BY 1),
+m AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (rid)),
+f AS (SELECT *, [n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words, word_chars < 3 * n_words OR word_chars > 12 * n_words] AS failed FROM m),
+h AS (SELECT source, k, count(*) AS n, sum(failed[k]::INT) AS bad FROM f, range(1, 5) g(k) WHERE source IS NOT NULL GROUP BY 1, 2),
+a AS (SELECT k, count(*) AS hosts, sum(round(bad / n * 1e9)) / 1e9 / count(*) AS mean, sum(round(bad / n * (bad / n) * 1e9)) / 1e9 / count(*) AS squares, sum(round(1 / n * 1e9)) / 1e9 / count(*) AS chance FROM h GROUP BY 1),
+v AS (SELECT k, mean, squares - mean * mean - mean * (1 - mean) * chance AS spread FROM a),
+z AS (SELECT k, mean, CASE WHEN spread <= 1e-9 THEN 1000.0 ELSE least(1000.0, greatest(2.0, mean * (1 - mean) / spread - 1)) END AS weight FROM v),
+x AS (SELECT source, bool_or((bad + weight * mean) / (n + weight) > 0.5) AS host_failed FROM h JOIN z USING (k) GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed[1] OR failed[2] AS base_failed, NOT (failed[1] OR failed[2]) AND NOT coalesce(host_failed, false) AS kept,
+  coalesce(host_failed, false) AS host_failed, f.source FROM f LEFT JOIN x ON f.source = x.source""",
+    "op2_secret_ownership": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(1)) AS owner, coalesce(text, '') AS t FROM documents),
+k AS (SELECT * FROM (VALUES (0, 'assign', '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+       (1, 'access', 'AKIA[A-Z0-9]+', '(AKIA[A-Z0-9]+)'), (2, 'hex', '[0-9a-f]{24,}', '([0-9a-f]{24,})'), (3, 'random', '[A-Za-z0-9_-]{20,}', '([A-Za-z0-9_-]{20,})')) v(ord, kind, p, g)),
+m AS (SELECT rid, doc_id, owner, ord, kind, string_split_regex(t, p) AS pieces, regexp_extract_all(t, p) AS found, regexp_extract_all(t, g, 1) AS vals FROM d, k WHERE regexp_matches(t, p)),
+e AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m),
+c AS (SELECT rid, owner, ord, kind, vals[i] AS val, (list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a, length(found[i]) AS n FROM e),
+o AS (SELECT *, a + n AS z FROM c WHERE (kind <> 'assign' OR length(val) >= 6) AND (kind <> 'access' OR n >= 20)
+        AND (kind <> 'random' OR regexp_matches(val, '[0-9]') AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]') AND len(list_distinct(string_split(val, ''))) >= 12)),
+w AS (SELECT val, count(DISTINCT owner) AS owners FROM o GROUP BY 1),
+s AS (SELECT o.*, owners < 2 AS live FROM o JOIN w USING (val)),
+b AS (SELECT * FROM s WHERE kind <> 'random' UNION ALL SELECT * FROM s WHERE kind = 'random' AND live AND NOT EXISTS (SELECT 1 FROM s q WHERE q.rid = s.rid AND q.kind <> 'random' AND q.a < s.z AND q.z > s.a)),
+j AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (live) AS n_live,
+        string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, ord) FILTER (kind <> 'random') AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, ord) AS spans FROM b GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0)::BIGINT AS n_live FROM d LEFT JOIN j USING (rid)""",
+}
 
 
 def queries() -> dict:
