@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -263,28 +264,24 @@ def conditional_replace(df: DataFrame, conditions: Sequence[Mapping], default=No
     return df.withColumn(target_column, other if out is None else out.otherwise(other))
 
 
-def _edge_text(x: float) -> str:
-    return repr(float(x))
+def _at_places(x: float, places: int) -> float:
+    """x at so many decimal places; below 1 they are counted from the first digit that is not zero."""
+    if x == 0 or math.isinf(x):
+        return x
+    exact = Decimal(repr(float(x)))
+    return float(round(exact, places + max(0, -exact.adjusted() - 1)))
 
 
 def _bin_labels(edges: Sequence[float], precision: int, include_lowest: bool) -> list[str]:
-    """Interval names of right-closed bins; digits grow until neighbouring edges differ."""
-    def shown(x: float, digits: int) -> float:
-        if x == 0 or not math.isfinite(x):
-            return x
-        whole = int(abs(x))
-        if whole == 0:
-            digits = -int(math.floor(math.log10(abs(x) % 1))) - 1 + digits
-        return round(x, digits)
-
-    for digits in range(precision, 20):
-        names = [shown(e, digits) for e in edges]
-        if len(set(names)) == len(set(edges)):
-            break
-    if include_lowest:
-        names[0] -= 10 ** (-digits)
-        names[0] = round(names[0], 12)
-    return [f"({_edge_text(a)}, {_edge_text(b)}]" for a, b in zip(names, names[1:])]
+    """Names of right-closed bins. Places are added until edges that differ have names that differ; a closed lowest bin is
+    named from one step of the last place below its edge."""
+    wanted = len(set(edges))
+    places = next((p for p in range(precision, 20) if len({_at_places(e, p) for e in edges}) == wanted), 19)
+    shown = [_at_places(e, places) for e in edges]
+    if include_lowest and math.isfinite(shown[0]):
+        shown[0] = float(Decimal(repr(float(shown[0]))) - Decimal(1).scaleb(-places))
+    names = [repr(float(x)) for x in shown]
+    return [f"({low}, {high}]" for low, high in zip(names, names[1:])]
 
 
 def _bin_column(x: Column, edges: Sequence[float], labels: Sequence, include_lowest: bool) -> Column:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cleanloom import OpError
+from cleanloom.functions import quantiles
 from cleanloom.operators import calculate as K, columns as C, dates as D, format as M, groups as G, quality as V, rows as R, tables as J, text as X
 
 from .conftest import rows
@@ -58,6 +59,38 @@ def test_double_as_text(spark):
     assert [r[0] for r in C.change_column_type(df, "x", "string").collect()] == ["10000000.0", "0.5", "17.0", None]
 
 
+def test_doubles_as_text_keep_all_digits(spark):
+    values = [1e-12, 2e-12, 3.25e-11, 1e300, -1.5e-7, 123456789.125, 12345678901234567.0, 0.1 + 0.2, -2.5e10, 5e-324, float("inf"), float("-inf"), float("nan"), 0.0, -1e22]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    got = [r[0] for r in C.change_column_type(df, "x", "string").orderBy("i").select("x").collect()]
+    assert all("E" not in g.replace("NaN", "") and (float(g) == v or v != v) for g, v in zip(got, values))
+    assert got[:3] == ["0.000000000001", "0.000000000002", "0.0000000000325"] and got[5:7] == ["123456789.125", "12345678901234568.0"]
+    assert len(set(got)) == len(values)
+    one = [r[0] for r in C.change_column_type(spark.createDataFrame([(1e7,), (1e21,)], "x double"), "x", "string").collect()]
+    assert one == ["10000000.0", "1" + "0" * 21 + ".0"]
+
+
+@pytest.mark.parametrize("values", [[1.0, 2.0, 2.0, 7.0], [1.0, float("inf")], [float("-inf"), 1.0, float("inf")], [1.0, 5.0, float("nan")], [1e300, 1e-12, -1e300, 3.0, 3.0], [float("inf")] * 3, [4.0]])
+def test_quantiles_agree_on_both_sides_of_the_switch(spark, values):
+    df = spark.createDataFrame([("g", v) for v in values] + [("g", None)], "g string, x double")
+    seen = []
+    for small in ("1000000", "0"):
+        spark.conf.set("cleanloom.quantile.smallRows", small)
+        seen.append([repr(v) for v in quantiles.quantiles(df, ["g"], "x", [0.0, 0.25, 0.5, 0.9, 1.0]).first()])
+    spark.conf.unset("cleanloom.quantile.smallRows")
+    assert seen[0] == seen[1]
+
+
+def test_header_words():
+    names = ["First Name", "orderID", "  a__b ", "Prix (€) Net", "é à", "_x", "HTMLPage", "aB cD"]
+    assert [C.snake_words(C.header_words(n)) for n in names] == ["first_name", "order_id", "a_b", "prix_net", "é_à", "x", "htmlpage", "a_b_c_d"]
+    assert [C.camel_words(C.header_words(n)) for n in names] == ["firstName", "orderid", "aB", "prixNet", "éÀ", "x", "htmlpage", "abCd"]
+
+
+def test_large_sample_without_a_seed(spark):
+    assert R.sample_rows(spark.range(3000), n=1500).distinct().count() == 1500
+
+
 def test_bins_label_like_intervals(spark):
     df = spark.range(1, 11).withColumnRenamed("id", "x")
     got = [r[0] for r in K.bin_values(df, "x", 3, "b").select("b").distinct().orderBy("b").collect()]
