@@ -24,6 +24,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 #: Bands and coordinates in each: a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 6) ** 32 > 0.9999.
 BANDS, ROWS = 32, 6
+#: Texts of a bucket in one block.
+BLOCK = 512
 #: Distinct words whose hashes a worker remembers, and shingles it works on at once.
 REMEMBERED, AT_ONCE = 300_000, 1_000_000
 
@@ -151,14 +153,35 @@ def _verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
     return pairs.join(u, "a").join(v, "b").where(both / (F.size("x") + F.size("y") - both) >= least).select("a", "b")
 
 
+def _across(entries: DataFrame, held: DataFrame, bands: DataFrame, least: float) -> DataFrame:
+    """The links ``a, b`` between texts of one bucket whose ``root`` differs: every such pair is compared, once, and only links come out.
+
+    Only buckets with several roots take part. A large bucket is cut into blocks, and each pair of blocks is a task's work.
+    """
+    mixed = entries.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("members")).where("x <> y").select(
+        F.col("bucket").alias("_bucket"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    rows = entries.join(mixed, entries["bucket"] == mixed["_bucket"]).select("bucket", "key", "n", "root", "blocks", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"))
+    h, b = held.withColumnRenamed("key", "_key"), bands.withColumnRenamed("key", "_other")
+    rows = rows.join(h, rows["key"] == h["_key"]).join(b, rows["key"] == b["_other"]).drop("_key", "_other")
+    rows = cut(rows)
+    one = rows.select("bucket", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.struct("key", "n", "root", "units", "bands").alias("x"))
+    two = rows.select(F.col("bucket").alias("_bucket"), F.explode(F.sequence(F.lit(0), "block")).alias("_i"), F.col("block").alias("_j"), F.struct("key", "n", "root", "units", "bands").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    both = F.size(F.array_intersect(x["units"], y["units"]))
+    alike = ((one["bucket"] == two["_bucket"]) & (one["i"] == two["_i"]) & (one["j"] == two["_j"]) & ((F.col("i") < F.col("j")) | (x["key"] < y["key"])) & (x["root"] != y["root"])
+             & (F.least(x["n"], y["n"]) / F.greatest(x["n"], y["n"]) >= least) & (F.array_min(F.array_intersect(x["bands"], y["bands"])) == F.col("bucket"))
+             & (both / (x["n"] + y["n"] - both) >= least))
+    return one.join(two, alike).select(x["key"].alias("a"), y["key"].alias("b"))
+
+
 def classes(docs: DataFrame, text: str = "text", row_id: str = "doc_id", keep: list | None = None, least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """The signed rows (``rid, row, id, key, ...``) and for each ``rid`` its class: ``class_id`` (the least id in it, null if all are
     null), ``class_size`` and ``kept``, true for one row of each class, that with the least id.
 
     Texts with the same words are one class whatever their white space, also those without words (null and empty). Within a
     bucket of a band, texts are compared with the bucket's leader first; members of one class need no comparison with each other,
-    and whatever is still in different classes is compared pair by pair, so no link is lost and large groups of copies cost one
-    comparison for each member.
+    and whatever is still in different classes is compared pair by pair, so no link is lost. A group whose members are like its
+    leader costs one comparison for each member.
     """
     t = docs[f"`{text}`"].cast("string")
     df = beside(docs, keep, id=docs[f"`{row_id}`"].cast("long"), _text=t).withColumn("rid", F.monotonically_increasing_id())
@@ -169,8 +192,13 @@ def classes(docs: DataFrame, text: str = "text", row_id: str = "doc_id", keep: l
     texts = cut(signed.groupBy("key").agg(F.min(first).alias("first"), F.first("bands").alias("bands"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")))
 
     entries = texts.where("n > 0").select("key", "n", F.explode("bands").alias("bucket"))
-    full = entries.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1").select(F.col("bucket").alias("_bucket"), "leader")
-    entries = cut(entries.join(full, entries["bucket"] == full["_bucket"]).select("bucket", "key", "n", "leader"))
+    full = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").withColumnRenamed("bucket", "_bucket")
+    entries = cut(entries.join(full, entries["bucket"] == full["_bucket"]).select("bucket", "key", "n", "members"))
+    # the text that meets the most others is likely the one the others were copied from; it leads its buckets
+    met = entries.groupBy("key").agg(F.sum("members").alias("met")).withColumnRenamed("key", "_key")
+    known = entries.join(met, entries["key"] == met["_key"]).drop("_key")
+    heads = known.groupBy("bucket").agg(F.max(F.struct("met", "key")).alias("head")).withColumnRenamed("bucket", "_bucket")
+    entries = cut(entries.join(heads, entries["bucket"] == heads["_bucket"]).select("bucket", "key", "n", "members", "head"))
     sought = entries.select("key").distinct().join(texts.select("key", F.col("first.rid").alias("_rid")), "key")
     held = signed.select("rid", F.col("row")[text].cast("string").alias("_text")).join(sought, F.col("rid") == F.col("_rid")).select("key", "_text")
     held = cut(held.mapInArrow(_units, "key string, units array<long>"))
@@ -183,9 +211,9 @@ def classes(docs: DataFrame, text: str = "text", row_id: str = "doc_id", keep: l
         r = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
         return frame.join(r, frame[key] == r["_node"], "left").withColumn(root, F.coalesce("_root", key)).drop("_node", "_root")
 
-    def linked(pairs: DataFrame) -> None:
+    def linked(pairs: DataFrame, verified: bool = False) -> None:
         nonlocal roots
-        links = cut(_verified(pairs, held, least))
+        links = pairs if verified else cut(_verified(pairs, held, least))
         between = rooted(rooted(links, "a", "ra"), "b", "rb")
         merged = components(between.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         if roots is None:
@@ -195,17 +223,11 @@ def classes(docs: DataFrame, text: str = "text", row_id: str = "doc_id", keep: l
             moved = roots.join(m, roots["root"] == m["_n"], "left").select("node", F.coalesce("_r", "root").alias("root"))
             roots = cut(moved.unionByName(merged))
 
-    led = entries.where("key <> leader")
-    linked(cut(led.groupBy("key").agg(F.min("leader").alias("a")).withColumnRenamed("key", "b").where("a <> b")))
-    apart = rooted(rooted(led.select("key", "leader").distinct(), "key", "rk"), "leader", "rl").where("rk <> rl")
+    led = entries.where("key <> head.key")
+    linked(cut(led.groupBy("key").agg(F.max("head").alias("head")).select(F.col("head.key").alias("a"), F.col("key").alias("b"))))
+    apart = rooted(rooted(led.select("key", F.col("head.key").alias("leader")).distinct(), "key", "rk"), "leader", "rl").where("rk <> rl")
     linked(cut(apart.select(F.col("leader").alias("a"), F.col("key").alias("b"))))
-    at = rooted(entries.select("bucket", "key", "n"), "key", "root")
-    mixed = at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(F.col("bucket").alias("_bucket"))
-    at = cut(at.join(mixed, at["bucket"] == mixed["_bucket"], "left_semi"))
-    other = at.select(F.col("bucket").alias("_bucket"), F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
-    rest = at.join(other, (at["bucket"] == other["_bucket"]) & (at["key"] < other["b"]) & (at["root"] != other["rb"])
-                   & (F.least("n", "m") / F.greatest("n", "m") >= least)).select(F.col("key").alias("a"), "b").distinct()
-    linked(cut(rest))
+    linked(cut(_across(rooted(entries.select("bucket", "key", "n"), "key", "root"), held, texts.select("key", "bands"), least)), verified=True)
 
     named = rooted(texts.select("key", "first", "copies"), "key", "root")
     whole = named.groupBy("root").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size")).withColumnRenamed("root", "_root")
