@@ -14,12 +14,14 @@ ranges of (group, order key), by bounds taken from a sample of the keys:
    most as long as the bound list and is broadcast.
 
 Below ``cleanloom.scan.rowsPerChunk`` counted rows there is one chunk, which is
-the plain window.
+the plain window. Above ``cleanloom.scan.literalChunks`` chunks the bounds are those
+of a range exchange, and the rows are written with their chunk number.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -29,7 +31,7 @@ from .core import OpError, as_list, col, need, q, tmp_name
 
 ROWS_PER_CHUNK = 10_000
 ROWS_PER_TASK = 2_000_000
-MAX_CHUNKS = 4096
+LITERAL_CHUNKS = 4096
 SAMPLE_PER_CHUNK = 32
 BROADCAST_BYTES = 4_000_000
 _FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -80,8 +82,8 @@ def _conf(df: DataFrame, name: str, default: int) -> int:
 
 def chunk_target(df: DataFrame, rows: int) -> int:
     """How many chunks to cut: one per 10 000 rows, but no more than 4 per shuffle partition
-    unless a chunk would pass two million rows; at most 4096."""
-    most = min(_conf(df, "maxChunks", MAX_CHUNKS), max(4 * shuffle_partitions(df), 64, math.ceil(rows / ROWS_PER_TASK)))
+    unless a chunk would pass two million rows."""
+    most = max(4 * shuffle_partitions(df), 64, math.ceil(rows / ROWS_PER_TASK))
     return max(1, min(most, math.ceil(rows / _conf(df, "rowsPerChunk", ROWS_PER_CHUNK))))
 
 
@@ -234,6 +236,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint() if folder else df
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a table in the folder all executors share: the checkpoint folder, else the warehouse."""
+    conf = df.sparkSession.conf
+    base = conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def chunked(df: DataFrame, part=None, order_by=None, rows: int | None = None) -> Chunked:
     """Cut the rows into ranges of (group, order key). Runs a count and a key sample."""
     part = as_list(part)
@@ -251,6 +262,10 @@ def chunked(df: DataFrame, part=None, order_by=None, rows: int | None = None) ->
         # two groups in one range, which the (group, chunk) window tells apart.
         work = df.withColumn(group, F.xxhash64(*[col(c) for c in part]))
         full = [Key(group, True, True), *keys]
+    if chunks > _conf(df, "literalChunks", LITERAL_CHUNKS):
+        # too many bounds for an expression: Spark deals the rows out by range, and the number of the range is written with them
+        dealt = work.repartitionByRange(chunks, *[k.column() for k in full]).withColumn(name, F.spark_partition_id()).drop(group)
+        return Chunked(written(dealt), part, keys, name, chunks, rows)
     bounds = _bounds(work, full, rows, chunks)
     types = [work.schema[k.name].dataType.simpleString() for k in full]
     tests = [_at_or_after(full, b, types) for b in bounds]

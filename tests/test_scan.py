@@ -170,3 +170,23 @@ def test_offset_and_large_limit(spark, frame, chunks, monkeypatch):
     assert [r["k"] for r in R.head_rows(df, 50, ["k"]).collect()] == pdf.k.tolist()[:50]
     assert [r["k"] for r in R.tail_rows(df, 50, ["k"]).collect()] == pdf.k.tolist()[-50:]
     assert R.sample_rows(df, 60, seed=1, key=["k"]).count() == 60
+
+
+def test_chunks_beyond_the_literal_bounds(spark):
+    """Bounds by a range exchange give the same numbers and sums as one window."""
+    rows = [(i, "hot" if i % 3 else f"g{i % 4}", float(i % 11)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, g string, x double")
+    spark.conf.set("cleanloom.scan.rowsPerChunk", "10")
+    spark.conf.set("cleanloom.scan.literalChunks", "3")
+    try:
+        c = scan.chunked(df, ["g"], ["id"])
+        assert c.chunks == 6
+        got = {r["id"]: (r["n"], r["s"]) for r in scan.running(df, ["g"], ["id"], {"n": ("count", F.col("x")), "s": ("sum", F.col("x"))}).collect()}
+    finally:
+        spark.conf.unset("cleanloom.scan.literalChunks")
+        spark.conf.unset("cleanloom.scan.rowsPerChunk")
+    seen = {}
+    for i, g, x in rows:
+        n, s = seen.get(g, (0, 0.0))
+        seen[g] = (n + 1, s + x)
+        assert got[i] == seen[g]
