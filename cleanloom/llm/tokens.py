@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyspark
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import partitions
@@ -27,10 +28,13 @@ BLOCK = 1024
 #: A page is closed when it holds so many ids; a longer document has a page of its own.
 PAGE = 1 << 18
 #: Distinct words whose ids a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 1_200_000
+#: Characters of text that are worked on, and words that are encoded, at once.
+AT_ONCE, LEARNT = 4_000_000, 20_000
 PAGES = "shard int, page int, first long, n_ids long, doc_ids array<long>, lengths array<long>, offsets binary, words binary"
 
 _POWERS = np.array([1 << i for i in range(64)], np.uint64)
+_SEPARATOR = re.compile("[\x1c-\x1f]")
 _BITS = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
 
 
@@ -128,30 +132,56 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-class WordIds(dict):
-    """Little-endian uint32 ids of each word, as bytes. The tokenizer drops white space and never joins over it."""
+class WordIds:
+    """Little-endian uint32 ids of texts, word by word: the tokenizer drops white space and never joins over it, so each distinct
+    word is encoded once, all new ones in one call."""
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Spark reuses its Python workers, so the words outlive the task
+        self.known: dict[str, bytes] = pyspark.__dict__.setdefault("_cleanloom_words", {}).setdefault(path, {})
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self[word] = self.whole(word)
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text, word by word. The separators 1C to 1F are white space to Python only."""
-        if re.search("[\x1c-\x1f]", text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+    def learn(self, words: list[str]) -> None:
+        encoded = self.tokenizer.encode("\n".join(words), add_special_tokens=False)
+        ids = np.array(encoded.ids, "<u4")
+        starts = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(ids))
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        cuts = (4 * np.searchsorted(starts, ends)).tolist()
+        flat, a = ids.tobytes(), 0
+        for w, z in zip(words, cuts):
+            self.known[w] = flat[a:z]
+            a = z
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts. The separators 1C to 1F are white space to Python only, so texts with them are encoded as they are."""
+        split = [None if _SEPARATOR.search(t) else t.split() for t in texts]
+        distinct = {w for words in split if words for w in words}
+        new = distinct.difference(self.known)
+        if new and len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = distinct
+        new = sorted(new)
+        for a in range(0, len(new), LEARNT):
+            self.learn(new[a: a + LEARNT])
+        return [self.whole(t) if words is None else b"".join(map(self.known.__getitem__, words)) for t, words in zip(texts, split)]
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts, null ones empty, in portions of about ``AT_ONCE`` characters or one longer text."""
+    for batch in batches:
+        docs, texts, n, first = batch.column("doc_id").to_pylist(), [], 0, 0
+        for i, t in enumerate(batch.column("text"), 1):
+            texts.append(t.as_py() or "")
+            n += len(texts[-1])
+            if n >= AT_ONCE or i == len(docs):
+                yield docs[first:i], texts
+                texts, n, first = [], 0, i
 
 
 def _pages(path: str, end_id: int):
@@ -172,16 +202,14 @@ def _pages(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
 
         n = 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                encoded = known.encode(text.as_py() or "") + end
-                if n and n + len(encoded) // 4 > PAGE:
-                    yield closed()
-                    n = 0
-                ids.append(doc_id)
-                lengths.append(len(encoded) // 4)
-                held.append(encoded)
-                n += len(encoded) // 4
+        for doc_id, encoded in ((i, e + end) for docs, texts in _portions(batches) for i, e in zip(docs, known.encode(texts))):
+            if n and n + len(encoded) // 4 > PAGE:
+                yield closed()
+                n = 0
+            ids.append(doc_id)
+            lengths.append(len(encoded) // 4)
+            held.append(encoded)
+            n += len(encoded) // 4
         if n:
             yield closed()
 
