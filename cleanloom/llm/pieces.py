@@ -18,6 +18,7 @@ from math import exp, expm1, inf, log
 
 import numpy as np
 import pyarrow as pa
+import pyspark
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import beside
@@ -405,7 +406,11 @@ def sampled(docs: DataFrame, model: str, k: int = 2, row_id: str = "doc_id", tex
     df = beside(docs, keep, key=F.xxhash64(F.lit(seed), docs[f"`{row_id}`"]), _text=docs[f"`{text}`"].cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = Lattices(Vocabulary(model, temperature))
+        # Spark reuses its Python workers, so prepared words outlive the task
+        held = pyspark.__dict__.setdefault("_cleanloom_lattices", {})
+        if (model, temperature) not in held:
+            held[model, temperature] = Lattices(Vocabulary(model, temperature))
+        lattices = held[model, temperature]
         for batch in batches:
             keys, held, first, n = batch.column("key").to_pylist(), [], 0, 0
             for i, t in enumerate(batch.column("_text")):
