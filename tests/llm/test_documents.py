@@ -288,6 +288,19 @@ def test_licences(spark, odd, empty):
     assert licences.scan_licences(odd).count() == len(odd_rows()) and licences.scan_licences(empty).count() == 0
 
 
+def test_licence_lines_by_name_and_block(spark):
+    texts = {
+        "Distributed under the GNU GPL v3.": "gpl", "Released under BSD-3-Clause": "bsd", "Content is available under CC-BY-SA 4.0": "cc-by", "CC0 1.0 Universal": "public-domain",
+        "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: Apache-2.0": "apache", "SPDX-License-Identifier: BSD-3-Clause": "bsd", "license: GPL-3.0": "gpl", "MPL-2.0": "mpl",
+        "Licensed by the authors under CC BY-NC 4.0": "cc-by-nc", "MIT OR Apache-2.0": "apache,mit", "left: MIT License\nright: Apache License 2.0": "apache,mit", "## License\n\nMIT": "mit",
+        "you may use it under the terms of the GNU General\nPublic License": "gpl", "all of it is under the\nMIT terms": "mit",
+        "Sie kommen mit dem Zug.": "", "The Apache people live here.": "", "She studied at MIT in Boston.": "", "wir kommen\nmit dem Auto": ""}
+    rows = [(i, prose(i, 40) + "\n\n" + line + "\n\n" + prose(i + 500, 30), line, families) for i, (line, families) in enumerate(texts.items())]
+    got = licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string, line string, want string")).select("row.line", "row.want", "families", "n_paragraphs", "n_unknown").collect()
+    assert {r["line"]: r["families"] for r in got} == texts
+    assert all((r["n_paragraphs"] > 0) == (r["want"] != "") and r["n_unknown"] == 0 for r in got)
+
+
 def test_licence_classifier_on_held_out_rows():
     r = np.random.default_rng(1)
     rows = []
