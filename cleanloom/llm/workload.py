@@ -75,9 +75,9 @@ def op7_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    crc = F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary"))
-    return shard_rows(docs, keep=[docs["doc_id"], crc.alias("crc")]).select(
-        "row.doc_id", "size", F.col("row.crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    crc = F.crc32(F.coalesce(F.col("row.text").cast("string"), F.lit("")).cast("binary"))
+    return shard_rows(docs, keep=[docs["doc_id"], docs["text"]]).select(
+        "row.doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_host_rules(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """The pipeline on odd rows, and the registered queries."""
 
+import collections
 import os
+import zlib
 
 import numpy as np
 
 import __spark_entry__
 import corpus_pipeline
+from cleanloom.llm import workload as llm_workload
 
 from .conftest import odd_rows, prose
 
@@ -41,6 +44,25 @@ def test_run_takes_effect(spark, tmp_path):
         assert "[EMAIL]" in text and "@" not in text and prose(r["doc_id"], 80) in text
 
 
+def test_op8_shards_the_texts(spark, tmp_path):
+    rows = [(i % 50, prose(i % 50, 20 + i % 7) if i % 9 else None, "en", "s", 1) for i in range(120)] + [(60, prose(60, 30000), "en", "s", 1), (None, "x", "en", "s", 1)]
+    folder = write(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), tmp_path / "t")
+    calls, shard_rows = [], llm_workload.shard_rows
+
+    def seen(docs, **how):
+        calls.append(shard_rows(docs, **how))
+        return calls[-1]
+
+    llm_workload.shard_rows = seen
+    try:
+        got = __spark_entry__.queries()["op8_histogram_shards"](spark, folder).collect()
+    finally:
+        llm_workload.shard_rows = shard_rows
+    assert "text" in calls[0].schema["row"].dataType.names
+    want = collections.Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+
+
 def test_registered_queries():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
