@@ -176,12 +176,12 @@ def estimate(patterns: list[tuple[str, int]], rounds: int = 300) -> tuple[float,
     return prior, rel, {p: float(x) for (p, _), x in zip(patterns, post)}
 
 
-def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Logistic regression on soft labels by Newton's method."""
+def regression(x: np.ndarray, y: np.ndarray, n: np.ndarray | float = 1.0, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
+    """Logistic regression on soft labels by Newton's method; each row counts n times."""
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (n * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -210,8 +210,8 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     if not patterns:
         return Model()
     prior, rel, posterior = estimate(patterns)
-    sample = seen.orderBy("h", "votes", "features").limit(TRAINED_ON).collect()
-    w = regression(np.array([r["features"] for r in sample]), np.array([posterior[r["votes"]] for r in sample]))
+    sample = seen.groupBy("h", "votes", "features").agg(F.count(F.lit(1)).alias("n")).orderBy("h", "votes", "features").limit(TRAINED_ON).collect()  # copies of a span are one row
+    w = regression(np.array([r["features"] for r in sample]), np.array([posterior[r["votes"]] for r in sample]), np.array([r["n"] for r in sample]))
     return Model(prior, rel.tolist(), w.tolist())
 
 

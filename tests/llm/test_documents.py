@@ -275,6 +275,17 @@ def test_em_finds_reliable_labelers():
         assert abs(rel[1, i, 2] / (rel[1, i, 2] + rel[1, i, 0]) - a) < 0.08
 
 
+def test_pii_copies_take_one_place_in_the_sample(spark, monkeypatch):
+    texts = [f"call Anna{i} Smith or write to user{i} at mail dot example, phone 555 010 {1000 + i}, then ask Mr. Peter Jones{i}" for i in range(12)]
+    docs = spark.createDataFrame([(t,) for t in texts + [texts[0]] * 200], "text string")
+    got, regression = [], pii.regression
+    monkeypatch.setattr(pii, "regression", lambda x, y, *n: got.append((len(x), sum(n[0]) if n else len(x))) or regression(x, y, *n))
+    pii.fit(docs)
+    once = spark.createDataFrame([(t,) for t in texts], "text string")
+    pii.fit(once)
+    assert got[0][0] == got[1][0] and got[0][1] > got[1][1] and got[1][0] > 1
+
+
 # ---- licences
 
 def test_licences(spark, odd, empty):
