@@ -116,6 +116,16 @@ def _at_or_after(keys: Sequence[Key], bound: Sequence, types: Sequence[str]) ->
     return f"({later} OR ({equal} AND {_at_or_after(keys[1:], bound[1:], types[1:])}))"
 
 
+def later_than(df: DataFrame, keys: Sequence[Key], bound: Sequence) -> Column:
+    """Whether a row sorts after the one whose keys, as text, are given."""
+    types = [df.schema[k.name].dataType.simpleString() for k in keys]
+    test = "false"
+    for key, value, kind in reversed(list(zip(keys, bound, types))):
+        later, equal = _after(key, value, kind)
+        test = f"({later} OR ({equal} AND {test}))"
+    return F.expr(test)
+
+
 def _lookup(tests: Sequence[str], lo: int, hi: int) -> str:
     """Nested CASE that finds the chunk in log2(n) comparisons."""
     if lo == hi:

@@ -54,9 +54,11 @@ def apply_module(df: DataFrame, module: Module, mapping: Mapping[str, str] | Non
     return pipeline.run_plan(df.withColumnsRenamed(rename), module.steps, tables, True, order_by)
 
 
-def profile_files(spark: SparkSession, paths) -> DataFrame:
-    """Read files of any layout and profile their data columns."""
-    return profile.profile_table(files.read_csv_safe(spark, paths).drop("source_file", "row_block", "row_id", "bad_line"))
+def profile_files(spark: SparkSession, paths, trim_footers: bool = True) -> DataFrame:
+    """Read files of any layout and profile their data columns, without the summary and blank rows at the ends of files."""
+    df = files.read_csv_safe(spark, paths, mark_footers=trim_footers)
+    df = df.where(~F.col("is_footer")).drop("is_footer") if trim_footers else df
+    return profile.profile_table(df.drop("source_file", "row_block", "row_id", "bad_line"))
 
 
 RUN_SCHEMA = "file string, contract_id string, score double, level string, status string, error string"

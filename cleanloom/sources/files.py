@@ -1,19 +1,20 @@
 """Reading folders of delimited text files of unknown encoding, delimiter and header place.
 
-Files are looked at as text lines with Spark's text source: lines keep their raw
-bytes, so nothing is decoded twice, large files stay splittable, and a folder
-of a million files is one job.
+How a file is laid out comes from its first block, its footer from its last one (``blocks``); nothing else is read for it. Then
+all files are read in one pass: a line's fields are cut by the delimiter of its file and put in the columns of its file's header.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from . import blocks
 from ..functions import scan, textfn
-from ..functions.core import OpError, as_list
-from ..functions.scan import number
+from ..functions.core import OpError, as_list, col
 from ..operators.rows import head_rows
 
 # delimiters tried, in order of preference (fixed values)
@@ -25,6 +26,7 @@ CHARSETS = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1", "is
 # words of a summary row (fixed values)
 SUMMARY_WORDS = ("total", "sum", "average", "avg", "count", "grand total", "subtotal", "sub-total", "sum total", "overall")
 
+# values that are data rather than labels (fixed values)
 DATA_VALUE = (
     r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$",
     r"^\d{4}-\d{2}-\d{2}$",
@@ -42,16 +44,27 @@ def lines(spark: SparkSession, paths) -> DataFrame:
 
 
 def head_lines(spark: SparkSession, paths, n: int) -> DataFrame:
-    """(file, row, line): the first n lines of each file, numbered from 0."""
-    w = Window.partitionBy("file").orderBy("block", "id")
-    out = lines(spark, paths).withColumn("row", F.row_number().over(w)).where(F.col("row") <= n)
-    return out.select("file", (F.col("row") - 1).alias("row"), "line")
+    """(file, row, line): the first n lines of each file, numbered from 0; one block of each file is read."""
+    return _first_lines(blocks.edges(spark, paths, n), n)
+
+
+def _first_lines(edges: DataFrame, n: int) -> DataFrame:
+    text = blocks.decoded(F.col("head"), ~blocks.is_utf8(F.col("head")))
+    return edges.select("file", F.posexplode(F.slice(_split_lines(text), 1, n)).alias("row", "line"))
+
+
+def _split_lines(text: Column) -> Column:
+    """The lines of a text; the break at its end begins no line."""
+    return F.split(F.regexp_replace(text, f"(?:{blocks.BREAK})$", ""), blocks.BREAK)
 
 
 def detect_encoding(spark: SparkSession, paths) -> DataFrame:
-    """(file, encoding): utf-8 when every line is valid UTF-8, else latin-1, which reads any bytes."""
-    ok = F.bool_and(F.is_valid_utf8("line"))
-    return lines(spark, paths).groupBy("file").agg(F.when(ok, "utf-8").otherwise("latin-1").alias("encoding"))
+    """(file, encoding): utf-8 when the file's first block is valid UTF-8, else latin-1, which reads any bytes."""
+    return _encodings(blocks.edges(spark, paths))
+
+
+def _encodings(edges: DataFrame) -> DataFrame:
+    return edges.select("file", F.when(blocks.is_utf8(F.col("head")), "utf-8").otherwise("latin-1").alias("encoding"))
 
 
 def detect_delimiter(heads: DataFrame) -> DataFrame:
@@ -68,9 +81,11 @@ def detect_delimiter(heads: DataFrame) -> DataFrame:
 
 
 def cells(line: Column, delimiter: Column) -> Column:
-    """Fields of a line; delimiters inside double quotes do not split."""
-    sep = F.concat(F.lit("\\Q"), delimiter, F.lit("\\E(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"))
-    return F.transform(F.split(line, sep), lambda c: F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"))
+    """Fields of a line; delimiters inside double quotes do not split. One pass over the line: quotes cut it into parts, every
+    second one is quoted, and only the others' delimiters become marks."""
+    mark = "\x1f"
+    parts = F.transform(F.split(line, '"'), lambda p, i: F.when(i % 2 == 0, F.replace(p, delimiter, F.lit(mark))).otherwise(p))
+    return F.transform(F.split(F.array_join(parts, '"'), mark), lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), '(?s)^"(.*)"$', "$1"), '""', '"'))
 
 
 def _data_like(v: Column) -> Column:
@@ -153,18 +168,22 @@ def detect_header_row(heads: DataFrame, delimiters: DataFrame, max_rows_to_scan:
 
 def apply_detected_header(df: DataFrame, max_rows_to_check: int = 20, expected_columns: Sequence[str] | None = None,
                           min_string_columns: int = 2, apply_header: bool = True, order_by=None) -> DataFrame:
-    """A frame read with junk lines or a wrong header: name the columns by the best of its first rows and
-    drop the rows up to it. Only that one row comes to the driver, as column names must."""
+    """A frame read with junk lines or a wrong header: name the columns by the best of its first rows and drop the rows up to it.
+
+    The first rows are a top-k by the order, and no row is numbered: rows up to the header go by the header's order keys,
+    which come to the driver with its fields, as column names must. The order must be total.
+    """
     keys = scan.need_order(df, order_by)
     names = [c for c in df.columns if c not in {k.name for k in keys}]
-    head = number(df, [], keys, "__row").where(F.col("__row") <= max_rows_to_check)
+    first = df.orderBy(*[k.column() for k in keys]).limit(max_rows_to_check)
     fields = F.array(*[F.coalesce(textfn.strip(F.col(c).cast("string")), F.lit("")) for c in names])
-    scored = score_fields(head.select(F.lit("").alias("file"), (F.col("__row") - 1).alias("row"), fields.alias("fields")), expected_columns, min_string_columns)
-    best = best_header(scored).first()
-    if best is None or not apply_header:
+    kept = first.select(F.array(*[col(k.name).cast("string") for k in keys]).alias("keys"), fields.alias("fields")).collect()  # max_rows_to_check rows
+    if not kept or not apply_header:
         return df
-    out = number(df, [], keys, "__row").where(F.col("__row") > best["header_row"] + 1).drop("__row")
-    return out.withColumnsRenamed({c: f or f"col_{i}" for i, (c, f) in enumerate(zip(names, best["fields"]))})
+    rows = df.sparkSession.createDataFrame([("", i, r["fields"]) for i, r in enumerate(kept)], "file string, row int, fields array<string>")
+    best = best_header(score_fields(rows, expected_columns, min_string_columns)).first()
+    below = df.where(scan.later_than(df, keys, kept[best["header_row"]]["keys"]))
+    return below.withColumnsRenamed({c: f or f"col_{i}" for i, (c, f) in enumerate(zip(names, best["fields"]))})
 
 
 def detect_footer_rows(rows: DataFrame, columns: Sequence[str], file: str = "file", order: Sequence[str] = ("row",), max_rows_to_check: int = 5) -> DataFrame:
@@ -189,51 +208,168 @@ def detect_footer_rows(rows: DataFrame, columns: Sequence[str], file: str = "fil
 
 
 def sniff(spark: SparkSession, paths, **header_options) -> DataFrame:
-    """(file, encoding, delimiter, header_row, fields): how to read each file."""
-    heads = head_lines(spark, paths, 20)
+    """(file, encoding, delimiter, header_row, fields, footer_rows, footer_type, blank_above): how to read each file, from one block at
+    either end of it.
+
+    ``footer_rows`` counts the lines of the footer, blank lines among and below them included, ``blank_above`` those above the header.
+    """
+    # looked at several times: written once, so that the files are opened once
+    edges = scan.written(blocks.edges(spark, paths, 20, FOOTER_LINES))
+    heads = _first_lines(edges, 20)
     delim = detect_delimiter(heads)
-    return detect_encoding(spark, paths).join(delim, "file").join(detect_header(heads, delim, **header_options), "file")
+    top = edges.select("file").join(_encodings(edges), "file").join(delim, "file").join(detect_header(heads, delim, **header_options), "file")
+    blank = heads.join(top.select("file", "header_row"), "file").where((F.col("row") < F.col("header_row")) & (F.trim("line") == "")).groupBy("file").agg(F.count(F.lit(1)).alias("blank_above"))
+    out = top.join(_footers(edges, top), "file", "left").join(blank, "file", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("footer_rows", "blank_above")})
 
 
-def read_csv_safe(spark: SparkSession, paths, encoding: str | None = None, delimiter: str | None = None, find_header: bool = True,
-                  multi_line: bool = False) -> DataFrame:
-    """All files as text columns plus ``source_file``, ``row_block``, ``row_id`` (their line order) and ``bad_line``.
+#: Lines looked at for a footer.
+FOOTER_LINES = 5
 
-    Files are grouped by encoding, delimiter and header line and each group is read once:
-    one read over files with different headers would put values in the wrong columns. The
-    list of layouts (one row per group, with its paths) is read on the driver, as paths must be.
-    ``multi_line`` reads quoted line breaks, at the price that a file is not split.
+
+def _footers(edges: DataFrame, top: DataFrame) -> DataFrame:
+    """(file, footer_rows, footer_type) by the rule of ``detect_footer_rows`` on the last lines of each file."""
+    text = blocks.decoded(F.col("tail"), F.col("encoding") != "utf-8")
+    d = edges.where("tail IS NOT NULL").join(top, "file").select("file", "whole", "delimiter", "header_row", F.size("fields").alias("width"), _split_lines(text).alias("lines"))
+    body = F.when(F.col("whole"), F.slice("lines", F.col("header_row") + 2, F.greatest(F.size("lines") - F.col("header_row") - 1, F.lit(0)))).otherwise(F.col("lines"))
+    full = F.filter(F.transform(body, lambda v, i: F.struct(i.alias("i"), v.alias("line"))), lambda x: F.trim(x["line"]) != "")
+    d = d.withColumn("all", F.size(body)).withColumn("lines", full)
+    lasts = F.reverse(F.slice("lines", F.greatest(F.size("lines") - FOOTER_LINES + 1, F.lit(1)), FOOTER_LINES))  # last line first
+
+    def kind(x: Column) -> Column:
+        values = F.filter(cells(x["line"], F.col("delimiter")), lambda v: v != "")
+        words = F.lower(F.array_join(values, " "))
+        named = F.lit(False)
+        for k in SUMMARY_WORDS:
+            named = named | words.contains(k)
+        return F.when((F.col("width") - F.size(values)) / F.col("width") > 0.5, "empty").when(named, "summary").otherwise("data")
+
+    d = d.where(F.size("lines") > 1).withColumn("kinds", F.transform(lasts, kind)).withColumn("at", F.transform(lasts, lambda x: x["i"]))
+    run = F.coalesce(F.nullif(F.array_position("kinds", "data"), F.lit(0)) - 1, F.size("kinds"))
+    start = F.get("at", run.cast("int") - 1)
+    return d.withColumn("run", run).where("run > 0").select("file", (F.col("all") - start).alias("footer_rows"), F.get("kinds", F.col("run").cast("int") - 1).alias("footer_type"))
+
+
+def column_names(fields: Column) -> Column:
+    """Names of a header's fields: stripped, ``col_<i>`` for empty ones, repeated ones with a number behind."""
+    named = F.transform(fields, lambda f, i: F.when(textfn.strip(f) == "", F.concat(F.lit("col_"), i)).otherwise(textfn.strip(f)))
+
+    def once(f: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice(named, 1, i), lambda x: x == f))
+        return F.when((i > 0) & (before > 0), F.concat(f, F.lit("."), before)).otherwise(f)
+
+    return F.transform(named, once)
+
+
+def read_csv_safe(spark: SparkSession, paths, encoding: str | None = None, delimiter: str | None = None, find_header: bool = True,
+                  multi_line: bool = False, mark_footers: bool = False) -> DataFrame:
+    """All files as text columns plus ``source_file``, ``row_block``, ``row_id`` (their line order) and ``bad_line``; with
+    ``mark_footers`` also ``is_footer``, true for the summary and blank rows at the end of a file.
+
+    Every file is read once, whatever its layout: fields go to the columns of the file's own header. Only files with lines above
+    the header, or with a footer to mark, are passed over before, to find where those end. A line that is not UTF-8 is read as
+    Latin-1. The paths and the column names come to the driver, as a read needs them. ``multi_line`` reads quoted line breaks, at
+    the price that a file is not split and that each layout is a read of its own.
     """
-    plan = sniff(spark, paths)
-    groups = plan.groupBy("encoding", "delimiter", "header_row", "fields").agg(F.collect_list("file").alias("files")).collect()
-    if not groups:
+    plan = sniff(spark, paths).withColumn("names", column_names(F.col("fields")))
+    if encoding:
+        plan = plan.withColumn("encoding", F.lit("utf-8" if _charset(encoding) == "UTF-8" else "latin-1"))
+    if delimiter:
+        plan = plan.withColumn("delimiter", F.lit(delimiter))
+    plan = scan.written(plan.withColumn("skip", F.col("header_row") + 1 if find_header else F.lit(0)))
+    layouts = plan.select("delimiter", "names").distinct().orderBy("delimiter", "names").collect()  # one row for each layout
+    if not layouts:
         raise OpError("no readable file")
+    if multi_line:
+        return _read_multi_line(spark, plan, encoding)
+    names = list(dict.fromkeys(n for g in layouts for n in g["names"]))
+    place = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.array_position("names", n).cast("int") - 1)
+    how = plan.select(F.col("file").alias("_file"), F.col("encoding"), "delimiter", F.size("names").alias("width"), place.alias("place"), "skip", "footer_rows")
+    lines = None
+    deep = (F.col("skip") > 1) | (F.col("footer_rows") > 0) if mark_footers else F.col("skip") > 1
+    for inner, kind in ((False, ~deep), (True, deep)):
+        files = [unquote_path(r["file"]) for r in plan.where(kind).select("file").collect()]  # the paths that the read is given
+        if files:
+            part = _numbered_lines(spark, files, how) if inner else _lines_below_header(spark, files, how, find_header)
+            lines = part if lines is None else lines.unionByName(part)
+    parsed = lines.withColumn("_cells", _fields(sorted({(g["delimiter"], len(g["names"])) for g in layouts})))
+    value = lambda i: F.when(F.get("place", F.lit(i)) >= 0, F.get("_cells.cells", F.get("place", F.lit(i))))
+    out = [value(i).alias(n) for i, n in enumerate(names)]
+    return parsed.select(*out, F.col("_cells.bad").alias("bad_line"), "source_file", "row_block", "row_id", *(["is_footer"] if mark_footers else []))
+
+
+def unquote_path(file: str) -> str:
+    """A file's address as a path for Spark's readers, which take it literally: pattern characters are escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(file))
+
+
+def _located(lines: DataFrame) -> list[Column]:
+    return [F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("row_block"), F.monotonically_increasing_id().alias("row_id")]
+
+
+#: A delimiter that no line holds: the reader then takes whole lines.
+NO_DELIMITER = "\x00\x1f<no delimiter>\x1f\x00"
+
+
+def _lines_below_header(spark: SparkSession, files: list[str], how: DataFrame, header: bool) -> DataFrame:
+    """The lines of files whose first line is the header, or that have none. The reader drops the first line itself; it reads
+    bytes as Latin-1, which loses none of them, so each line can still be told to be UTF-8."""
+    raw = (spark.read.schema("line string").option("sep", NO_DELIMITER).option("quote", "\u0000").option("encoding", "ISO-8859-1").option("header", header)
+           .option("enforceSchema", True).option("mode", "PERMISSIVE").csv(files))
+    d = raw.select(F.encode("line", "ISO-8859-1").alias("_bytes"), *_located(raw))
+    return d.join(how, F.col("source_file") == F.col("_file")).select(_text().alias("line"), "delimiter", "width", "place", "source_file", "row_block", "row_id", F.lit(False).alias("is_footer"))
+
+
+def _numbered_lines(spark: SparkSession, files: list[str], how: DataFrame) -> DataFrame:
+    """The lines of files with junk above the header or a footer. A first pass finds the ids of each file's first and last line."""
+    raw = spark.read.text(files)
+    d = raw.select(F.col("value").cast("binary").alias("_bytes"), *_located(raw))
+    ends = d.groupBy("source_file").agg(F.min(F.when(F.col("row_block") == 0, F.col("row_id"))).alias("first"), F.max_by("row_id", F.struct("row_block", "row_id")).alias("last"))
+    ends = ends.withColumnRenamed("source_file", "_of").join(how, F.col("_of") == F.col("_file"))
+    out = d.join(ends, F.col("source_file") == F.col("_file")).where((F.col("row_block") > 0) | (F.col("row_id") >= F.col("first") + F.col("skip")))
+    # the lines of a file's last block have consecutive ids; a footer that began in the block before is cut short to it
+    is_footer = F.col("row_id") > F.col("last") - F.col("footer_rows")
+    return out.select(_text().alias("line"), "delimiter", "width", "place", "source_file", "row_block", "row_id", is_footer.alias("is_footer")).where(F.trim("line") != "")
+
+
+def _text() -> Column:
+    """A line's text: UTF-8 unless its file or the line itself is not."""
+    return blocks.decoded(F.col("_bytes"), (F.col("encoding") != "utf-8") | ~blocks.is_utf8(F.col("_bytes")))
+
+
+def _fields(kinds: Sequence[tuple[str, int]]) -> Column:
+    """(cells, bad) of ``line``: parsed by the delimiter and the width of its file."""
+    out = None
+    for sep, width in kinds:
+        schema = ", ".join(f"c{i} string" for i in range(width)) + ", bad string"
+        row = F.from_csv("line", schema, {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false"})
+        row = F.struct(F.array(*[row[f"c{i}"] for i in range(width)]).alias("cells"), row["bad"].alias("bad"))
+        test = (F.col("delimiter") == sep) & (F.col("width") == width)
+        out = F.when(test, row) if out is None else out.when(test, row)
+    return out
+
+
+def _read_multi_line(spark: SparkSession, plan: DataFrame, encoding: str | None) -> DataFrame:
+    """Files with quoted line breaks: one read for each layout, and each file whole. The reader leaves out blank lines, which count to no record."""
+    plan = plan.withColumn("skip", F.greatest(F.col("skip") - F.col("blank_above"), F.lit(0)).cast("int"))
+    groups = plan.groupBy("encoding", "delimiter", "skip", "names").agg(F.collect_list("file").alias("files")).collect()
     out = None
     for g in groups:
-        names = [f.strip().lstrip("\ufeff") or f"col_{i}" for i, f in enumerate(g["fields"])]
-        skip = g["header_row"] + 1 if find_header else 0
-        schema = ", ".join(f"`{n}` string" for n in names) + ", `bad_line` string"
-        part = (spark.read.schema(schema).option("sep", delimiter or g["delimiter"]).option("encoding", _charset(encoding or g["encoding"]))
-                .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad_line").option("header", skip == 1).option("multiLine", multi_line)
-                .option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).csv(g["files"]))
-        part = part.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("row_block"),
-                           F.monotonically_increasing_id().alias("row_id"))
-        if skip > 1:
-            part = _drop_first_lines(part, skip)
+        schema = ", ".join(f"`{n}` string" for n in g["names"]) + ", `bad_line` string"
+        part = (spark.read.schema(schema).option("sep", g["delimiter"]).option("encoding", _charset(encoding or g["encoding"]))
+                .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad_line").option("header", g["skip"] == 1).option("multiLine", True)
+                .option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).csv([unquote_path(f) for f in g["files"]]))
+        part = part.select("*", *_located(part))
+        if g["skip"] > 1:
+            part = _drop_first_lines(part, g["skip"])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 
 def _drop_first_lines(part: DataFrame, skip: int) -> DataFrame:
-    """Drop the junk and header lines on top of each file; the reader itself skips only one line.
-
-    The table of cut places has one row per file; Spark sizes it and picks the join.
-    """
-    w = Window.partitionBy("source_file").orderBy("row_id")
-    first = part.where("row_block = 0").select("source_file", "row_id", F.row_number().over(w).alias("n")).where(F.col("n") <= skip)
-    cut = first.groupBy(F.col("source_file").alias("f")).agg(F.max("row_id").alias("cut"))
-    kept = part.join(cut, F.col("source_file") == F.col("f"), "left").where((F.col("row_block") > 0) | (F.col("row_id") > F.col("cut")))
-    return kept.drop("f", "cut")
+    """Drop the junk and header lines on top of each file; the reader itself skips only one line."""
+    first = part.groupBy(F.col("source_file").alias("f")).agg(F.min("row_id").alias("first"))
+    return part.join(first, F.col("source_file") == F.col("f")).where(F.col("row_id") >= F.col("first") + skip).drop("f", "first")
 
 
 def _charset(name: str) -> str:

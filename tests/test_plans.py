@@ -4,7 +4,7 @@ import pytest
 
 from cleanloom import dry_run, register_op, run_plan, validate
 from cleanloom.plans import checks as H, contract as N, modules as M, pipeline as L, profile as P
-from cleanloom.sources import files as I, versions as S
+from cleanloom.sources import blocks as B, files as I, versions as S
 from cleanloom.streaming import arrivals as A
 
 from .conftest import rows
@@ -138,6 +138,52 @@ def test_mixed_files_are_read_right(spark, folder):
     assert rows(df.where("sku is not null"), "sku", "price", "qty") == [("A1", "1,50", "3"), ("B2", "2,75", "4")]
 
 
+@pytest.fixture
+def odd_folder(tmp_path):
+    import gzip
+
+    f = tmp_path / "in [1]"
+    f.mkdir()
+    (f / "offset.csv").write_text('Lead export\ngenerated by hand\n\nlead_id,full_name,score\n1,"Ann, A",70\n2,Bob,80\n\n3,Cy,90\n4,Di,95\n')
+    (f / "semi.csv").write_text("\ufeffsku;price;qty\nA1;1,50;3\nB2;2,75;4\nTotal;4,25;7\n\n;;\n")
+    (f / "latin 2.csv").write_bytes("city|n\nZürich|1\nKöln|2\n".encode("latin-1"))
+    (f / "dup.csv").write_text('a,a,,b\r\n1,2,3,4\r\n5,"x""y, z",7,8\r\n6,7,8,9\r\n')
+    (f / "big.csv").write_bytes(b"id,name\n" + b"".join(b"%d,name %d\n" % (i, i) for i in range(30000)) + b"30000,K\xf6ln\n" + "30001,Köln\nsum,450\n".encode())
+    with gzip.open(f / "z.csv.gz", "wt") as g:
+        g.write("k,v\n1,a\n2,b\n")
+    return f
+
+
+def test_layouts_come_from_one_block_at_either_end(spark, odd_folder):
+    path = str(odd_folder).replace("[", "\\[").replace("]", "\\]")
+    got = {r["file"].rsplit("/", 1)[1]: (r["encoding"], r["delimiter"], r["header_row"], r["footer_rows"], r["footer_type"]) for r in I.sniff(spark, path).collect()}
+    assert got == {"big.csv": ("utf-8", ",", 0, 1, "summary"), "dup.csv": ("utf-8", ",", 0, 0, None), "latin%202.csv": ("latin-1", "|", 0, 0, None),
+                   "offset.csv": ("utf-8", ",", 3, 0, None), "semi.csv": ("utf-8", ";", 0, 3, "summary"), "z.csv.gz": ("utf-8", ",", 0, 0, None)}
+    sizes = {r["file"].rsplit("/", 1)[1]: (len(r["head"]), len(r["tail"] or b"")) for r in B.edges(spark, path, 20, 5, 256).collect()}
+    assert sizes["big.csv"][0] <= 512 and sizes["big.csv"][1] <= 256
+
+
+def test_files_of_all_layouts_are_read_in_one_frame(spark, odd_folder):
+    path = str(odd_folder).replace("[", "\\[").replace("]", "\\]")
+    df = I.read_csv_safe(spark, path, mark_footers=True).cache()
+    assert rows(df.where("a is not null"), "a", "`a.1`", "col_2", "b") == [("1", "2", "3", "4"), ("5", 'x"y, z', "7", "8"), ("6", "7", "8", "9")]
+    assert rows(df.where("lead_id is not null"), "lead_id", "full_name") == [("1", "Ann, A"), ("2", "Bob"), ("3", "Cy"), ("4", "Di")]
+    assert rows(df.where("source_file like '%semi%'"), "sku", "is_footer") == [(None, True), ("A1", False), ("B2", False), ("Total", True)]
+    assert rows(df.where("k is not null"), "k", "v") == [("1", "a"), ("2", "b")] and rows(df.where("city is not null"), "city") == [("Köln",), ("Zürich",)]
+    big = df.where("source_file like '%big.csv'")
+    assert big.count() == 30003 and rows(big.where("is_footer"), "id") == [("sum",)] and rows(big.where("id >= '30000' and length(id) = 5 and id < '30002'"), "name") == [("Köln",), ("Köln",)]
+    assert I.read_csv_safe(spark, path, multi_line=True).where("lead_id is not null").count() == 4
+
+
+def test_profile_without_footers(spark, tmp_path):
+    body = "".join(f"{i},item {i % 7},{i * 3}\n" for i in range(200))
+    for name, end in (("plain", ""), ("ended", "Total,,59700\n\n,,\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.csv").write_text("key,item,amount\n" + body + end)
+    plain, ended = (M.profile_files(spark, str(tmp_path / n)).orderBy("position").collect() for n in ("plain", "ended"))
+    assert plain == ended and M.profile_files(spark, str(tmp_path / "ended"), trim_footers=False).first()["row_count"] == 202
+
+
 def test_footers(spark):
     data = [("a", i, str(i), "x", "y") for i in range(6)] + [("a", 6, "Total", "15", None), ("a", 7, None, None, "z")]
     data += [("b", 0, "Total", "1", "y"), ("b", 1, "2", "3", "y")]

@@ -25,15 +25,18 @@ def gappy_orders(spark: SparkSession, folder: str) -> DataFrame:
 GAPPY_ORDERS = "(SELECT * REPLACE (nullif(o_orderstatus, 'P') AS o_orderstatus) FROM orders)"
 
 
+ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
 def customer_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """every customer with its urgent orders, nulls where it has none."""
-    urgent = t(spark, folder, "orders").where("o_orderpriority = '1-URGENT'")
-    c = t(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    return c.join(urgent, c.c_custkey == urgent.o_custkey, "left")
+    """every customer with all its orders; the order's cells are null where a customer has none and for orders of low priority."""
+    c, o = t(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment"), t(spark, folder, "orders")
+    known = F.col("o_orderpriority") != "5-LOW"
+    return c.join(o, c.c_custkey == o.o_custkey, "left").select(*c.columns, *[F.when(known, F.col(x)).alias(x) for x in ORDER_COLUMNS])
 
 
-CUSTOMER_ORDERS = """(SELECT c_custkey, c_name, c_mktsegment, o.* FROM customer
-  LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') o ON c_custkey = o_custkey)"""
+CUSTOMER_ORDERS = "(SELECT c_custkey, c_name, c_mktsegment, " + ", ".join(
+    f"CASE WHEN o_orderpriority <> '5-LOW' THEN {c} END AS {c}" for c in ORDER_COLUMNS) + " FROM customer LEFT JOIN orders ON c_custkey = o_custkey)"
 
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
               "l_returnflag", "l_linestatus", "l_shipdate"]

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cleanloom.plans import contract as N, profile as P
 
-from .base import GAPPY, customer_orders, gappy_events, t
+from .base import CUSTOMER_ORDERS, GAPPY, customer_orders, gappy_events, t
 
 
 def messy_customers(s, d):
@@ -100,7 +100,7 @@ Q = {
             SELECT low, variants FROM g WHERE k > 1 ORDER BY n DESC, low LIMIT 3"""),
     "table_summary": (
         lambda s, d: P.table_summary(customer_orders(s, d).select("c_mktsegment", "o_orderstatus", "o_orderpriority")),
-        """WITH c AS (SELECT c_mktsegment, o_orderstatus, o_orderpriority, count(*) AS n FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') ON c_custkey = o_custkey GROUP BY ALL)
+        f"""WITH c AS (SELECT c_mktsegment, o_orderstatus, o_orderpriority, count(*) AS n FROM {CUSTOMER_ORDERS} GROUP BY ALL)
            SELECT sum(n)::BIGINT AS row_count, 3::INTEGER AS column_count, (sum(n) - count(*))::BIGINT AS duplicate_rows, (sum(n) FILTER (o_orderstatus IS NOT NULL))::BIGINT AS complete_rows, 'critical' AS severity FROM c"""),
     "generate_contract": (
         lambda s, d: contract(s, d).selectExpr("name", "semantic_type", "dtype", "required", "nullable", "max_null_percent", "min_value", "max_value", "array_join(array_sort(allowed_values), '|') AS allowed_values",

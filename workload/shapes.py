@@ -1,5 +1,7 @@
 """Grouping, reshaping and multi-table operators."""
 
+from pyspark.sql import functions as F
+
 from cleanloom.operators import groups as G, tables as J
 
 from .base import GAPPY, GAPPY_ORDERS, gappy_events, gappy_orders, t
@@ -102,8 +104,8 @@ Q = {
         lambda s, d: J.union_tables(t(s, d, "customer").selectExpr("c_custkey AS key", "c_name AS name", "c_mktsegment"), t(s, d, "supplier").selectExpr("s_name AS name", "s_suppkey AS key", "s_acctbal"), match_columns=False),
         "SELECT c_custkey AS key, c_name AS name, c_mktsegment, NULL::DOUBLE AS s_acctbal FROM customer UNION ALL SELECT s_suppkey, s_name, NULL, s_acctbal FROM supplier"),
     "lookup": (
-        lambda s, d: J.lookup(t(s, d, "customer"), t(s, d, "nation").where("n_nationkey < 20"), "c_nationkey", "n_nationkey", ["n_name", "n_regionkey"], "unknown"),
-        """SELECT c.*, coalesce(n_name, 'unknown') AS n_name, n_regionkey FROM customer c LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey"""),
+        lambda s, d: J.lookup(t(s, d, "customer").withColumn("c_nationkey", F.expr("nullif(c_nationkey, 3)")), t(s, d, "nation"), "c_nationkey", "n_nationkey", ["n_name", "n_regionkey"], "unknown"),
+        """SELECT c.* REPLACE (nullif(c_nationkey, 3) AS c_nationkey), coalesce(n_name, 'unknown') AS n_name, n_regionkey FROM customer c LEFT JOIN nation ON nullif(c_nationkey, 3) = n_nationkey"""),
     "lookup_first_match": (
         lambda s, d: J.lookup(t(s, d, "customer").select("c_custkey", "c_name"), gappy_orders(s, d), "c_custkey", "o_custkey", ["o_orderkey", "o_orderstatus"], None, ["o_orderdate", "o_orderkey"]),
         f"""SELECT c_custkey, c_name, o_orderkey, o_orderstatus FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey, o_orderstatus FROM {GAPPY_ORDERS}
