@@ -22,26 +22,26 @@ def small_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("cleanloom.quantile.smallRows", str(SMALL)))
 
 
-def value_runs(df: DataFrame, part: Sequence[str], value: str, ascending: bool = True) -> DataFrame:
-    """One row per (group, value): rows with it, rows before it, distinct values up to it."""
+def value_runs(df: DataFrame, part: Sequence[str], value: str, ascending: bool = True, weight: str | None = None) -> DataFrame:
+    """One row per (group, value): rows with it (or their weights), rows before it, distinct values up to it."""
     counts = df.where(col(value).isNotNull()).groupBy(*[col(p) for p in part], col(value)).agg(
-        F.count(F.lit(1)).alias("__cnt"))
+        (F.sum(col(weight)) if weight else F.count(F.lit(1))).alias("__cnt"))
     runs = scan.running(counts, list(part), [scan.Key(value, ascending)],
                         {"__cum": ("sum", F.col("__cnt")), "__dense": ("count", F.col("__cnt"))})
     return runs.withColumn("__before", F.col("__cum") - F.col("__cnt")).drop("__cum")
 
 
-def quantiles(df: DataFrame, part: Sequence[str], value: str, probs: Sequence[float], rows: int | None = None) -> DataFrame:
-    """Per group: ``q0..qn`` (linear interpolation, as double) of the non-null values of ``value``."""
+def quantiles(df: DataFrame, part: Sequence[str], value: str, probs: Sequence[float], rows: int | None = None, weight: str | None = None) -> DataFrame:
+    """Per group: ``q0..qn`` (linear interpolation, as double) of the non-null values of ``value``, each taken ``weight`` times if given."""
     part = list(part)
     rows = df.count() if rows is None else rows
     x = col(value).cast("double")
     if rows <= small_limit(df):
-        qs = F.percentile(x, F.array(*[F.lit(float(p)) for p in probs]))
+        qs = F.percentile(x, F.array(*[F.lit(float(p)) for p in probs]), col(weight) if weight else F.lit(1))
         return df.groupBy(*[col(p) for p in part]).agg(qs.alias("__q")).select(
             *[col(p) for p in part], *[F.get("__q", F.lit(i)).alias(f"q{i}") for i in range(len(probs))])
-    slim = df.select(*[col(p) for p in part], x.alias("__x"))
-    runs = value_runs(slim, part, "__x")
+    slim = df.select(*[col(p) for p in part], x.alias("__x"), *([col(weight).alias("__w")] if weight else []))
+    runs = value_runs(slim, part, "__x", weight="__w" if weight else None)
     totals = runs.groupBy(*[col(p) for p in part]).agg(F.sum("__cnt").alias("__n"))
     if part:
         runs = attach(runs, totals, part)

@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
@@ -255,15 +257,48 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: The cuts of a plan's order so far: (groups, keys, types) -> (rows, bounds).
+_CUTS: ContextVar[dict | None] = ContextVar("cuts", default=None)
+
+
+@contextmanager
+def one_cut():
+    """Within it, ordered steps of one group and order share the count and the bounds of the first one.
+
+    Bounds only balance the chunks: any bounds give right results. So they may be kept as long as the rows stay about as they
+    are; ``forget_cuts`` ends that.
+    """
+    token = _CUTS.set({})
+    try:
+        yield
+    finally:
+        _CUTS.reset(token)
+
+
+def forget_cuts(columns: Iterable[str] | None = None) -> None:
+    """Forget all cuts, or those by one of the columns."""
+    cuts = _CUTS.get()
+    if cuts:
+        gone = set(columns or ())
+        for cut in list(cuts):
+            if columns is None or gone & {*cut[0], *(k.name for k in cut[1])}:
+                del cuts[cut]
+
+
 def chunked(df: DataFrame, part=None, order_by=None, rows: int | None = None) -> Chunked:
-    """Cut the rows into ranges of (group, order key). Runs a count and a key sample."""
+    """Cut the rows into ranges of (group, order key). Runs a count and a key sample, unless the order is cut already (``one_cut``)."""
     part = as_list(part)
     need(df, part)
     keys = need_order(df, order_by)
-    rows = df.count() if rows is None else rows
+    cuts = _CUTS.get()
+    mark = (tuple(part), tuple(keys), tuple(df.schema[c].dataType.simpleString() for c in [*part, *(k.name for k in keys)]))
+    known = cuts.get(mark) if cuts is not None else None
+    rows = known[0] if known else df.count() if rows is None else rows
     chunks = chunk_target(df, rows)
     name = tmp_name(df, "chunk")
     if chunks == 1:
+        if cuts is not None:
+            cuts[mark] = rows, []
         return Chunked(df.withColumn(name, F.lit(0)), part, keys, name, 1, rows)
     work, full = df, keys
     group = tmp_name(df, "group")
@@ -276,7 +311,9 @@ def chunked(df: DataFrame, part=None, order_by=None, rows: int | None = None) ->
         # too many bounds for an expression: Spark deals the rows out by range, and the number of the range is written with them
         dealt = work.repartitionByRange(chunks, *[k.column() for k in full]).withColumn(name, F.spark_partition_id()).drop(group)
         return Chunked(written(dealt), part, keys, name, chunks, rows)
-    bounds = _bounds(work, full, rows, chunks)
+    bounds = known[1] if known else _bounds(work, full, rows, chunks)
+    if cuts is not None:
+        cuts[mark] = rows, bounds
     types = [work.schema[k.name].dataType.simpleString() for k in full]
     tests = [_at_or_after(full, b, types) for b in bounds]
     out = work.withColumn(name, F.expr(_lookup(tests, 0, len(tests))))

@@ -108,22 +108,33 @@ def cumulative(df: DataFrame, target_columns, operation: str = "sum", partition_
     return _running(df, {c: f"{c}{suffix}" for c in existing(df, target_columns)}, operation, part, keys)
 
 
+def _wanted(df: DataFrame, column: str, operation: str, stem: str) -> dict[str, tuple[str, Column]]:
+    """The running aggregates that a cumulative column is made of."""
+    x = num(df, column)
+    if operation == "mean":
+        return {f"{stem}a": ("sum", x), f"{stem}b": ("count", x)}
+    return {f"{stem}a": ("product" if operation == "prod" else operation, x)}
+
+
+def _shown(df: DataFrame, column: str, operation: str, stem: str, part) -> Column:
+    value = F.col(f"{stem}a") / F.nullif(F.col(f"{stem}b"), F.lit(0)) if operation == "mean" else F.col(f"{stem}a")
+    return F.when(_known(part) if operation == "count" else _known(part) & num(df, column).isNotNull(), value)
+
+
+def running_columns(df: DataFrame, columns: Sequence[tuple[str | None, str, str]], part, keys) -> DataFrame:
+    """Any number of running columns of one order in one scan: (column, new column, operation); without a column, the row's number."""
+    wanted: dict[str, tuple[str, Column]] = {}
+    for i, (c, _, operation) in enumerate(columns):
+        wanted |= _wanted(df, c, operation, f"__r{i}") if c is not None else {f"__r{i}a": ("count", F.lit(1))}
+    if not wanted:
+        return df
+    out = scan.running(df, part, keys, wanted)
+    new = {name: _shown(df, c, operation, f"__r{i}", part) if c is not None else F.col(f"__r{i}a") for i, (c, name, operation) in enumerate(columns)}
+    return out.withColumns(new).drop(*wanted)
+
+
 def _running(df: DataFrame, columns: Mapping[str, str], operation: str, part, keys) -> DataFrame:
-    """All columns in one scan."""
-    wanted = {}
-    for i, c in enumerate(columns):
-        x = num(df, c)
-        if operation == "mean":
-            wanted |= {f"__a{i}": ("sum", x), f"__b{i}": ("count", x)}
-        else:
-            wanted[f"__a{i}"] = ("product" if operation == "prod" else operation, x)
-    out = scan.running(df, part, keys, wanted) if wanted else df
-    new = {}
-    for i, (c, name) in enumerate(columns.items()):
-        value = F.col(f"__a{i}") / F.nullif(F.col(f"__b{i}"), F.lit(0)) if operation == "mean" else F.col(f"__a{i}")
-        shown = _known(part) if operation == "count" else _known(part) & num(df, c).isNotNull()
-        new[name] = F.when(shown, value)
-    return out.withColumns(new).drop(*wanted) if new else out
+    return running_columns(df, [(c, name, operation) for c, name in columns.items()], part, keys)
 
 
 def running_total(df: DataFrame, column: str, new_column: str, group_by=None, order_by=None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import textfn
 from ..functions.similarity import edit_score, normal_name
+from ..functions.sketches import overlap
 
 # groups of column names that mean the same (fixed values)
 SYNONYMS = {
@@ -106,10 +107,8 @@ def dtype_ok(a: Column, b: Column) -> Column:
 
 
 def value_overlap(a: Column, b: Column) -> Column:
-    """Jaccard overlap of two sample lists, trimmed and lower-cased."""
-    clean = lambda c: F.array_distinct(F.transform(F.array_compact(c), lambda v: F.lower(F.trim(v.cast("string")))))
-    both = F.size(F.array_union(clean(a), clean(b)))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0) & (both > 0), F.size(F.array_intersect(clean(a), clean(b))) / both).otherwise(0.0)
+    """Share of the values of either column that both have, from the sketches of their values (``functions.sketches``)."""
+    return overlap(a, b)
 
 
 def name_match(incoming: Column, target: Column, alternatives: Column) -> Column:
@@ -143,7 +142,7 @@ def generate_contract(profile: DataFrame, contract_id: str = "contract", mark_al
         F.lit(contract_id).alias("contract_id"), "position", F.col("column").alias("name"), alternative_names(F.col("column")).alias("alternative_names"),
         "semantic_type", "dtype", F.col("detected_pattern").alias("expected_pattern"), F.lit(mark_all_required).alias("required"),
         (F.col("null_percent") > 0).alias("nullable"), F.greatest(F.col("null_percent") + 10, F.lit(10.0)).alias("max_null_percent"),
-        "sample_values", F.when(F.col("is_categorical"), F.transform("top_values", lambda v: v["value"])).alias("allowed_values"), "min_value", "max_value")
+        "sample_values", "values_sketch", F.when(F.col("is_categorical"), F.transform("top_values", lambda v: v["value"])).alias("allowed_values"), "min_value", "max_value")
     return rows
 
 
@@ -157,29 +156,46 @@ def fingerprint(contract: DataFrame) -> DataFrame:
 CANDIDATE = "array<struct<score:double,place:int,target:string,match_type:string,type_ok:boolean,dtype_ok:boolean>>"
 
 
+def _pair(t: Column, values: bool) -> dict[str, Column]:
+    """The parts of the score of an incoming column against the contract column ``t``."""
+    m = name_match(F.col("column"), t["name"], t["alternative_names"])
+    w_name, w_type, w_value = (0.5, 0.3, 0.2) if values else (0.6, 0.4, 0.0)
+    kind = type_score(F.col("semantic_type"), t["semantic_type"])
+    overlap = value_overlap(F.col("values_sketch"), t["values_sketch"]) if values else F.lit(0.0)
+    return {"target": t["name"], "name_score": m["score"], "match_type": m["match_type"], "type_score": kind, "value_overlap": overlap,
+            "score": m["score"] * w_name + kind * w_type + overlap * w_value,
+            "type_ok": types_compatible(F.col("semantic_type"), t["semantic_type"]), "dtype_ok": dtype_ok(F.col("dtype"), t["dtype"])}
+
+
+def _with_targets(incoming: DataFrame, contract: DataFrame) -> DataFrame:
+    """Each incoming column beside all columns of its contract, as an array ``targets``."""
+    fields = ["position", "name", "alternative_names", "semantic_type", "dtype", "values_sketch", "required"]
+    wide = contract.groupBy("contract_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("targets"))  # one entry per column
+    return incoming.join(wide, "contract_id")
+
+
+def column_scores(incoming: DataFrame, contract: DataFrame, values: bool = True) -> DataFrame:
+    """One row per (file, contract, incoming column, contract column): the parts of their score."""
+    pairs = _with_targets(incoming, contract).withColumn("t", F.explode("targets"))
+    return pairs.select("file", "contract_id", F.col("column").alias("incoming"), *[c.alias(n) for n, c in _pair(F.col("t"), values).items()])
+
+
 def _candidates(incoming: DataFrame, contract: DataFrame, values: bool) -> DataFrame:
     """Each incoming column with the contract columns it may become, best first."""
-    fields = ["position", "name", "alternative_names", "semantic_type", "dtype", "sample_values", "required"]
-    wide = contract.groupBy("contract_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("targets"))  # one entry per column
-    both = incoming.join(wide, "contract_id")
-    w_name, w_type, w_value, floor = (0.5, 0.3, 0.2, 0.4) if values else (0.6, 0.4, 0.0, 0.5)
+    floor = 0.4 if values else 0.5
 
     def scored(t: Column) -> Column:
-        m = name_match(F.col("column"), t["name"], t["alternative_names"])
-        total = m["score"] * w_name + type_score(F.col("semantic_type"), t["semantic_type"]) * w_type
-        if values:
-            total = total + value_overlap(F.col("sample_values"), t["sample_values"]) * w_value
-        return F.struct(total.alias("score"), (-t["position"]).alias("place"), t["name"].alias("target"), m["match_type"].alias("match_type"),
-                        types_compatible(F.col("semantic_type"), t["semantic_type"]).alias("type_ok"), dtype_ok(F.col("dtype"), t["dtype"]).alias("dtype_ok"))
+        p = _pair(t, values)
+        return F.struct(p["score"].alias("score"), (-t["position"]).alias("place"), *[p[c].alias(c) for c in ("target", "match_type", "type_ok", "dtype_ok")])
 
     best_first = F.sort_array(F.filter(F.transform("targets", scored), lambda c: c["score"] > floor), asc=False)
-    return both.withColumn("candidates", best_first.cast(CANDIDATE))
+    return _with_targets(incoming, contract).withColumn("candidates", best_first.cast(CANDIDATE))
 
 
 def map_columns(incoming: DataFrame, contract: DataFrame, values: bool = True) -> DataFrame:
     """Greedy mapping in column order: each incoming column takes the best contract column still free.
 
-    ``incoming`` has (file, contract_id, position, column, semantic_type, dtype, sample_values).
+    ``incoming`` has (file, contract_id, position, column, semantic_type, dtype, values_sketch).
     Result: one row per (file, contract_id) with the arrays ``mappings``, ``unmapped`` and ``targets``.
     """
     cand = _candidates(incoming, contract, values)
@@ -235,7 +251,7 @@ def match_contracts(source: DataFrame, target: DataFrame) -> DataFrame:
     ``source`` rows name the target to test in ``target_id``.
     """
     incoming = source.select(F.col("contract_id").alias("file"), F.col("target_id").alias("contract_id"), "position",
-                             F.col("name").alias("column"), "semantic_type", "dtype", "sample_values")
+                             F.col("name").alias("column"), "semantic_type", "dtype", "values_sketch")
     m = map_columns(incoming, target, False)
     required = F.transform(F.filter("targets", lambda t: t["required"]), lambda t: t["name"])
     missing = F.array_except(required, F.transform("mappings", lambda x: x["target"]))

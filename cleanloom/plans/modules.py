@@ -25,7 +25,7 @@ class Module:
 
 def build_module(df: DataFrame, steps: Sequence[Mapping], contract_id: str = "module") -> Module:
     """A module whose contract is taken from a sample of good input."""
-    return Module(contract_id, contracts.generate_contract(profile.profile_table(df), contract_id), steps)
+    return Module(contract_id, contracts.generate_contract(profile.profile_table(df, quartiles=False), contract_id), steps)
 
 
 def save_module(module: Module, folder: str) -> Module:
@@ -44,7 +44,7 @@ def load_module(spark: SparkSession, folder: str) -> Module:
 def match_incoming(df: DataFrame, module: Module, file: str = "incoming") -> DataFrame:
     """Read the meaning of a frame's columns and match them against the module's contract: one row."""
     p = profile.column_meanings(df).select(F.lit(file).alias("file"), F.lit(module.contract_id).alias("contract_id"), "position", "column",
-                                         "semantic_type", "dtype", "sample_values")
+                                         "semantic_type", "dtype", "values_sketch")
     return contracts.match_schema(p, module.contract)
 
 

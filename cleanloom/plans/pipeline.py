@@ -1,17 +1,19 @@
-"""Saved step lists: ``[{"op": name, "params": {...}}, ...]`` folded over a lazy DataFrame.
+"""Saved step lists: ``[{"op": name, "params": {...}}, ...]`` folded over a DataFrame.
 
-Nothing runs between the steps: Catalyst sees the whole chain, so filters and
-column choices of late steps reach the scan.
+Most steps only add to the plan: Catalyst sees the whole chain, so filters and column choices of late steps reach the scan. Steps
+by row order count and sample their input when they are added, once for each order, and neighbouring running columns of one order
+are one scan; before a second scan the frame is checkpointed.
 """
 
 from __future__ import annotations
 
 import inspect
+import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions import scan
 from ..functions.core import OpError, as_list, per_column, q
@@ -234,6 +236,7 @@ class StepReport:
     success: bool
     error: str | None = None
     columns: list[str] = field(default_factory=list)
+    ms: float = 0.0  # to add the step to the plan, with the jobs it ran for that
 
 
 @dataclass
@@ -242,6 +245,12 @@ class PlanResult:
     success: bool
     steps: list[StepReport]
     counts: DataFrame | None = None
+    observed: list[tuple[int, StepReport, Observation]] = field(default_factory=list)
+
+    def record(self) -> list[dict]:
+        """What each step was: step, op, rows, columns, ms. Only after an action on ``df``, whose jobs have counted the rows; an action
+        that stops early, like a limit, counts what it has read."""
+        return [{"step": i, "op": r.op, "rows": seen.get["rows"], "columns": len(r.columns), "ms": r.ms} for i, r, seen in self.observed]
 
 
 def _accepted(fn: Callable, params: Mapping) -> Mapping:
@@ -252,14 +261,76 @@ def _accepted(fn: Callable, params: Mapping) -> Mapping:
     return {k: v for k, v in params.items() if k in names or k not in _FINDINGS}
 
 
+# modules whose operators keep the rows as they are, and with them the balance of a cut
+_KEEP_ROWS = (columns, calculate, text, format, dates)
+# operators with running columns, and the parameters that name new columns
+_RUNNING = ("running_total", "cumulative", "row_number")
+_NEW = ("new_column", "name", "new_columns")
+
+
+def _running_columns(step: Mapping, df: DataFrame, order_by) -> tuple[tuple, list] | None:
+    """(group and order, running columns) of a step that has some, or None."""
+    if step.get("op") not in _RUNNING or check_params(step):
+        return None
+    p = _bind(df, step.get("params") or {}, {}, get_op(step["op"]), order_by)
+    if not p.get("order_by") or p.get("start", 1) != 1:
+        return None
+    part = tuple(as_list(p.get("partition_by") or p.get("group_by")))
+    if step["op"] == "running_total":
+        new = [(p["column"], p["new_column"], "sum")]
+    elif step["op"] == "row_number":
+        new = [(None, p.get("new_column", "row_num"), "count")]
+    else:
+        kind = p.get("operation", "sum")
+        suffix = p["suffix"] if p.get("suffix") is not None else f"_cum{kind}"
+        new = [(c, f"{c}{suffix}", kind) for c in as_list(p["target_columns"]) if c in df.columns]
+    return (part, tuple(scan.keys_of(p["order_by"]))), new
+
+
+def _together(steps: Sequence[Mapping], df: DataFrame, order_by) -> tuple[int, list, tuple] | None:
+    """How many of the first steps are running columns of one order that do not build on one another, with those columns."""
+    first = _running_columns(steps[0], df, order_by)
+    if first is None or first[1] and any(c is not None and c not in df.columns for c, *_ in first[1]):
+        return None
+    how, found, n = first[0], list(first[1]), 1
+    for step in steps[1:]:
+        more = _running_columns(step, df, order_by)
+        new = {name for _, name, _ in found}
+        if more is None or more[0] != how or any(c is not None and c not in df.columns for c, *_ in more[1]) or new & {x for c, name, _ in more[1] for x in (c, name)}:
+            break
+        found, n = found + more[1], n + 1
+    names = [name for _, name, _ in found]
+    if n < 2 or set(names) & set(df.columns) or len(set(names)) < len(names) or any(c not in df.columns for c in [*how[0], *(k.name for k in how[1])]):
+        return None
+    return n, found, how
+
+
+def _keeps_balance(step: Mapping, fn: Callable, often: bool) -> None:
+    """Forget the cuts that a step may have put out of balance: all if it may change the rows, else those by a column it writes."""
+    if fn.__module__ not in {m.__name__ for m in _KEEP_ROWS} and not often:
+        scan.forget_cuts()
+        return
+    params = step.get("params") or {}
+    names = {x for p, v in params.items() if p in _NEW or not often for x in (v.values() if isinstance(v, Mapping) else as_list(v) if isinstance(v, (str, list, tuple)) else ()) if isinstance(x, str)}
+    scan.forget_cuts(names)
+
+
 def run_plan(df: DataFrame, steps: Sequence[Mapping], tables: Mapping[str, DataFrame] | None = None, stop_on_error: bool = True,
-             order_by=None, count_rows: bool = False) -> PlanResult:
+             order_by=None, count_rows: bool = False, observe: bool = False) -> PlanResult:
     """Apply the steps in order. Steps that are cut into chunks by row order count and sample their input while the plan is
-    built; from the second such step on the frame is checkpointed first. All others are lazy. On a failed step the original frame comes back
+    built, once for each order (``scan.one_cut``), and neighbouring running columns of one order are taken in one scan; from the
+    second scan on the frame is checkpointed first. All other steps are lazy. On a failed step the original frame comes back
     (``stop_on_error``) or the step is skipped. ``count_rows`` adds a lazy frame
-    (step, rows) with the row count after every step."""
-    original, reports, counts, scans = df, [], [], 0
-    for i, step in enumerate(steps):
+    (step, rows) with the row count after every step; ``observe`` counts the rows of each step within the jobs that run anyway
+    (``PlanResult.record``)."""
+    with scan.one_cut():
+        return _run(df, list(steps), tables or {}, stop_on_error, order_by, count_rows, observe)
+
+
+def _run(df: DataFrame, steps: list[Mapping], tables: Mapping[str, DataFrame], stop_on_error: bool, order_by, count_rows: bool, observe: bool) -> PlanResult:
+    original, reports, counts, observed, scans, i = df, [], [], [], 0, 0
+    while i < len(steps):
+        step, began, taken = steps[i], time.perf_counter(), 1
         try:
             problems = check_params(step)
             if problems:
@@ -269,19 +340,39 @@ def run_plan(df: DataFrame, steps: Sequence[Mapping], tables: Mapping[str, DataF
             if scans and often:
                 df = scan.settle(df)  # an ordered step on top of another would repeat it
             scans += often
-            df = fn(df, **_bind(df, step.get("params") or {}, tables or {}, fn, order_by))
-            reports.append(StepReport(step["op"], True, columns=list(df.columns)))
+            group = _together(steps[i:], df, order_by)
+            if group:
+                taken, new, (part, keys) = group
+                before = list(df.columns)
+                df = calculate.running_columns(df, new, list(part), list(keys))
+                mine = [_running_columns(s, df.select(*[q(c) for c in before]), order_by)[1] for s in steps[i: i + taken]]
+            else:
+                df = fn(df, **_bind(df, step.get("params") or {}, tables, fn, order_by))
+                before, mine = list(df.columns), [[]]
+            for s, names in zip(steps[i: i + taken], mine):
+                before = before + [name for _, name, _ in names]
+                reports.append(StepReport(s["op"], True, columns=list(before)))
+                _keeps_balance(s, get_op(s["op"]), reads_often(s["op"], get_op(s["op"])))
         except (OpError, AnalysisException, KeyError, TypeError, ValueError) as e:
             reports.append(StepReport(step.get("op", ""), False, str(e)))
             if stop_on_error:
                 return PlanResult(original, False, reports)
+            i += 1
             continue
-        if count_rows:
-            counts.append(df.agg(F.lit(i + 1).alias("step"), F.lit(step.get("op")).alias("op"), F.count(F.lit(1)).alias("rows")))
+        if observe:
+            seen = Observation()
+            df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        for n, s in enumerate(steps[i: i + taken]):
+            reports[n - taken].ms = round((time.perf_counter() - began) * 1000 / taken, 1)
+            if count_rows:
+                counts.append(df.agg(F.lit(i + n + 1).alias("step"), F.lit(s.get("op")).alias("op"), F.count(F.lit(1)).alias("rows")))
+            if observe:
+                observed.append((i + n + 1, reports[n - taken], seen))
+        i += taken
     total = None
     for c in counts:
         total = c if total is None else total.unionByName(c)
-    return PlanResult(df, True, reports, total)
+    return PlanResult(df, True, reports, total, observed)
 
 
 def dry_run(df: DataFrame, steps: Sequence[Mapping], tables: Mapping[str, DataFrame] | None = None, order_by=None) -> list[dict]:

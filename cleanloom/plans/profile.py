@@ -1,18 +1,19 @@
-"""Column profiles of whole tables.
+"""Column profiles of whole tables, any number of them in one job.
 
-Three passes whatever the width: numeric moments in one aggregate; value counts
-of all columns in one long group-by, from which unique counts, text flags,
-pattern hits, top values and samples follow; quartiles.
+The rows of all tables become one long relation (file, column, value), counted in one shuffle and written. Totals, uniques, text
+flags, pattern hits, top values, samples, moments, quartiles, outliers and the sketch of a column's values all come from the
+counted values.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import quantiles, textfn
-from ..functions.core import as_list, col, is_numeric, need, numeric_columns, per_column, rows_frame, text, type_class
+from ..functions import quantiles, scan, textfn
+from ..functions.core import as_list, col, is_numeric, need, numeric_columns, rows_frame, text, type_class
+from ..functions.sketches import sketch_values
 
 # value patterns, in order of preference, with the semantic type and the layout they stand for (fixed values)
 PATTERNS = (
@@ -41,36 +42,54 @@ NAME_HINTS = ("name", "first", "last", "customer", "user")
 DTYPES = {"integer": "int64", "float": "float64", "boolean": "bool", "datetime": "datetime64[ns]", "string": "object"}
 
 
+KEY = ("file", "column")
+
+
 def value_counts(df: DataFrame, columns=None) -> DataFrame:
     """(column, value, count) of all non-null values, as text."""
     names = as_list(columns) or list(df.columns)
-    pairs = [F.struct(F.lit(c).alias("column"), text(df, c).alias("value")) for c in names]
-    long = df.select(F.inline(F.array(*pairs))).where("value is not null")
-    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+    return _counted({"": df.select(*[col(c) for c in names])}).where("value IS NOT NULL").select("column", "value", "count")
+
+
+def _counted(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(file, column, value, number, count) of all values as text, null among them; ``number`` is the value of a numeric column."""
+    long = None
+    for file, df in tables.items():
+        pairs = [F.struct(F.lit(c).alias("column"), text(df, c).alias("value"), (col(c).cast("double") if is_numeric(df, c) else F.lit(None).cast("double")).alias("number"))
+                 for c in df.columns]
+        if not pairs:
+            continue
+        one = df.select(F.lit(file).alias("file"), F.inline(F.array(*pairs)))
+        long = one if long is None else long.unionByName(one)
+    return long.groupBy(*KEY, "value").agg(F.max("number").alias("number"), F.count(F.lit(1)).alias("count"))
+
+
+def counted(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The counted values as a written table, which every metric reads."""
+    return scan.written(_counted({f: _plain(df) for f, df in tables.items()}))
 
 
-def _whole(counts: DataFrame) -> DataFrame:
-    """Keep the count column in use, so that every reader of the value counts has
-    the same plan and Spark shuffles them once (exchange reuse)."""
-    return counts.where("count > 0")
+def _keys(counts: DataFrame) -> list[str]:
+    return [k for k in KEY if k in counts.columns]
 
 
 def _merge(sides: Sequence[DataFrame]) -> DataFrame:
-    """One row per column from frames with one row per column: a union and one small aggregate, no joins."""
+    """One row per key from frames with one row per key: a union and one small aggregate, no joins."""
     out = sides[0]
     for side in sides[1:]:
         out = out.unionByName(side, allowMissingColumns=True)
-    return out.groupBy("column").agg(*[F.first(c, ignorenulls=True).alias(c) for c in out.columns if c != "column"])
+    keys = _keys(out)
+    return out.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in out.columns if c not in keys])
 
 
 def value_metrics(counts: DataFrame) -> DataFrame:
-    """Per column, from its value counts: uniques, text flags, pattern hits, boolean words, smallest-hash samples."""
+    """Per column, from its value counts: rows, uniques, text flags, pattern hits, boolean words, uniques without case."""
     v, n = F.col("value"), F.col("count")
     clean = textfn.strip(v)
     weigh = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
     hits = [weigh(clean.rlike(p)).alias(f"hit_{name}") for name, p, _, _ in PATTERNS]
-    return _whole(counts).groupBy("column").agg(
-        F.sum(n).alias("filled"), F.count(F.lit(1)).alias("unique_count"),
+    return counts.groupBy(*_keys(counts)).agg(
+        F.sum(n).alias("row_count"), weigh(v.isNotNull()).alias("filled"), F.count(v).alias("unique_count"),
         weigh(v == "").alias("empty_string_count"), weigh((clean == "") & (v != "")).alias("whitespace_only_count"),
         weigh((clean != v) & (v != "")).alias("edge_whitespace_count"),
         F.bool_and(F.lower(clean).isin(*BOOLEAN_WORDS)).alias("boolean_words"), *hits)
@@ -78,33 +97,46 @@ def value_metrics(counts: DataFrame) -> DataFrame:
 
 def lower_uniques(counts: DataFrame) -> DataFrame:
     """Per column: distinct values ignoring case."""
-    low = _whole(counts).groupBy("column", F.lower("value").alias("low")).agg(F.lit(1).alias("one"))
-    return low.groupBy("column").agg(F.count(F.lit(1)).alias("unique_lower_count"))
+    keys = _keys(counts)
+    low = counts.where("value IS NOT NULL").groupBy(*keys, F.lower("value").alias("low")).agg(F.lit(1).alias("one"))
+    return low.groupBy(*keys).agg(F.count(F.lit(1)).alias("unique_lower_count"))
 
 
-def top_values(counts: DataFrame, total: Column, n: int = 10) -> DataFrame:
-    """Per column: the n most frequent values as an array of (value, count, percent).
+def top_values(counts: DataFrame, total: Column | None = None, n: int = 10) -> DataFrame:
+    """Per column: the n most frequent values as an array of (rank, value, count, percent); without ``total`` there is no percent.
 
     ``row_number <= n`` is pushed below the shuffle, so a column with very many
     values sends n rows per task.
     """
-    w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value"))
-    best = _whole(counts).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
-    best = best.withColumn("percent", F.bround(F.col("count") / total * 100, 1))
-    cell = F.struct(F.col("__rn").alias("rank"), "value", "count", "percent")
-    return best.groupBy("column").agg(F.sort_array(F.collect_list(cell)).alias("top_values"))
+    keys = _keys(counts)
+    w = Window.partitionBy(*keys).orderBy(F.col("count").desc(), F.col("value"))
+    best = counts.where("value IS NOT NULL").withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
+    percent = [] if total is None else [F.bround(F.col("count") / total * 100, 1).alias("percent")]
+    cell = F.struct(F.col("__rn").alias("rank"), "value", "count", *percent)
+    return best.groupBy(*keys).agg(F.sort_array(F.collect_list(cell)).alias("top_values"))
 
 
 def samples(counts: DataFrame, n: int = 5) -> DataFrame:
-    """Per column: n values with the smallest hash, the same ones wherever the value occurs.
+    """Per column: n values with the smallest hash, the same ones wherever the value occurs."""
+    keys = _keys(counts)
+    w = Window.partitionBy(*keys).orderBy(F.xxhash64("value"), F.col("value"))
+    few = counts.where("value IS NOT NULL").withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
+    return few.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__rn", "value"))).alias("s")).select(
+        *keys, F.transform("s", lambda x: x["value"]).alias("sample_values"))
 
-    Two columns with the same values share their samples, which makes the overlap
-    of two sample lists a fair estimate of the overlap of the columns.
-    """
-    w = Window.partitionBy("column").orderBy(F.xxhash64("value"), F.col("value"))
-    few = _whole(counts).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
-    return few.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("__rn", "value"))).alias("s")).select(
-        "column", F.transform("s", lambda x: x["value"]).alias("sample_values"))
+
+def value_sketches(counts: DataFrame) -> DataFrame:
+    """Per column: the sketch of its distinct values, trimmed and lower-cased."""
+    return counts.where("value IS NOT NULL").groupBy(*_keys(counts)).agg(sketch_values(F.col("value")).alias("values_sketch"))
+
+
+STATISTICS = ("min_value", "max_value", "mean", "median", "std", "q1", "q3", "skewness", "outlier_count", "lower_bound", "upper_bound")
+
+
+def ranges(counts: DataFrame) -> DataFrame:
+    """Per numeric column with two values at least: its least and largest one."""
+    return counts.where("number IS NOT NULL").groupBy(*_keys(counts)).agg(
+        F.min("number").alias("min_value"), F.max("number").alias("max_value"), F.sum("count").alias("n")).where("n >= 2").drop("n")
 
 
 def statistics(df: DataFrame, columns=None) -> DataFrame:
@@ -112,36 +144,31 @@ def statistics(df: DataFrame, columns=None) -> DataFrame:
     fences and count. Columns with fewer than two values have none."""
     names = as_list(columns) or numeric_columns(df)
     need(df, names)
-    stats = {}
-    for c in names:
-        x = col(c).cast("double")
-        n = F.count(x).cast("double")
-        fix = F.when(n > 2, F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
-        stats[c] = {"n": F.count(x), "min_value": F.min(x), "max_value": F.max(x), "mean": F.avg(x), "std": F.stddev(x),
-                    "skewness": F.skewness(x) * fix}
-    rows = df.count()
-    if rows <= quantiles.small_limit(df):
-        for c in names:
-            stats[c]["q"] = F.percentile(col(c).cast("double"), F.array(F.lit(.25), F.lit(.5), F.lit(.75)))
-        both = per_column(df, stats)
-        both = both.select("*", *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(3)]).drop("q")
-    else:
-        pairs = [F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("value")) for c in names]
-        long = df.select(F.inline(F.array(*pairs)))
-        both = _merge([per_column(df, stats), quantiles.quantiles(long, ["column"], "value", [0.25, 0.5, 0.75], rows * len(names))])
+    return _statistics(counted({"": df.select(*[col(c).cast("double").alias(c) for c in names])})).drop("file")
+
+
+def _statistics(counts: DataFrame) -> DataFrame:
+    """The statistics of all numeric columns, from the counted values: three small aggregates and exact quartiles."""
+    keys = _keys(counts)
+    numbers = counts.where("number IS NOT NULL").select(*keys, F.col("number").alias("x"), F.col("count").alias("c"))
+    x, c = F.col("x"), F.col("c")
+    first = numbers.groupBy(*keys).agg(F.sum(c).alias("n"), F.min(x).alias("min_value"), F.max(x).alias("max_value"), (F.sum(x * c) / F.sum(c)).alias("mean"))
+    quart = quantiles.quantiles(numbers, keys, "x", [0.25, 0.5, 0.75], numbers.count(), weight="c")
+    both = _merge([first, quart])
     spread = F.col("q2") - F.col("q0")
     both = both.withColumn("lower_bound", F.col("q0") - 1.5 * spread).withColumn("upper_bound", F.col("q2") + 1.5 * spread)
-    # second pass: count values outside the fences
-    fences = both.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("lower_bound", "upper_bound").alias("b")))).alias("m")).scalar()
-    outside = per_column(df.withColumn("__m", fences), {
-        c: {"outlier_count": F.count_if((col(c) < F.try_element_at("__m", F.lit(c))["lower_bound"])
-                                        | (col(c) > F.try_element_at("__m", F.lit(c))["upper_bound"]))} for c in names})
-    out = _merge([both, outside]).where("n >= 2")
-    spread = F.col("q2") - F.col("q0")
-    r4 = lambda c: F.bround(c, 4)
-    return out.select("column", "min_value", "max_value", r4("mean").alias("mean"), r4("q1").alias("median"), r4("std").alias("std"),
-                      r4("q0").alias("q1"), r4("q2").alias("q3"), r4("skewness").alias("skewness"), "outlier_count",
-                      F.when(spread > 0, r4("lower_bound")).alias("lower_bound"), F.when(spread > 0, r4("upper_bound")).alias("upper_bound"))
+    d = x - F.col("mean")
+    # moments about the mean, and values outside the fences
+    about = numbers.join(both.select(*keys, "mean", "lower_bound", "upper_bound"), keys).groupBy(*keys).agg(
+        F.sum(d * d * c).alias("m2"), F.sum(d * d * d * c).alias("m3"),
+        F.coalesce(F.sum(F.when((x < F.col("lower_bound")) | (x > F.col("upper_bound")), c)), F.lit(0)).alias("outlier_count"))
+    n = F.col("n").cast("double")
+    out = _merge([both, about]).where("n >= 2")
+    skew = F.when((n > 2) & (F.col("m2") > 0), F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)) * F.sqrt(n) * F.col("m3") / F.pow("m2", F.lit(1.5)))
+    r4 = lambda e: F.bround(e, 4)
+    return out.select(*keys, "min_value", "max_value", r4(F.col("mean")).alias("mean"), r4(F.col("q1")).alias("median"), r4(F.sqrt(F.col("m2") / (n - 1))).alias("std"),
+                      r4(F.col("q0")).alias("q1"), r4(F.col("q2")).alias("q3"), r4(skew).alias("skewness"), "outlier_count",
+                      F.when(spread > 0, r4(F.col("lower_bound"))).alias("lower_bound"), F.when(spread > 0, r4(F.col("upper_bound"))).alias("upper_bound"))
 
 
 def semantic_type(name: Column, numeric: Column) -> Column:
@@ -171,33 +198,41 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select(*[col(f.name) for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct", "binary", "variant")])
 
 
-def _schema_rows(df: DataFrame) -> DataFrame:
-    return rows_frame(df.sparkSession, [(i, c, DTYPES[type_class(df.schema[c].dataType)]) for i, c in enumerate(df.columns)],
-                      "position int, column string, dtype string")
+def _schema_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
+    spark = next(iter(tables.values())).sparkSession
+    return rows_frame(spark, [(f, i, c, DTYPES[type_class(df.schema[c].dataType)]) for f, df in tables.items() for i, c in enumerate(df.columns)],
+                      "file string, position int, column string, dtype string")
 
 
-def column_meanings(df: DataFrame) -> DataFrame:
-    """(position, column, dtype, semantic_type, sample_values): the part of a profile that matching
-    reads, without statistics and top values. One shuffle of value counts."""
-    df = _plain(df)
-    counts = value_counts(df)
-    out = _merge([_schema_rows(df), value_metrics(counts), samples(counts)])
+def meanings_of(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(file, position, column, dtype, semantic_type, sample_values, values_sketch): the part of a profile that matching
+    reads, of all tables in one job."""
+    tables = {f: _plain(df) for f, df in tables.items()}
+    counts = counted(tables)
+    out = _merge([_schema_rows(tables), value_metrics(counts), samples(counts), value_sketches(counts)])
     kind = semantic_type(F.col("column"), F.col("dtype").isin("int64", "float64"))
-    return out.withColumn("__m", kind).select("position", "column", "dtype", F.col("__m.semantic_type").alias("semantic_type"),
-                                              F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"))
-
-
-def profile_table(df: DataFrame) -> DataFrame:
-    """One row per column with everything the contract, matching and issue rules need."""
-    df = _plain(df)
-    schema = _schema_rows(df)
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    counts = value_counts(df)
-    sides = [schema, value_metrics(counts), lower_uniques(counts), samples(counts), top_values(counts, total)]
-    names = numeric_columns(df)
-    if names:
-        sides.append(statistics(df, names))
-    out = _merge(sides).withColumn("row_count", total)
+    return out.withColumn("__m", kind).select("file", "position", "column", "dtype", F.col("__m.semantic_type").alias("semantic_type"),
+                                              F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"), "values_sketch")
+
+
+def column_meanings(df: DataFrame) -> DataFrame:
+    """``meanings_of`` one table."""
+    return meanings_of({"": df}).drop("file")
+
+
+def profile_table(df: DataFrame, quartiles: bool = True) -> DataFrame:
+    """One row per column with everything the contract, matching and issue rules need; without ``quartiles`` only the range of numbers."""
+    return profile_tables({"": df}, quartiles).drop("file")
+
+
+def profile_tables(tables: Mapping[str, DataFrame], quartiles: bool = True) -> DataFrame:
+    """One row per file and column: the profiles of any number of tables from one shuffle of their values."""
+    tables = {f: _plain(df) for f, df in tables.items()}
+    counts = counted(tables)
+    sides = [_schema_rows(tables), value_metrics(counts), lower_uniques(counts), samples(counts), top_values(counts), value_sketches(counts)]
+    if any(is_numeric(df, c) for df in tables.values() for c in df.columns):
+        sides.append(_statistics(counts) if quartiles else ranges(counts))
+    out = _merge(sides).withColumn("row_count", F.coalesce("row_count", F.lit(0)))
     missing = {"min_value": "double", "max_value": "double", "mean": "double", "median": "double", "std": "double", "q1": "double", "q3": "double",
                "skewness": "double", "outlier_count": "bigint", "lower_bound": "double", "upper_bound": "double"}
     out = out.withColumns({c: F.lit(None).cast(k) for c, k in missing.items() if c not in out.columns})
@@ -210,8 +245,10 @@ def profile_table(df: DataFrame) -> DataFrame:
     cardinality = F.when(unique <= 10, "low").when(unique <= 100, "medium").otherwise("high")
     categorical = (unique <= 10) | ((unique <= 100) & F.coalesce(F.try_divide(unique, filled) < 0.5, F.lit(False)))
     shown = (F.col("__m.semantic_type") == "category") | (texty & (unique < 50))
+    percent = lambda t: F.struct(t["rank"].alias("rank"), t["value"].alias("value"), t["count"].alias("count"), F.bround(t["count"] / F.col("row_count") * 100, 1).alias("percent"))
+    out = out.withColumn("top_values", F.transform("top_values", percent))
     return out.select(
-        "position", "column", "dtype", F.col("__m.semantic_type").alias("semantic_type"), F.col("__m.detected_pattern").alias("detected_pattern"),
+        "file", "position", "column", "dtype", F.col("__m.semantic_type").alias("semantic_type"), F.col("__m.detected_pattern").alias("detected_pattern"),
         "row_count", (rows - filled).alias("null_count"),
         F.bround(F.coalesce(F.try_divide((rows - filled) * 100, rows), F.lit(0.0)), 2).alias("null_percent"),
         F.when(texty, zero("empty_string_count")).otherwise(0).alias("empty_string_count"),
@@ -222,7 +259,7 @@ def profile_table(df: DataFrame) -> DataFrame:
         F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"), "min_value", "max_value", "mean", "median",
         "std", "q1", "q3", "skewness", "outlier_count", "lower_bound", "upper_bound",
         F.when(shown, F.col("top_values")).alias("top_values"), F.when(shown, cardinality).alias("cardinality"),
-        F.when(shown, categorical).alias("is_categorical"))
+        F.when(shown, categorical).alias("is_categorical"), "values_sketch")
 
 
 def table_summary(df: DataFrame) -> DataFrame:

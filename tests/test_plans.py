@@ -90,7 +90,7 @@ def leads(spark):
 def match(df, contract, name="f"):
     from pyspark.sql import functions as F
 
-    p = P.column_meanings(df).select(F.lit(name).alias("file"), F.lit("c").alias("contract_id"), "position", "column", "semantic_type", "dtype", "sample_values")
+    p = P.column_meanings(df).select(F.lit(name).alias("file"), F.lit("c").alias("contract_id"), "position", "column", "semantic_type", "dtype", "values_sketch")
     return N.match_schema(p, contract)
 
 
@@ -217,3 +217,48 @@ def test_gate_and_arrivals(spark, leads, tmp_path):
     records = rows(A.run_records(spark, str(out)), "level", "status")
     assert records == [("HIGH", "success"), ("HIGH", "success"), ("NO_MATCH", "failed")]
     assert spark.read.parquet(str(out / "rejected")).count() == 2
+
+
+ORDERED = [{"op": "running_total", "params": {"column": "v", "new_column": "total"}}, {"op": "cumulative", "params": {"target_columns": ["v", "w"], "operation": "mean"}},
+           {"op": "row_number", "params": {}}, {"op": "running_total", "params": {"column": "total", "new_column": "twice"}},
+           {"op": "fill_forward", "params": {"columns": ["w"]}}, {"op": "lag", "params": {"column": "v"}}]
+
+
+def ordered_input(spark):
+    return spark.range(300).selectExpr("id", "CASE WHEN id % 7 <> 0 THEN CAST(id % 11 AS double) END AS v", "CASE WHEN id % 3 = 0 THEN CAST(id AS double) END AS w").repartition(4)
+
+
+def test_running_columns_of_one_order_are_one_scan(spark, chunks, monkeypatch):
+    from cleanloom.functions import scan
+
+    df = ordered_input(spark)
+    one_by_one = df
+    for step in ORDERED:
+        one_by_one = L.get_op(step["op"])(one_by_one, **step["params"], order_by=["id"])
+    cuts, scans = [], []
+    bounds, running = scan._bounds, scan.running
+    monkeypatch.setattr(scan, "_bounds", lambda *a: cuts.append(1) or bounds(*a))
+    monkeypatch.setattr(scan, "running", lambda *a: scans.append(1) or running(*a))
+    out = run_plan(df, ORDERED, order_by=["id"])
+    assert out.success and out.df.columns == one_by_one.columns and len(cuts) == 1 and len(scans) == 2
+    assert [r.columns for r in out.steps][1] == ["id", "v", "w", "total", "v_cummean", "w_cummean"] and out.steps[-1].columns == out.df.columns
+    assert rows(out.df) == rows(one_by_one)
+
+
+def test_cuts_are_forgotten_when_rows_change(spark, chunks, monkeypatch):
+    from cleanloom.functions import scan
+
+    cuts, bounds = [], scan._bounds
+    monkeypatch.setattr(scan, "_bounds", lambda *a: cuts.append(1) or bounds(*a))
+    steps = [ORDERED[0], {"op": "filter_rows", "params": {"conditions": [{"column": "v", "operator": "gt", "value": 3}]}}, {"op": "lag", "params": {"column": "v"}},
+             {"op": "math_operation", "params": {"column_a": "id", "operation": "multiply", "column_b": -1, "new_column": "id"}}]
+    out = run_plan(ordered_input(spark), steps[:3] + [{"op": "lead", "params": {"column": "v"}}], order_by=["id"])
+    assert out.success and len(cuts) == 2
+
+
+def test_record_of_a_run(spark):
+    steps = [{"op": "filter_rows", "params": {"conditions": [{"column": "v", "operator": "gt", "value": 3}]}}, ORDERED[0], ORDERED[2]]
+    out = run_plan(ordered_input(spark), steps, order_by=["id"], observe=True)
+    n = out.df.count()
+    assert [(r["step"], r["op"], r["rows"], r["columns"]) for r in out.record()] == [(1, "filter_rows", n, 3), (2, "running_total", n, 4), (3, "row_number", n, 5)]
+    assert all(r["ms"] > 0 for r in out.record())

@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from cleanloom.operators import calculate as K, columns as C, format as M, groups as G, quality as V, rows as R, tables as J, text as X
-from cleanloom.plans import checks as H
+from cleanloom.plans import checks as H, schemas as Z
 
-from .base import CUSTOMER_ORDERS, GAPPY, GAPPY_ORDERS, customer_orders, gappy_events, gappy_orders, t
+from .base import CUSTOMER_ORDERS, GAPPY, GAPPY_ORDERS, customer_orders, gappy_events, gappy_orders, shared_folder, t
 from .texts import phones
 
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
@@ -43,6 +43,44 @@ orders = lambda s, d: t(s, d, "orders")
 events = lambda s, d: t(s, d, "events")
 N = "(SELECT count(*) FROM orders)"
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def table_schemas(s, d):
+    """the schemas of all fourteen tables, from the footers of their files"""
+    return Z.parquet_schemas(s, [f"{d}/{n}.parquet" for n in TABLES])
+
+
+def expectations(s, d):
+    """what is expected of the tables: some columns by another name, some of another type, some new ones"""
+    have, p = table_schemas(s, d), F.col("position")
+    name = F.when(p % 4 == 1, F.concat("column", F.lit("_new"))).when(p % 4 == 2, F.concat(F.substring("column", 1, 3), F.lit("x"), F.substring("column", 4, 99))).otherwise(F.col("column"))
+    kind = F.when(p % 5 == 3, "string").otherwise(F.col("type_class"))
+    return have.select("table", "position", name.alias("column"), kind.alias("type_class"), F.lit(False).alias("nullable"), F.lit(False).alias("extra_ok"))
+
+
+SCHEMAS_SQL = """WITH h AS (SELECT table_name AS "table", ordinal_position - 1 AS pos, column_name AS col, CASE WHEN data_type IN ('BIGINT', 'INTEGER') THEN 'integer' WHEN data_type IN ('DOUBLE', 'FLOAT') THEN 'float'
+             WHEN data_type LIKE 'TIMESTAMP%' THEN 'datetime' WHEN data_type = 'BOOLEAN' THEN 'boolean' ELSE 'string' END AS class FROM information_schema.columns WHERE table_name IN (""" + ", ".join(f"'{n}'" for n in TABLES) + """)),
+           w AS (SELECT "table", pos, CASE pos % 4 WHEN 1 THEN col || '_new' WHEN 2 THEN left(col, 3) || 'x' || col[4:] ELSE col END AS col, CASE WHEN pos % 5 = 3 THEN 'string' ELSE class END AS class FROM h)"""
+
+
+def copies(s, d):
+    """orders and events written with drift: nulls, a renamed column, a number as text"""
+    folder = shared_folder(s)
+    gappy_orders(s, d).withColumnRenamed("o_custkey", "o_cust_key").write.parquet(f"{folder}/orders.parquet")
+    gappy_events(s, d).withColumn("user_id", F.col("user_id").cast("string")).write.parquet(f"{folder}/events.parquet")
+    return Z.parquet_schemas(s, [f"{folder}/orders.parquet", f"{folder}/events.parquet"])
+
+
+def drifted_copies(s, d):
+    wanted = table_schemas(s, d).where("`table` IN ('orders', 'events')").select("table", "position", "column", "type_class", F.lit(False).alias("nullable"), F.lit(False).alias("extra_ok"))
+    return Z.drift(copies(s, d), wanted)
+
+
+def copies_changed(s, d):
+    return Z.changes(table_schemas(s, d).where("`table` IN ('orders', 'events')"), copies(s, d))
+
+
 Q = {
     "detect_nulls_flags": (
         lambda s, d: V.detect_nulls(customer_orders(s, d).select("c_custkey", "o_orderkey", "o_orderstatus"), add_null_flag=True, add_null_count=True),
@@ -114,6 +152,33 @@ Q = {
     "detect_renamed_columns": (
         lambda s, d: V.detect_renamed_columns(drifted_orders(s, d), EXPECTED).join(V.null_metrics(drifted_orders(s, d)).selectExpr("`column` AS observed", "null_count"), "observed"),
         "SELECT 'o_custkey' AS expected, 'o_cust_key' AS observed, 0.88::DOUBLE AS name_similarity, 'high' AS confidence, 'integer' AS observed_type, count(*) FILTER (o_custkey IS NULL) AS null_count FROM orders"),
+    "schema_drift_tables": (
+        lambda s, d: Z.drift(table_schemas(s, d), expectations(s, d)),
+        SCHEMAS_SQL + """ SELECT w."table", 'missing' AS kind, w.col AS "column", w.col AS expected, NULL AS observed FROM w LEFT JOIN h ON h."table" = w."table" AND h.col = w.col WHERE h.col IS NULL
+           UNION ALL SELECT h."table", 'extra', h.col, NULL, h.col FROM h LEFT JOIN w ON h."table" = w."table" AND h.col = w.col WHERE w.col IS NULL
+           UNION ALL SELECT h."table", 'type', h.col, w.class, h.class FROM h JOIN w ON h."table" = w."table" AND h.col = w.col WHERE h.class <> w.class"""),
+    "schema_renames_tables": (
+        lambda s, d: Z.renames(table_schemas(s, d), expectations(s, d)),
+        SCHEMAS_SQL + """, g AS (SELECT w."table", w.col AS a, h.col AS b, h.pos, h.class FROM w JOIN h USING ("table") WHERE NOT EXISTS (SELECT 1 FROM h q WHERE q."table" = w."table" AND q.col = w.col)
+             AND NOT EXISTS (SELECT 1 FROM w q WHERE q."table" = h."table" AND q.col = h.col)),
+           e AS (SELECT *, greatest(length(a), length(b))::DOUBLE AS most, least(length(a), length(b))::DOUBLE AS least_, list_transform(range(1, least(length(a), length(b)) + 1), lambda i: (a[i] = b[i])::INT) AS same,
+             list_distinct(string_split_regex(a, '[_\\s]')) AS x, list_distinct(string_split_regex(b, '[_\\s]')) AS y FROM g),
+           f AS (SELECT *, CASE WHEN contains(a, b) OR contains(b, a) THEN least_ / most + 0.2 ELSE least(1.0, list_sum(same) / most + coalesce(nullif(list_position(same, 0), 0) - 1, least_) / most * 0.3
+             + len(list_intersect(x, y)) / greatest(len(x), len(y))::DOUBLE * 0.3) END AS score FROM e)
+           SELECT "table", a AS expected, b AS observed, round_even(score, 3) AS name_similarity, CASE WHEN score > 0.8 THEN 'high' WHEN score > 0.6 THEN 'medium' ELSE 'low' END AS confidence, class AS observed_type
+           FROM f WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY "table", a ORDER BY score DESC, pos) = 1"""),
+    "schema_nulls_of_drifted_copies": (
+        drifted_copies,
+        f"""SELECT 'events' AS "table", 'nullable' AS kind, 'value' AS "column", 'no nulls' AS expected, count(*) || ' nulls' AS observed FROM {GAPPY} WHERE value IS NULL
+           UNION ALL SELECT 'orders', 'nullable', 'o_orderstatus', 'no nulls', count(*) || ' nulls' FROM {GAPPY_ORDERS} WHERE o_orderstatus IS NULL
+           UNION ALL SELECT 'orders', 'missing', 'o_custkey', 'o_custkey', NULL FROM orders HAVING count(*) > 0
+           UNION ALL SELECT 'orders', 'extra', 'o_cust_key', NULL, 'o_cust_key' FROM orders HAVING count(*) > 0
+           UNION ALL SELECT 'events', 'type', 'user_id', 'integer', 'string' FROM events HAVING count(*) > 0"""),
+    "schema_changes_tables": (
+        copies_changed,
+        f"""SELECT 'orders' AS "table", 'missing' AS kind, 'o_custkey' AS "column", 'o_custkey' AS expected, NULL AS observed FROM orders HAVING count(*) > 0
+           UNION ALL SELECT 'orders', 'extra', 'o_cust_key', NULL, 'o_cust_key' FROM orders HAVING count(*) > 0
+           UNION ALL SELECT 'events', 'type', 'user_id', 'integer', 'string' FROM events HAVING count(*) > 0"""),
     "infer_types": (
         lambda s, d: V.infer_types(t(s, d, "orders").selectExpr(
             "CAST(o_orderkey AS string) AS key", "CAST(o_totalprice AS string) AS price", "date_format(o_orderdate, 'M/d/yyyy') AS day", "o_orderstatus AS status",

@@ -1,14 +1,12 @@
 """Plans, modules, versions, files and arriving files."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from cleanloom.plans import modules as M, pipeline as L
 from cleanloom.sources import files as I, versions as S
 from cleanloom.streaming import arrivals as A
 
-from .base import LINE_ORDER, t
+from .base import LINE_ORDER, shared_folder, t
 
 FLAGSHIP = [
     {"op": "filter_rows", "params": {"conditions": [{"column": "l_returnflag", "operator": "ne", "value": "R"}]}},
@@ -30,12 +28,6 @@ CLEANING = [
 ]
 
 
-def shared_folder(spark):
-    """A new folder where all executors see it: under the checkpoint folder, or under the warehouse where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def named_customers(s, d):
     return t(s, d, "customer").selectExpr("c_custkey AS customer_id", "concat(' ', c_name) AS name", "c_nationkey AS nation_key", "c_acctbal AS balance", "c_mktsegment AS segment")
 
