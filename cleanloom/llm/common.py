@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -31,6 +33,15 @@ def cut(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def kept_in_worker(name: str) -> dict:
+    """A table that lives as long as the Python worker, for what is costly to prepare; its user bounds its size.
+
+    Functions travel by value, so their modules' own variables begin anew with each task.
+    """
+    store = sys.modules.setdefault("_cleanloom_kept", types.ModuleType("_cleanloom_kept"))
+    return store.__dict__.setdefault(name, {})
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once for each row, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -18,15 +18,16 @@ from math import exp, expm1, inf, log
 
 import numpy as np
 import pyarrow as pa
-import pyspark
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import beside
+from .common import beside, kept_in_worker
 from .hashing import GOLD, mix, uniform
 
 SPACE = "▁"
-#: Edges of prepared lattices a worker remembers before it starts anew, and characters it works on at once (or one longer text).
-REMEMBERED, AT_ONCE = 6_000_000, 400_000
+#: Bytes of prepared lattices a worker remembers before it starts anew, and characters it works on at once (or one longer text).
+REMEMBERED, AT_ONCE = 64_000_000, 400_000
+#: Bytes of an edge, of a node, and of a word with its place in the table of words, about.
+EDGE, NODE, WORD = 16, 4, 160
 
 
 class Vocabulary:
@@ -119,13 +120,13 @@ class Lattices:
         for name in names:
             a = getattr(self, name)
             if len(a) < n:
-                setattr(self, name, np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)]))
+                setattr(self, name, np.concatenate([a, np.zeros(max(n, len(a) * 5 // 4) - len(a), a.dtype)]))
 
     def starts(self, words: list[str]) -> np.ndarray:
         """First node of each word. Words that are new are prepared; when too many are remembered, all but these are forgotten."""
         distinct = set(words)
         new = distinct.difference(self.known)
-        if new and self.edges > REMEMBERED:
+        if new and EDGE * self.edges + NODE * self.nodes + WORD * len(self.known) > REMEMBERED:
             self.reset()
             new = distinct
         if new:
@@ -407,10 +408,10 @@ def sampled(docs: DataFrame, model: str, k: int = 2, row_id: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Spark reuses its Python workers, so prepared words outlive the task
-        held = pyspark.__dict__.setdefault("_cleanloom_lattices", {})
-        if (model, temperature) not in held:
-            held[model, temperature] = Lattices(Vocabulary(model, temperature))
-        lattices = held[model, temperature]
+        kept = kept_in_worker("lattices")
+        if (model, temperature) not in kept:
+            kept[model, temperature] = Lattices(Vocabulary(model, temperature))
+        lattices = kept[model, temperature]
         for batch in batches:
             keys, held, first, n = batch.column("key").to_pylist(), [], 0, 0
             for i, t in enumerate(batch.column("_text")):
