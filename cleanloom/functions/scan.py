@@ -441,6 +441,76 @@ def _edge_values(c: Chunked, columns: Sequence[str], forward: bool) -> DataFrame
     return s.where("__nth > 1").drop("__nth")
 
 
+#: Rows of a window, a shift or a limit up to which a chunk takes what it needs of its neighbours as lists.
+NEAR = 256
+
+
+def _far(df: DataFrame, part, order_by) -> tuple[DataFrame, list[str], str]:
+    """The rows with their place in their group, written, for steps that look far away; groups, and the name of the place."""
+    at = tmp_name(df, "at")
+    return settle(number(df, part, order_by, at)), as_list(part), at
+
+
+def far_shifted(df: DataFrame, part, order_by, columns: Mapping[str, str], offset: int, edge_default=None) -> DataFrame:
+    """``shifted`` for any distance: each row is joined with the row at the place it looks at."""
+    rows, part, at = _far(df, part, order_by)
+    cell = F.struct(*[col(s).alias(f"v{i}") for i, s in enumerate(columns)]).alias("__x")
+    other = rows.select(*[col(p).alias(f"__p{i}") for i, p in enumerate(part)], (col(at) + offset).alias("__to"), cell)
+    same = col(at) == F.col("__to")
+    for i, p in enumerate(part):
+        same = same & col(p).eqNullSafe(F.col(f"__p{i}"))
+    out = rows.join(other, same, "left")
+    new = {}
+    for i, (source, target) in enumerate(columns.items()):
+        value = F.col(f"__x.v{i}")
+        new[target] = value if edge_default is None else F.when(F.col("__x").isNull(), F.lit(edge_default).cast(df.schema[source].dataType)).otherwise(value)
+    return out.withColumns(new).drop("__x", "__to", at, *[f"__p{i}" for i in range(len(part))])
+
+
+def far_sums(df: DataFrame, part, order_by, value: Column, before: int, after: int, total: str, count: str) -> DataFrame:
+    """``moving_sums`` for windows of any length, in time and memory that grow with the rows alone.
+
+    Stretches at least as long as the window take a copy of the rows next to them; within each, sums over windows are differences of
+    running sums. Values that are not finite are counted apart, as they would spoil all later differences.
+    """
+    rows, part, at = _far(df.withColumn("__v", value.cast("double")), part, order_by)
+    length = max(ROWS_PER_CHUNK, before, after, 1)
+    place, home = col(at) - 1, F.floor((col(at) - 1) / length)
+    near = [home]
+    if before:
+        near.append(F.when(place % length >= length - before, home + 1))
+    if after:
+        near.append(F.when((place % length < after) & (home > 0), home - 1))
+    copies = rows.withColumn("__home", home).withColumn("__to", F.explode(F.array_compact(F.array(*near))))
+    w = Window.partitionBy(*[col(p) for p in part], "__to").orderBy(col(at))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    v = F.col("__v")
+    wild = F.isnan(v) | (F.abs(v) == float("inf"))
+    parts = {"s": F.when(v.isNotNull() & ~wild, v), "c": F.when(v.isNotNull(), 1), "n": F.when(F.isnan(v), 1), "p": F.when(v == float("inf"), 1), "m": F.when(v == float("-inf"), 1)}
+    kinds = {k: "double" if k == "s" else "bigint" for k in parts}
+    out = copies.select("*", *[F.coalesce(F.sum(x).over(upto), F.lit(0)).cast(kinds[k]).alias(f"__{k}") for k, x in parts.items()])
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def within(k: str) -> Column:
+        last = F.coalesce(F.lead(f"__{k}", after).over(w), F.last(f"__{k}").over(whole)) if after else F.col(f"__{k}")
+        return last - F.coalesce(F.lag(f"__{k}", before + 1).over(w), F.lit(0).cast(kinds[k]))
+
+    out = out.select("*", *[within(k).alias(f"__w{k}") for k in parts]).where("__to = __home")
+    spoiled = F.when((F.col("__wn") > 0) | ((F.col("__wp") > 0) & (F.col("__wm") > 0)), float("nan")).when(F.col("__wp") > 0, float("inf")).when(F.col("__wm") > 0, float("-inf"))
+    out = out.withColumns({count: F.col("__wc"), total: F.when(F.col("__wc") > 0, F.coalesce(spoiled, F.col("__ws")))})
+    return out.drop("__v", "__home", "__to", at, *[f"__{k}" for k in parts], *[f"__w{k}" for k in parts])
+
+
+def far_known(df: DataFrame, part, order_by, columns: Mapping[str, str], limit: int, forward: bool = True) -> DataFrame:
+    """``last_within`` for any limit: the last known value comes with its place, which must not be too far."""
+    rows, part, at = _far(df, part, order_by)
+    seen = {f"__f{i}": F.when(col(s).isNotNull(), F.struct(col(at).alias("at"), col(s).alias("v"))) for i, s in enumerate(columns)}
+    keys = [Key(at)]
+    out = last_known(rows.withColumns(seen), part, keys, {f: f for f in seen}, forward)
+    near = lambda f: F.abs(col(at) - F.col(f)["at"]) <= limit
+    return out.withColumns({t: F.when(near(f), F.col(f)["v"]) for f, t in zip(seen, columns.values())}).drop(at, *seen)
+
+
 def with_edges(c: Chunked, out: DataFrame, cells: Column, before: int, after: int) -> DataFrame:
     """Add what a row near a chunk edge needs of the neighbouring chunks.
 
@@ -481,6 +551,8 @@ def _edges(c: Chunked, cells: Column, size: int, forward: bool) -> DataFrame:
 
 def shifted(df: DataFrame, part, order_by, columns: Mapping[str, str], offset: int, edge_default=None) -> DataFrame:
     """Values ``offset`` rows back (negative: ahead); ``edge_default`` only past the group's edge."""
+    if abs(offset) > NEAR:
+        return far_shifted(df, part, order_by, columns, offset, edge_default)
     c = chunked(df, part, order_by)
     n = abs(offset)
     back = offset >= 0
@@ -505,6 +577,8 @@ def shifted(df: DataFrame, part, order_by, columns: Mapping[str, str], offset: i
 
 def moving_sums(df: DataFrame, part, order_by, value: Column, before: int, after: int, total: str, count: str) -> DataFrame:
     """Sum and non-null count over the rows from ``before`` back to ``after`` ahead."""
+    if max(before, after) > NEAR:
+        return far_sums(df, part, order_by, value, before, after, total, count)
     c = chunked(df, part, order_by)
     w = c.window()
     frame = w.rowsBetween(-before, after)
@@ -532,6 +606,8 @@ def _field_known(name: str):
 
 def last_within(df: DataFrame, part, order_by, columns: Mapping[str, str], limit: int, forward: bool = True) -> DataFrame:
     """Last non-null value among the row and the ``limit`` rows before it (after it when not ``forward``)."""
+    if limit > NEAR:
+        return far_known(df, part, order_by, columns, limit, forward)
     c = chunked(df, part, order_by)
     w = c.window(reverse=not forward)
     cell = F.struct(*[col(s).alias(f"v{i}") for i, s in enumerate(columns)])

@@ -38,7 +38,11 @@ def pivot(df: DataFrame, index, columns: str, values, aggfunc: str = "sum", fill
     if pivot_values is None:
         pivot_values = [r[0] for r in keyed.select(col(columns)).distinct().orderBy(col(columns)).collect()]  # they become column names
     keys = scan.keys_of(order_by)
-    aggs = [(F.percentile(col(v), 0.5) if aggfunc == "median" else _simple_agg(keyed, v, aggfunc, keys)).alias(v) for v in vals]
+    if aggfunc == "median":
+        # medians of the cells first, from counted values, so that a large cell is split; then each cell holds one row
+        keyed, aggs = aggregate_columns(keyed, [*idx, columns], [(v, "median", v) for v in vals]), [F.first(col(v)).alias(v) for v in vals]
+    else:
+        aggs = [_simple_agg(keyed, v, aggfunc, keys).alias(v) for v in vals]
     out = keyed.groupBy(*[col(c) for c in idx]).pivot(columns, list(pivot_values)).agg(*aggs)
     names = {}
     for p in pivot_values:

@@ -148,12 +148,72 @@ def _ordered_text(df: DataFrame, by: Sequence[str], column: str, keys: Sequence[
     return part.groupBy(*[col(b) for b in by]).agg(joined(pieces).alias(column))
 
 
+def concat_parts(df: DataFrame, group_by, column: str, order_by=None, part_bytes: int = 1 << 20, separator: str = ", ") -> DataFrame:
+    """The ordered text of each group in parts of bounded size: (keys, part from 0, text), to be read part by part.
+
+    Null values are left out and groups with null keys too. A part begins with each ``part_bytes`` of the group's text, so it is at
+    most one value longer; a group of any size makes small cells. ``aggregate`` with ``concat`` joins the parts to one cell.
+    """
+    by = as_list(group_by)
+    need(df, [*by, column])
+    keys = scan.need_order(df, order_by)
+    known = df.where(_all_not_null([*by, column]))
+    size, part = tmp_name(df, "size"), "part"
+    run = scan.running(known, by, keys, {size: ("sum", F.octet_length(text(known, column)).cast("long") + len(separator.encode()))})
+    before = col(size) - F.octet_length(text(known, column)) - len(separator.encode())
+    item = F.struct(col(size).alias("at"), *[scan._sort_value(run, k).alias(f"s{i}") for i, k in enumerate(keys)], text(run, column).alias("v"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["v"]), separator)
+    return run.withColumn(part, F.floor(before / part_bytes)).groupBy(*[col(b) for b in by], col(part)).agg(joined.alias("text"))
+
+
+def value_functions(keyed: DataFrame, by: Sequence[str], wanted: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Medians, quantiles, modes and unique counts of any columns from one counted frame, which is written: the input is read once.
+
+    The frame counts (group, column, value); modes and unique counts are small aggregates of it, and all quantiles of all columns
+    are one selection on it.
+    """
+    columns = list(dict.fromkeys(c for c, _, _ in wanted))
+    keys = [f"__k{i}" for i in range(len(by))]
+    number = lambda c: num(keyed, c) if is_numeric(keyed, c) or is_string(keyed, c) else F.lit(None).cast("double")
+    cells = F.array(*[F.struct(F.lit(i).alias("__c"), text(keyed, c).alias("__v"), number(c).alias("__x")) for i, c in enumerate(columns)])
+    long = keyed.select(*[col(b).alias(k) for b, k in zip(by, keys)], F.inline(cells))
+    counts = scan.written(long.groupBy(*keys, "__c", "__v").agg(F.max("__x").alias("__x"), F.count(F.lit(1)).alias("__n")))
+    found: list[Column] = []
+    sides = [counts.select(*keys).distinct()] if keys else []
+    place = {c: i for i, c in enumerate(columns)}
+    short = [(c, f, n) for c, f, n in wanted if f in ("mode", "nunique")]
+    if short:
+        numeric = [i for i, c in enumerate(columns) if is_numeric(keyed, c)]
+        order = F.struct((-F.col("__n")).alias("n"), F.when(F.col("__c").isin(numeric), F.col("__x")).alias("x"), F.col("__v"))
+        cut = counts.where("__v IS NOT NULL").groupBy(*keys, "__c").agg(F.min_by("__v", order).alias("__mode"), F.count(F.lit(1)).alias("__unique"))
+        sides.append(cut)
+        for c, f, n in short:
+            mine = F.max(F.when(F.col("__c") == place[c], F.col("__mode" if f == "mode" else "__unique")))
+            found.append((mine.cast(keyed.schema[c].dataType) if f == "mode" else F.coalesce(mine, F.lit(0)).cast("bigint")).alias(n))
+    ranks = [(c, 0.5 if f == "median" else float(f.partition(":")[2] or 0.5), n) for c, f, n in wanted if f not in ("mode", "nunique")]
+    if ranks:
+        shares = sorted({p for _, p, _ in ranks})
+        q = quantiles.quantiles(counts.where("__x IS NOT NULL"), [*keys, "__c"], "__x", shares, counts.count(), weight="__n")
+        sides.append(q)
+        found += [F.max(F.when(F.col("__c") == place[c], F.col(f"q{shares.index(p)}"))).alias(n) for c, p, n in ranks]
+    out = sides[0]
+    for side in sides[1:]:
+        out = out.unionByName(side, allowMissingColumns=True)
+    done = out.groupBy(*keys).agg(*found)
+    return done.select(*[col(k).alias(b) for b, k in zip(by, keys)], *[col(n) for _, _, n in wanted])
+
+
+def _of_values(fn: str) -> bool:
+    """Functions that need the values of a group, not a state of fixed size."""
+    return fn in ("median", "mode") or fn.startswith("quantile")
+
+
 def aggregate_columns(df: DataFrame, by: Sequence[str], wanted: Sequence[tuple[str, str, str]], order_by=None) -> DataFrame:
     """Group by non-null keys; ``wanted`` lists (column, function, output name).
 
     All functions with a fixed-size state share one hash aggregate. Functions
-    that need every value of a group (median, quantile, mode, concat) are
-    computed from pre-counted values or chunks and joined on the keys.
+    that need every value of a group are computed from pre-counted values (median,
+    quantile, mode; several of them, and unique counts with them, from one counted frame) or chunks (concat) and joined on the keys.
     """
     by = list(by)
     need(df, by + [c for c, _, _ in wanted])
@@ -161,13 +221,25 @@ def aggregate_columns(df: DataFrame, by: Sequence[str], wanted: Sequence[tuple[s
     keys = scan.keys_of(order_by)
     flat: list[Column] = []
     extra: list[tuple[str, str, str]] = []
+    shared: list[tuple[str, str, str]] = []
+    many = sum(_of_values(f) for _, f, _ in wanted) > 1
     for column, fn, name in wanted:
-        if fn in ("median", "mode", "concat") or fn.startswith("quantile"):
+        if many and (_of_values(fn) or fn == "nunique"):
+            shared.append((column, fn, name))
+        elif _of_values(fn) or fn == "concat":
             extra.append((column, fn, name))
         else:
             flat.append(_simple_agg(df, column, fn, keys).alias(name))
     grouped = keyed.groupBy(*[col(b) for b in by])
-    out = grouped.agg(*flat) if flat else keyed.select(*[col(b) for b in by]).distinct()
+    side = value_functions(keyed, by, shared) if shared else None
+    if flat or side is None:
+        out = grouped.agg(*flat) if flat else keyed.select(*[col(b) for b in by]).distinct()
+        if side is not None and by:
+            out = attach(out, side, by)
+        elif side is not None:
+            out = out.withColumns({n: side.select(col(n)).scalar() for _, _, n in shared})
+    else:
+        out = side
     for column, fn, name in extra:
         if fn == "concat":
             if not keys:

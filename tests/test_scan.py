@@ -190,3 +190,49 @@ def test_chunks_beyond_the_literal_bounds(spark):
         n, s = seen.get(g, (0, 0.0))
         seen[g] = (n + 1, s + x)
         assert got[i] == seen[g]
+
+
+@pytest.mark.parametrize("part", [[], ["g"]])
+def test_far_windows_shifts_and_fills(frame, monkeypatch, part):
+    df, _ = frame
+    df = df.withColumn("v", F.when(F.col("k") == 50, float("nan")).when(F.col("k") == 90, float("inf")).otherwise(F.col("v")))
+    near = {}
+    for far in (False, True):
+        monkeypatch.setattr(scan, "NEAR", 0 if far else 10_000)
+        monkeypatch.setattr(scan, "ROWS_PER_CHUNK", 20)  # many stretches
+        out = df
+        for i, (before, after) in enumerate(((3, 4), (0, 30), (500, 0))):
+            out = scan.settle(scan.moving_sums(out, part, ["k"], F.col("v"), before, after, f"sum{i}", f"cnt{i}"))
+        for i, n in enumerate((5, -9)):
+            out = scan.settle(scan.shifted(out, part, ["k"], {"s": f"shift{i}"}, n, "none" if i else None))
+        for i, (limit, forward) in enumerate(((2, True), (4, False))):
+            out = scan.settle(scan.last_within(out, part, ["k"], {"v": f"known{i}"}, limit, forward))
+        near[far] = out.orderBy("k").toPandas()
+    for c in near[False].columns:
+        assert want(near[False][c]) == want(near[True][c]), c
+
+
+def test_value_functions_of_many_columns(spark):
+    rnd = random.Random(3)
+    data = [(rnd.choice(["a", "b", "hot", "hot", None]), rnd.choice([1, 2, 3, None]), rnd.choice([1.5, 2.5, 9.0, None]), rnd.choice(["10", "9", "x", None]), None) for _ in range(400)]
+    df = spark.createDataFrame(data, "g string, i int, x double, s string, e double")
+    wanted = [("i", "median", "m"), ("i", "mode", "o"), ("x", "quantile:0.9", "q"), ("s", "mode", "so"), ("s", "nunique", "u"), ("e", "median", "em"), ("e", "nunique", "eu"), ("x", "sum", "t")]
+    apart = {}
+    for by in (["g"], []):
+        got = R.aggregate_columns(df, by, wanted)
+        for c, f, n in wanted:
+            one = R.aggregate_columns(df, by, [(c, f, n)])
+            apart[n] = sorted(map(tuple, one.collect()), key=str)
+            assert sorted(map(tuple, got.select(*by, n).collect()), key=str) == apart[n], (by, n)
+            assert one.schema[n].dataType == got.schema[n].dataType, n
+
+
+def test_concat_parts(spark):
+    df = spark.range(3000).selectExpr("IF(id % 3 > 0, 'hot', IF(id % 2 = 0, 'a', NULL)) AS g", "id", "IF(id % 5 = 0, NULL, concat('v', id)) AS v")
+    parts = R.concat_parts(df, ["g"], "v", ["id"], part_bytes=500).collect()
+    assert max(len(r["text"]) for r in parts) < 520 and len(parts) > 20
+    whole = {}
+    for r in sorted(parts, key=lambda r: r["part"]):
+        whole.setdefault(r["g"], []).append(r["text"])
+    assert {g: ", ".join(p) for g, p in whole.items()} == {
+        g: ", ".join(f"v{i}" for i in range(3000) if i % 5 and ("hot" if i % 3 else "a" if i % 2 == 0 else None) == g) for g in ("hot", "a")}

@@ -139,6 +139,13 @@ Q = {
         lambda s, d: r4(K.moving_average(gappy_events(s, d).select("event_id", "value"), "value", 4, "ma", 2, order_by=["event_id"]), "ma"),
         f"""SELECT event_id, value, round_even(CASE WHEN count(value) OVER w >= 2 THEN avg(value) OVER w END, 4) AS ma FROM {GAPPY}
             WINDOW w AS (ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"""),
+    "moving_average_long": (
+        lambda s, d: K.moving_average(gappy_events(s, d).select("event_id", "value"), "value", 5000, "ma", 2, order_by=["event_id"]).selectExpr("event_id", "bround(ma * 0.7234567D, 6) AS ma"),
+        f"""SELECT event_id, round_even(CASE WHEN count(value) OVER w >= 2 THEN avg(value) OVER w END * 0.7234567::DOUBLE, 6) AS ma FROM {GAPPY}
+            WINDOW w AS (ORDER BY event_id ROWS BETWEEN 4999 PRECEDING AND CURRENT ROW)"""),
+    "lag_far": (
+        lambda s, d: K.lag(t(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "earlier", 2000, order_by=["o_orderkey"]),
+        "SELECT o_orderkey, o_totalprice, lag(o_totalprice, 2000) OVER (ORDER BY o_orderkey) AS earlier FROM orders"),
     "moving_average_center": (
         lambda s, d: r4(K.moving_average(gappy_events(s, d).select("event_id", "user_id", "value"), "value", 5, "ma", center=True, partition_by="user_id", order_by=["event_id"]), "ma"),
         f"""SELECT event_id, user_id, value, round_even(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 4) AS ma FROM {GAPPY}"""),

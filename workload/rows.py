@@ -113,6 +113,18 @@ Q = {
               first_value(CASE WHEN value IS NOT NULL THEN p END IGNORE NULLS) OVER f AS p1, first_value(value IGNORE NULLS) OVER f AS v1 FROM n
               WINDOW w AS (ORDER BY event_id), f AS (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
             SELECT event_id, round_even(coalesce(value, v0 + (v1 - v0) * (p - p0) / nullif(p1 - p0, 0), v0), 4) AS value FROM k"""),
+    "fill_nulls_value": (
+        lambda s, d: R.fill_nulls(gappy_events(s, d).withColumn("props", F.expr("nullif(props, '{\"k\": 1}')")), ["value", "props"], "value", 0),
+        f"""SELECT * REPLACE (coalesce(value, 0) AS value, nullif(props, '{{"k": 1}}') AS props) FROM {GAPPY}"""),
+    "fill_nulls_mean_median": (
+        lambda s, d: R.fill_nulls(R.fill_nulls(gappy_events(s, d).withColumn("other", F.col("value")), ["value"], "mean"), ["other"], "median").selectExpr("event_id", "bround(value, 4) AS value", "bround(other, 4) AS other"),
+        f"""SELECT event_id, round_even(coalesce(value, (SELECT avg(value) FROM {GAPPY})), 4) AS value, round_even(coalesce(value, (SELECT quantile_cont(value, 0.5) FROM {GAPPY})), 4) AS other FROM {GAPPY}"""),
+    "fill_nulls_mode": (
+        lambda s, d: R.fill_nulls(gappy_orders(s, d), ["o_orderstatus"], "mode"),
+        f"""SELECT * REPLACE (coalesce(o_orderstatus, (SELECT o_orderstatus FROM {GAPPY_ORDERS} WHERE o_orderstatus IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS o_orderstatus) FROM {GAPPY_ORDERS}"""),
+    "fill_nulls_forward_backward": (
+        lambda s, d: R.fill_nulls(R.fill_nulls(gappy_events(s, d).withColumn("other", F.col("value")), ["value"], "ffill", order_by=["event_id"]), ["other"], "bfill", order_by=["event_id"]),
+        f"""SELECT * REPLACE (last_value(value IGNORE NULLS) OVER (ORDER BY event_id) AS value), first_value(value IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS other FROM {GAPPY}"""),
     "add_rows": (
         lambda s, d: R.add_rows(t(s, d, "nation"), [{"n_nationkey": 98, "n_name": "NEW"}, {"n_nationkey": 99, "n_regionkey": 1, "note": "added"}], "bottom", "place"),
         """SELECT n_nationkey, n_name, n_regionkey, 0::INTEGER AS place, NULL::VARCHAR AS note FROM nation

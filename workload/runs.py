@@ -186,7 +186,60 @@ def ordered_arrivals(s, d):
     return out.withColumn("records", A.run_records(s, f"{folder}/out").agg(F.count(F.lit(1))).scalar())
 
 
+CHAIN = [{"op": "running_total", "params": {"column": "l_quantity", "new_column": "quantity_so_far"}}, {"op": "cumulative", "params": {"target_columns": ["l_extendedprice"], "operation": "max"}},
+         {"op": "cumulative", "params": {"target_columns": ["l_discount"], "operation": "count"}}, {"op": "row_number", "params": {}}, {"op": "lag", "params": {"column": "l_shipdate", "new_column": "shipped_before"}}]
+
+
+def ordered_chain(s, d):
+    """five ordered steps of one order: one cut, one scan of the running columns and one of the shift"""
+    done = L.run_plan(t(s, d, "lineitem").select(*LINE_ORDER), CHAIN, order_by=LINE_ORDER)
+    return done.df.select("row_num", "l_orderkey", "quantity_so_far", "l_extendedprice_cummax", "l_discount_cumcount", "shipped_before")
+
+
+def record_of_run(s, d):
+    """rows, columns and success of each step, counted within the job of the plan"""
+    steps = [{"op": "filter_rows", "params": {"conditions": [{"column": "o_orderstatus", "operator": "ne", "value": "P"}]}}, {"op": "remove_duplicates", "params": {"subset": ["o_custkey"], "keep": "first"}},
+             {"op": "running_total", "params": {"column": "o_totalprice", "new_column": "total"}}]
+    done = L.run_plan(t(s, d, "orders"), steps, order_by=["o_orderkey"], observe=True)
+    n = done.df.agg(F.count(F.lit(1)).alias("n"), F.max("total").alias("m")).first()["n"]
+    return s.createDataFrame([(r["step"], r["op"], r["rows"], r["columns"], r["ms"] > 0, n) for r in done.record()], "step int, op string, rows long, columns int, timed boolean, left long")
+
+
+def own_operator(s, d):
+    """an operator that the user adds, in a saved step list"""
+    L.register_op("discounted", lambda df, least=0.0, name="net": df.where(F.col("l_discount") >= least).withColumn(name, F.bround(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4)))
+    steps = [{"op": "discounted", "params": {"least": 0.05}}, {"op": "aggregate", "params": {"group_by": "l_returnflag", "aggregations": {"net": ["sum", "count"]}}}]
+    return L.run_plan(t(s, d, "lineitem"), steps).df.selectExpr("l_returnflag", "bround(net_sum, 2) AS net_sum", "net_count")
+
+
+def profiled_files(s, d):
+    """customers in several files, each with a total row and a blank row below; profiled without those"""
+    folder = shared_folder(s)
+    c = t(s, d, "customer")
+    lines = c.selectExpr("c_nationkey % 3 AS f", "1 AS part", "c_custkey AS at", "concat_ws(';', c_custkey, c_name, c_nationkey, c_mktsegment) AS line")
+    heads = s.range(3).selectExpr("id AS f", "0 AS part", "0L AS at", "'c_custkey;c_name;c_nationkey;c_mktsegment' AS line")
+    ends = s.range(3).selectExpr("id AS f", "2 AS part", "0L AS at", "'Total;;9;' AS line").unionByName(s.range(3).selectExpr("id AS f", "2 AS part", "1L AS at", "';;;' AS line"))
+    every = heads.unionByName(lines.withColumn("f", F.col("f").cast("long"))).unionByName(ends)
+    every.repartition(3, "f").sortWithinPartitions("f", "part", "at").select("f", "line").write.partitionBy("f").text(folder)
+    return M.profile_files(s, [f"{folder}/f={i}" for i in range(3)]).select("position", "column", "dtype", "semantic_type", "row_count", "null_count", "unique_count", "is_unique", "edge_whitespace_count")
+
+
 Q = {
+    "run_plan_ordered_chain": (
+        ordered_chain,
+        f"""SELECT row_number() OVER w AS row_num, l_orderkey, sum(l_quantity) OVER w AS quantity_so_far, max(l_extendedprice) OVER w AS l_extendedprice_cummax, count(l_discount) OVER w AS l_discount_cumcount,
+            lag(l_shipdate) OVER (ORDER BY {", ".join(LINE_ORDER)}) AS shipped_before FROM lineitem WINDOW w AS (ORDER BY {", ".join(LINE_ORDER)} ROWS UNBOUNDED PRECEDING)"""),
+    "run_plan_record": (
+        record_of_run,
+        """WITH k AS (SELECT count(*) AS n, count(DISTINCT o_custkey) AS c FROM orders WHERE o_orderstatus <> 'P')
+           SELECT 1::INTEGER AS step, 'filter_rows' AS op, n AS rows, 6::INTEGER AS columns, true AS timed, c AS left FROM k UNION ALL SELECT 2, 'remove_duplicates', c, 6, true, c FROM k UNION ALL SELECT 3, 'running_total', c, 7, true, c FROM k"""),
+    "register_op": (
+        own_operator,
+        "SELECT l_returnflag, round_even(sum(round_even(l_extendedprice * (1 - l_discount), 4)), 2) AS net_sum, count(*) AS net_count FROM lineitem WHERE l_discount >= 0.05 GROUP BY 1"),
+    "profile_files": (
+        profiled_files,
+        " UNION ALL ".join(f"""SELECT {i}::INTEGER AS position, '{c}' AS "column", 'object' AS dtype, '{k}' AS semantic_type, count(*) AS row_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count,
+          count(DISTINCT {c}) = count(*) AS is_unique, 0::BIGINT AS edge_whitespace_count FROM customer""" for i, (c, k) in enumerate((("c_custkey", "phone"), ("c_name", "name"), ("c_nationkey", "unknown"), ("c_mktsegment", "category"))))),
     "stream_ordered_module": (
         ordered_arrivals,
         """SELECT c_custkey AS customer_id, n_name, round_even(sum(c_acctbal) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING), 2) AS total, 2::BIGINT AS records

@@ -2,11 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from cleanloom.operators import groups as G, tables as J
+from cleanloom.operators import groups as G, rows as R, tables as J
 
 from .base import GAPPY, GAPPY_ORDERS, gappy_events, gappy_orders, t
 
 
+def rounded(df):
+    return df.withColumns({c: F.bround(c, 2) for c, k in df.dtypes if k == "double"})
+
+
 def left_side(s, d):
     return t(s, d, "nation").selectExpr("CASE n_regionkey WHEN 0 THEN 'MACHINERY' WHEN 1 THEN 'FURNITURE' WHEN 2 THEN 'NONE' END AS seg", "n_nationkey", "CAST(n_regionkey AS double) AS amount")
 
@@ -42,6 +46,26 @@ Q = {
         lambda s, d: G.aggregate(t(s, d, "part"), "p_brand", {"p_size": ["mode", "quantile:0.9"]}).selectExpr("p_brand", "p_size_mode", "bround(`p_size_quantile:0.9`, 4) AS p90"),
         """SELECT p_brand, (list(p_size ORDER BY n DESC, p_size))[1] AS p_size_mode, any_value(p90) AS p90 FROM (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY 1, 2)
            JOIN (SELECT p_brand, round_even(quantile_cont(p_size::DOUBLE, 0.9), 4) AS p90 FROM part GROUP BY 1) USING (p_brand) GROUP BY 1"""),
+    "aggregate_value_functions": (
+        lambda s, d: G.aggregate(t(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], {"l_quantity": ["median", "mode", "quantile:0.9"], "l_extendedprice": ["median", "nunique"], "l_shipdate": ["mode"]}).selectExpr(
+            "l_returnflag", "l_linestatus", "l_quantity_median", "l_quantity_mode", "bround(`l_quantity_quantile:0.9`, 4) AS p90", "bround(l_extendedprice_median, 4) AS price_median", "l_extendedprice_nunique", "l_shipdate_mode"),
+        """WITH m AS (SELECT l_returnflag, l_linestatus, l_quantity AS q FROM lineitem GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY count(*) DESC, q) = 1),
+             n AS (SELECT l_returnflag, l_linestatus, l_shipdate AS s FROM lineitem GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY count(*) DESC, s) = 1)
+           SELECT l_returnflag, l_linestatus, quantile_cont(l_quantity, 0.5) AS l_quantity_median, any_value(q) AS l_quantity_mode, round_even(quantile_cont(l_quantity, 0.9), 4) AS p90,
+             round_even(quantile_cont(l_extendedprice, 0.5), 4) AS price_median, count(DISTINCT l_extendedprice) AS l_extendedprice_nunique, any_value(s) AS l_shipdate_mode
+           FROM lineitem JOIN m USING (l_returnflag, l_linestatus) JOIN n USING (l_returnflag, l_linestatus) GROUP BY 1, 2"""),
+    "aggregate_product": (
+        lambda s, d: G.aggregate(t(s, d, "lineitem").selectExpr("l_orderkey", "1 + l_discount AS factor"), "l_orderkey", {"factor": "prod"}).selectExpr("l_orderkey", "bround(factor, 6) AS factor"),
+        "SELECT l_orderkey, round_even(product(1 + l_discount), 6) AS factor FROM lineitem GROUP BY 1"),
+    "concat_parts": (
+        lambda s, d: R.concat_parts(gappy_orders(s, d), ["o_orderpriority"], "o_orderstatus", ["o_orderkey"], 900),
+        f"""WITH r AS (SELECT o_orderpriority, o_orderstatus, o_orderkey, sum(length(o_orderstatus) + 2) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - length(o_orderstatus) - 2 AS b FROM {GAPPY_ORDERS} WHERE o_orderstatus IS NOT NULL)
+            SELECT o_orderpriority, (b // 900)::BIGINT AS part, string_agg(o_orderstatus, ', ' ORDER BY o_orderkey) AS text FROM r GROUP BY 1, 2"""),
+    **{f"pivot_{fn}": (
+        lambda s, d, fn=fn: rounded(G.pivot(t(s, d, "orders").select("o_orderpriority", "o_orderstatus", "o_totalprice", "o_orderkey"), "o_orderpriority", "o_orderstatus", "o_totalprice", fn, None, order_by=["o_orderkey"])),
+        "SELECT o_orderpriority, " + ", ".join(f"round_even({sql} FILTER (o_orderstatus = '{x}'), 2)::DOUBLE AS {x}" if fn != "nunique" else f"{sql} FILTER (o_orderstatus = '{x}') AS {x}" for x in "FOP") + " FROM orders GROUP BY 1")
+       for fn, sql in (("mean", "avg(o_totalprice)"), ("min", "min(o_totalprice)"), ("max", "max(o_totalprice)"), ("last", "arg_max(o_totalprice, o_orderkey)"), ("std", "stddev_samp(o_totalprice)"),
+                             ("nunique", "count(DISTINCT o_totalprice)"), ("median", "quantile_cont(o_totalprice, 0.5)"))},
     "aggregate_concat": (
         lambda s, d: G.aggregate(gappy_orders(s, d), "o_custkey", {"o_orderstatus": "concat"}, order_by=["o_orderkey"]),
         f"SELECT o_custkey, coalesce(string_agg(o_orderstatus, ', ' ORDER BY o_orderkey), '') AS o_orderstatus FROM {GAPPY_ORDERS} GROUP BY 1"),

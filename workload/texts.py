@@ -37,6 +37,9 @@ LINES = """(SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, o_orderdate
 SPAN = "(epoch_us(l_shipdate) - epoch_us(placed))"
 
 Q = {
+    "change_case_lower": (
+        lambda s, d: M.change_case(t(s, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), ["o_orderpriority", "o_orderstatus", "o_orderkey", "nope"], "lower"),
+        "SELECT o_orderkey, lower(o_orderpriority) AS o_orderpriority, lower(o_orderstatus) AS o_orderstatus FROM orders"),
     "find_replace": (
         lambda s, d: X.find_replace(t(s, d, "part").select("p_partkey", "p_name"), "p_name", "ring", "R$1"), "SELECT p_partkey, replace(p_name, 'ring', 'R$1') AS p_name FROM part"),
     "find_replace_ignore_case": (
