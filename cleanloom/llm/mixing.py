@@ -55,15 +55,15 @@ def source_targets(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most:
 
 
 def mix_plan(keyed: DataFrame) -> DataFrame:
-    """From ``source, size, key, tie`` of all documents: source, source_size, target, epochs and the last ``key, tie`` of the fraction."""
+    """From ``source, size, key, tie, place`` of all documents: source, source_size, target, epochs and the last ``key, tie, place`` of the fraction."""
     sizes = cut(keyed.groupBy("source").agg(F.sum("size").alias("source_size")))
     targets = source_targets(sizes)
     targets = cut(targets.withColumn("epochs", F.when(F.col("source_size") == 0, 0).otherwise(
         F.floor(F.col("target") / F.col("source_size") + 1e-9))).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size"))))
-    order = running(keyed.where("size > 0"), ["source"], ["key", "tie"], ["size"])
+    order = running(keyed.where("size > 0"), ["source"], ["key", "tie", "place"], ["size"])
     t = targets.select(F.col("source").alias("_source"), "rest")
     inside = order.join(t, order["source"].eqNullSafe(t["_source"])).where(F.col("size_before") + F.col("size") / 2 <= F.col("rest"))
-    last = inside.groupBy("source").agg(F.max(F.struct("key", "tie")).alias("last")).select(F.col("source").alias("_last_source"), "last")
+    last = inside.groupBy("source").agg(F.max(F.struct("key", "tie", "place")).alias("last")).select(F.col("source").alias("_last_source"), "last")
     return cut(targets.join(last, targets["source"].eqNullSafe(last["_last_source"]), "left").drop("_last_source", "rest", "weight"))
 
 
@@ -71,24 +71,23 @@ def mixed(docs: DataFrame, seed: int = 17, text: str = "text", source: str = "so
           keep: list[Column] | None = None) -> DataFrame:
     """All documents as ``row`` with size, source, source_size, target and copies (how often the mix takes the document, at most 3).
 
-    Null is a source of its own; texts that are null or hold no word have size 0 and are taken only with complete epochs; rows that
-    agree in id, source and text stand or fall together; the taken words of a source miss its target by half a document at most
-    (or by the rows that agree with its last one). An empty table gives no rows.
+    Null is a source of its own; texts that are null or hold no word have size 0 and are taken only with complete epochs; a very long
+    text is one document like any other. Rows that agree in id, source and text share a key and are told apart by their place, so as
+    many of them are taken as the budget asks for. The taken words of a source miss its target by half a document at most. An empty
+    table gives no rows.
     """
     t = docs[f"`{text}`"].cast("string")
     drawn = let(word_count(t), lambda n: F.struct(n.alias("size"), (quality if quality is not None else quality_weight(t, n)).cast("double").alias("q")))
-    df = beside(docs, keep, source=docs[f"`{source}`"].cast("string"), drawn=drawn, tie=F.xxhash64(F.lit(seed), docs[f"`{row_id}`"], t))
-    df = df.select("row", "source", "drawn.size", "tie", exponential_key(seed, F.col("drawn.q"), F.col("tie")).alias("key"))
-    if keep is not None:  # narrow rows are cheaper to keep than to compute twice
-        df = cut(df)
-    narrow = df.select("source", "size", "key", "tie")
-    plan = mix_plan(narrow if keep is not None else cut(narrow))
+    df = beside(docs, keep, source=docs[f"`{source}`"].cast("string"), drawn=drawn, tie=F.xxhash64(F.lit(seed), docs[f"`{row_id}`"], t), place=F.monotonically_increasing_id())
+    # written, since places must be the same whenever the rows are read; the words are counted once
+    df = cut(df.select("row", "source", "drawn.size", "tie", "place", exponential_key(seed, F.col("drawn.q"), F.col("tie")).alias("key")))
+    plan = mix_plan(df.select("source", "size", "key", "tie", "place"))
     p = plan.withColumnRenamed("source", "_source")
-    chosen = (F.col("size") > 0) & (F.struct("key", "tie") <= F.col("last"))
+    chosen = (F.col("size") > 0) & (F.struct("key", "tie", "place") <= F.col("last"))
     return df.join(p, df["source"].eqNullSafe(p["_source"]), "left").select(
         "row", "source", "size", "source_size", "target", (F.col("epochs") + F.coalesce(chosen.cast("long"), F.lit(0))).cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 17, **columns: str) -> DataFrame:
-    """The mix itself: each document as often as it is taken, all its columns as they were."""
+    """The mix itself: each document as often as it is taken, all its columns as they were; odd rows as in ``mixed``."""
     return mixed(docs, seed, **columns).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

@@ -2,12 +2,13 @@
 
 Strict patterns find the base spans, a wider one finds random-looking tokens. Every candidate value is counted over the whole
 corpus by distinct repositories and owners: a value that many owners hold is an example that was copied, one that a single owner
-holds looks live. Only live-looking wide candidates become spans. DataFrame functions only.
+holds in many repositories is that owner's boilerplate (a template's placeholder, say), and one that a single owner holds in few
+repositories looks live. Only live-looking wide candidates become spans. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import beside, cut, let
 
@@ -19,8 +20,10 @@ HEX = r"[0-9a-f]{24,}"
 #: A run of 20 token characters or more, taken for random if it has digits, both cases and many different characters.
 RANDOM = r"[A-Za-z0-9_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
-#: Owners from which on a value is a copied example.
-COPIED = 2
+#: Owners from which on a value is a copied example, and repositories from which on a single owner's value is its boilerplate.
+COPIED, SPREAD = 2, 3
+#: Matches of a text whose places are added up in one list.
+STRETCH = 256
 #: Quick tests; a text that fails one holds no match of the kind.
 MAYBE = {"assign": r"(?i)(?:passw|secret|token|api_?key)", "access": "AKIA", "hex": HEX, "random": RANDOM}
 
@@ -33,11 +36,24 @@ def matches(text: Column, pattern: str) -> Column:
     value = 2 if pattern is ASSIGN else 0
 
     def placed(found: Column, pieces: Column, values: Column) -> Column:
-        before = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-                             lambda a, i: F.struct((a["at"] + F.length(F.get(pieces, i)) + F.length(F.get(found, i))).alias("at"),
-                                                   F.array_append(a["starts"], a["at"] + F.length(F.get(pieces, i))).alias("starts")))
-        return let(before["starts"], lambda starts: F.transform(found, lambda m, i: F.struct(
-            F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(m)).alias("end"), F.get(values, i).alias("value"))))
+        gap, length = (lambda i: F.length(F.get(pieces, i))), (lambda i: F.length(F.get(found, i)))
+        last = F.size(found) - 1
+
+        def run(first: Column, to: Column, at: Column) -> Column:
+            """The starts of the matches ``first`` to ``to``, the piece before the first one beginning at ``at``."""
+            return F.aggregate(F.sequence(first, to), F.struct(at.alias("at"), F.array().cast("array<int>").alias("starts")), lambda a, i: F.struct(
+                (a["at"] + gap(i) + length(i)).alias("at"), F.array_append(a["starts"], a["at"] + gap(i)).alias("starts")))["starts"]
+
+        def in_blocks() -> Column:
+            # where each block of matches begins; a list that grows by one is copied each time, so lists are kept short
+            blocks = F.aggregate(F.sequence(F.lit(0), F.floor(last / STRETCH).cast("int")), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ats")), lambda a, k: F.struct(
+                F.aggregate(F.sequence(k * STRETCH, F.least(last, k * STRETCH + STRETCH - 1)), a["at"], lambda at, i: at + gap(i) + length(i)).alias("at"),
+                F.array_append(a["ats"], a["at"]).alias("ats")))["ats"]
+            return F.flatten(F.transform(blocks, lambda at, k: run(k * STRETCH, F.least(last, k * STRETCH + STRETCH - 1), at)))
+
+        starts = F.when(last < STRETCH, run(F.lit(0), last, F.lit(0))).otherwise(in_blocks())
+        return let(starts, lambda at: F.transform(found, lambda m, i: F.struct(
+            F.get(at, i).alias("start"), (F.get(at, i) + F.length(m)).alias("end"), F.get(values, i).alias("value"))))
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value)) if value else found
@@ -81,23 +97,28 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), copied: int = COPIED,
-                 keep: list[Column] | None = None) -> DataFrame:
+                 spread: int = SPREAD, keep: list[Column] | None = None) -> DataFrame:
     """All documents as ``row`` with ``spans``: kind, start, end, n_owners, n_repos and live, by start and kind.
 
-    Base spans are all there, whether live or copied; a random-looking token is there if it is live and overlaps no base span. Null and empty texts have
-    no spans; repeated rows count once for their owner; an empty table stays empty.
+    A value is live if fewer than ``copied`` owners and fewer than ``spread`` repositories hold it. Base spans are all there, live or
+    not; a random-looking token is there if it is live and overlaps no base span. Null and empty texts have no spans, a very long text
+    all of its own; repeated rows count once for their owner; an empty table stays empty.
     """
     found = cut(candidates(docs, text, owner, repository, keep).withColumn("rid", F.monotonically_increasing_id()))
     known = ownership(found)
     each = found.where(F.size("found") > 0).select("rid", F.explode("found").alias("x"))
     k = known.withColumnRenamed("hash", "_hash")
-    told = each.join(k, each["x.hash"] == k["_hash"]).select("rid", F.struct(
-        F.col("x.start"), F.col("x.kind"), F.col("x.end"), "n_owners", "n_repos", (F.col("n_owners") < copied).alias("live")).alias("x"))
-    lists = told.groupBy("rid").agg(F.sort_array(F.collect_list("x")).alias("all")).withColumnRenamed("rid", "_rid")  # a row's own spans
-    wide = KINDS.index("random")
-    kept = F.filter("all", lambda x: (x["kind"] < wide) | x["live"] & ~F.exists("all", lambda y: (y["kind"] < wide) & (y["start"] < x["end"]) & (y["end"] > x["start"])))
+    told = each.join(k, each["x.hash"] == k["_hash"]).select("rid", "x.start", "x.kind", "x.end", "n_owners", "n_repos", ((F.col("n_owners") < copied) & (F.col("n_repos") < spread)).alias("live"))
+    # base spans that reach into a span come before it and end late, or follow it and start early
+    base = F.col("kind") < KINDS.index("random")
+    earlier = Window.partitionBy("rid").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    reach, next_ = F.max(F.when(base, F.col("end"))).over(earlier), F.min(F.when(base, F.col("start"))).over(later)
+    covered = F.coalesce(reach > F.col("start"), F.lit(False)) | F.coalesce(next_ < F.col("end"), F.lit(False))
+    kept = told.withColumn("covered", covered).where(base | F.col("live") & ~F.col("covered"))
+    lists = kept.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "n_owners", "n_repos", "live"))).alias("all")).withColumnRenamed("rid", "_rid")  # a row's own spans
     nothing = F.array().cast(lists.schema["all"].dataType)
-    out = found.join(lists, found["rid"] == lists["_rid"], "left").select("row", F.coalesce(kept, nothing).alias("spans"))
+    out = found.join(lists, found["rid"] == lists["_rid"], "left").select("row", F.coalesce("all", nothing).alias("spans"))
     name = F.array(*[F.lit(k) for k in KINDS])
     return out.withColumn("spans", F.transform("spans", lambda x: F.struct(F.get(name, x["kind"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
                                                                            x["n_owners"].alias("n_owners"), x["n_repos"].alias("n_repos"), x["live"].alias("live"))))

@@ -132,16 +132,16 @@ x AS (SELECT source, bool_or((bad + weight * mean) / (n + weight) > 0.5) AS host
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed[1] OR failed[2] AS base_failed, NOT (failed[1] OR failed[2]) AND NOT coalesce(host_failed, false) AS kept,
   coalesce(host_failed, false) AS host_failed, f.source FROM f LEFT JOIN x ON f.source = x.source""",
     "op2_secret_ownership": r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(1)) AS owner, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(1)) AS owner, coalesce(source, chr(1)) || chr(2) || coalesce(lang, chr(1)) AS repo, coalesce(text, '') AS t FROM documents),
 k AS (SELECT * FROM (VALUES (0, 'assign', '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+', '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
        (1, 'access', 'AKIA[A-Z0-9]+', '(AKIA[A-Z0-9]+)'), (2, 'hex', '[0-9a-f]{24,}', '([0-9a-f]{24,})'), (3, 'random', '[A-Za-z0-9_-]{20,}', '([A-Za-z0-9_-]{20,})')) v(ord, kind, p, g)),
-m AS (SELECT rid, doc_id, owner, ord, kind, string_split_regex(t, p) AS pieces, regexp_extract_all(t, p) AS found, regexp_extract_all(t, g, 1) AS vals FROM d, k WHERE regexp_matches(t, p)),
+m AS (SELECT rid, doc_id, owner, repo, ord, kind, string_split_regex(t, p) AS pieces, regexp_extract_all(t, p) AS found, regexp_extract_all(t, g, 1) AS vals FROM d, k WHERE regexp_matches(t, p)),
 e AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m),
-c AS (SELECT rid, owner, ord, kind, vals[i] AS val, (list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a, length(found[i]) AS n FROM e),
+c AS (SELECT rid, owner, repo, ord, kind, vals[i] AS val, (list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a, length(found[i]) AS n FROM e),
 o AS (SELECT *, a + n AS z FROM c WHERE (kind <> 'assign' OR length(val) >= 6) AND (kind <> 'access' OR n >= 20)
         AND (kind <> 'random' OR regexp_matches(val, '[0-9]') AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]') AND len(list_distinct(string_split(val, ''))) >= 12)),
-w AS (SELECT val, count(DISTINCT owner) AS owners FROM o GROUP BY 1),
-s AS (SELECT o.*, owners < 2 AS live FROM o JOIN w USING (val)),
+w AS (SELECT val, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM o GROUP BY 1),
+s AS (SELECT o.*, owners < 2 AND repos < 3 AS live FROM o JOIN w USING (val)),
 b AS (SELECT * FROM s WHERE kind <> 'random' UNION ALL SELECT * FROM s WHERE kind = 'random' AND live AND NOT EXISTS (SELECT 1 FROM s q WHERE q.rid = s.rid AND q.kind <> 'random' AND q.a < s.z AND q.z > s.a)),
 j AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (live) AS n_live,
         string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, ord) FILTER (kind <> 'random') AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, ord) AS spans FROM b GROUP BY 1)
