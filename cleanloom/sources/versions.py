@@ -1,4 +1,8 @@
-"""Versions of a table: Parquet snapshots and a table of their parents."""
+"""Versions of a table: Parquet snapshots, their mergeable profiles and a table of their parents.
+
+A version that appends rows writes and profiles these rows alone: its data are the parts of its parent and its own, and its
+profile is its parent's merged with that of the new rows.
+"""
 
 from __future__ import annotations
 
@@ -9,15 +13,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.core import OpError
+from ..functions.core import OpError, col
+from ..functions.sketches import column_sketches, merged_sketches, sketched_profile
 from ..operators.rows import head_rows
 
 SCHEMA = """id string, parent_id string, session_id string, path string, row_count bigint, column_count int, columns array<string>,
-steps string, description string, created_at timestamp"""
+steps string, description string, created_at timestamp, parts array<string>"""
 
 
 class Versions:
-    """Version nodes under one shared folder: ``snapshots/<id>`` and ``nodes``."""
+    """Version nodes under one shared folder: ``snapshots/<id>``, ``profiles/<id>`` and ``nodes``."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -30,19 +35,44 @@ class Versions:
 
     def create(self, df: DataFrame, session_id: str, parent_id: str | None = None, steps: Sequence[Mapping] | None = None,
                description: str = "", node_id: str | None = None) -> str:
-        """Write the snapshot, then its node. A node is listed only when its snapshot is complete."""
+        """Write the snapshot and its profile, then its node. A node is listed only when both are complete."""
+        return self._add(df, session_id, parent_id, None, steps, description, node_id)
+
+    def append(self, rows: DataFrame, session_id: str, parent_id: str, description: str = "", node_id: str | None = None) -> str:
+        """A version of the parent's rows and these, which need the parent's columns, in any order. Only the new rows are read and written."""
+        parent, kind = self.node(parent_id), self.read(parent_id).schema
+        if sorted(rows.columns) != sorted(kind.names):
+            raise OpError(f"appended rows need the columns {kind.names}")
+        return self._add(rows.select(*[col(f.name).cast(f.dataType) for f in kind.fields]), session_id, parent_id, parent, None, description, node_id)
+
+    def _add(self, df: DataFrame, session_id: str, parent_id: str | None, onto, steps, description: str, node_id: str | None) -> str:
         node = node_id or uuid.uuid4().hex
-        path = f"{self.root}/snapshots/{node}"
+        path, profile = f"{self.root}/snapshots/{node}", f"{self.root}/profiles/{node}"
         df.write.mode("overwrite").parquet(path)
-        written = self.spark.read.parquet(path)
-        row = written.agg(F.count(F.lit(1)).alias("row_count")).select(
+        sketches = column_sketches(self.spark.read.schema(df.schema).parquet(path))
+        if onto is not None:
+            sketches = merged_sketches(self._sketches(parent_id), sketches)
+        sketches.coalesce(1).write.mode("overwrite").parquet(profile)  # a row for each column
+        parts = [*(_parts(onto) if onto is not None else []), path]
+        row = self.spark.read.parquet(profile).agg(F.coalesce(F.max("row_count"), F.lit(0)).alias("row_count")).select(
             F.lit(node).alias("id"), F.lit(parent_id).cast("string").alias("parent_id"), F.lit(session_id).alias("session_id"),
-            F.lit(path).alias("path"), "row_count", F.lit(len(written.columns)).alias("column_count"),
-            F.array(*[F.lit(c) for c in written.columns]).alias("columns"), F.lit(json.dumps(list(steps or []))).alias("steps"),
-            F.lit(description).alias("description"), F.current_timestamp().alias("created_at"))
+            F.lit(path).alias("path"), "row_count", F.lit(len(df.columns)).alias("column_count"),
+            F.array(*[F.lit(c) for c in df.columns]).alias("columns"), F.lit(json.dumps(list(steps or []))).alias("steps"),
+            F.lit(description).alias("description"), F.current_timestamp().alias("created_at"), F.array(*[F.lit(p) for p in parts]).alias("parts"))
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/nodes")
         return node
 
+    def _sketches(self, node_id: str) -> DataFrame:
+        """The stored column sketches; a version of before there were any is read once more for them."""
+        try:
+            return self.spark.read.parquet(f"{self.root}/profiles/{node_id}")
+        except AnalysisException:
+            return column_sketches(self.read(node_id))
+
+    def profile(self, node_id: str) -> DataFrame:
+        """The profile stored with the version (``functions.sketches`` states its errors); reads no row of the table."""
+        return sketched_profile(self._sketches(node_id))
+
     def node(self, node_id: str):
         rows = self.nodes().where(F.col("id") == node_id).limit(1).collect()
         if not rows:
@@ -50,7 +80,7 @@ class Versions:
         return rows[0]
 
     def read(self, node_id: str) -> DataFrame:
-        return self.spark.read.parquet(self.node(node_id)["path"])
+        return self.spark.read.parquet(*_parts(self.node(node_id)))
 
     def preview(self, node_id: str, n: int = 10, order_by=None) -> DataFrame:
         """The first rows in the given order, or in that of all columns that can be ordered."""
@@ -74,6 +104,10 @@ class Versions:
         return target, self.read(target)
 
 
+def _parts(node) -> list[str]:
+    return list(node["parts"] or [node["path"]])
+
+
 def lineage(nodes: DataFrame, node_id: str, depth: int = 3) -> DataFrame:
     """Ancestor chain of a (id, parent_id, ...) table by a recursive query, oldest first."""
     query = """

@@ -3,6 +3,7 @@
 import pytest
 
 from cleanloom import dry_run, register_op, run_plan, validate
+from cleanloom.functions.core import OpError
 from cleanloom.plans import checks as H, contract as N, modules as M, pipeline as L, profile as P
 from cleanloom.sources import blocks as B, files as I, versions as S
 from cleanloom.streaming import arrivals as A
@@ -200,6 +201,33 @@ def test_versions(spark, people, tmp_path):
     assert v.undo(b)[0] == a and v.undo(b)[1].columns == people.columns
 
 
+def test_version_profiles_merge(spark, tmp_path):
+    """A profile merged over appended versions says what one of the whole table says; sketches keep their stated errors."""
+    data = [(i, float(i * 37 % 9001) if i % 5 else None, None if i % 7 == 0 else f" V{i % 50} ", [i]) for i in range(9000)]
+    df = spark.createDataFrame(data, "id long, x double, name string, parts array<long>")
+    v = S.Versions(spark, str(tmp_path))
+    a = v.create(df.where("id < 2000"), "s")
+    b = v.append(df.where("id >= 2000 AND id < 2500").select("parts", "name", "x", "id"), "s", a)
+    c = v.append(df.where("id >= 2500"), "s", b)
+    d = v.append(df.where("id < 0"), "s", c)
+    whole = v.create(df, "s")
+    exact = ["column", "row_count", "null_count", "min_value", "max_value", "mean", "std"]
+    merged = {r["column"]: r for r in v.profile(d).collect()}
+    for r in v.profile(whole).collect():
+        assert [merged[r["column"]][k] for k in exact] == [r[k] for k in exact]
+    assert merged["name"]["unique_count"] == 50 and merged["parts"]["unique_count"] == 0 and merged["parts"]["null_count"] == 0
+    assert abs(merged["id"]["unique_count"] / 9000 - 1) < 5 / 64
+    xs = sorted(x[1] for x in data if x[1] is not None)
+    assert abs(sum(x <= merged["x"]["median"] for x in xs) / len(xs) - 0.5) < 0.01
+    assert rows(v.read(c).drop("parts")) == rows(df.drop("parts")) and v.read(b).count() == 2500 and v.node(c)["row_count"] == 9000
+    assert len(list((tmp_path / "snapshots" / b).glob("*.parquet"))) and spark.read.parquet(str(tmp_path / "snapshots" / b)).count() == 500
+    with pytest.raises(OpError):
+        v.append(df.drop("x"), "s", a)
+    e = v.create(df.where("id < 0"), "s")
+    assert v.profile(e).first()["row_count"] == 0
+    assert {r["column"]: r["mean"] for r in v.profile(v.append(df, "s", e)).collect()}["id"] == 4499.5
+
+
 def test_gate_and_arrivals(spark, leads, tmp_path):
     steps = [{"op": "change_text_casing", "params": {"column": "status", "case": "upper"}}]
     module = M.build_module(leads, steps, "c")

@@ -103,6 +103,24 @@ def version_undo(s, d):
     return v.undo("v2")[1]
 
 
+def appended_profile(s, d):
+    """Orders in three versions, each of a year's range appended to the one before: the last one's profile, merged from the three.
+    Distinct values are shown as far as the sketches are exact."""
+    v, orders = S.Versions(s, shared_folder(s)), t(s, d, "orders").withColumn("o_orderstatus", F.expr("nullif(o_orderstatus, 'P')"))
+    year = F.year("o_orderdate")
+    v.create(orders.where(year < 1994), "session", None, [], "first", "v1")
+    v.append(orders.where((year >= 1994) & (year < 1997)), "session", "v1", "second", "v2")
+    v.append(orders.where((year >= 1997) | year.isNull()).select(*reversed(orders.columns)), "session", "v2", "third", "v3")
+    return v.profile("v3").select("column", "row_count", "null_count", F.when(F.col("unique_count") <= 3500, F.col("unique_count")).alias("unique_count"), "min_value", "max_value", "mean", "std")
+
+
+def appended_rows(s, d):
+    v, c = S.Versions(s, shared_folder(s)), t(s, d, "customer")
+    v.create(c.where("c_acctbal < 0"), "session", None, [], "debt", "v1")
+    v.append(c.where("c_acctbal >= 0 OR c_acctbal IS NULL"), "session", "v1", "the rest", "v2")
+    return v.read("v2")
+
+
 def order_chain(s, d):
     """ancestors of the last order, following the customer's previous order"""
     nodes = t(s, d, "orders").selectExpr("CAST(o_orderkey AS string) AS id", "CAST(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS string) AS parent_id", "o_totalprice")
@@ -286,6 +304,12 @@ Q = {
         version_history,
         """SELECT 'v1' AS id, NULL AS parent_id, count(*) AS row_count, 5::INTEGER AS column_count, 'upload' AS description, 3::BIGINT AS level FROM customer
            UNION ALL SELECT 'v2', 'v1', count(*), 5, 'solvent', 2 FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'v3', 'v2', count(*), 4, 'no balance', 1 FROM customer WHERE c_acctbal >= 0"""),
+    "version_profile_appended": (appended_profile, " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS row_count, count(*) - count(c) AS null_count, CASE WHEN count(DISTINCT c) <= 3500 THEN count(DISTINCT c) END AS unique_count,
+              {f"min(c)::DOUBLE AS min_value, max(c)::DOUBLE AS max_value, round(avg(c::DOUBLE), 4) AS mean, round(stddev_samp(c::DOUBLE), 4) AS std" if number else "NULL::DOUBLE AS min_value, NULL::DOUBLE AS max_value, NULL::DOUBLE AS mean, NULL::DOUBLE AS std"}
+            FROM (SELECT {f"nullif({c}, 'P')" if c == "o_orderstatus" else c} AS c FROM orders)"""
+        for c, number in (("o_orderkey", True), ("o_custkey", True), ("o_orderstatus", False), ("o_totalprice", True), ("o_orderdate", False), ("o_orderpriority", False)))),
+    "version_append": (appended_rows, "SELECT * FROM customer"),
     "version_undo": (version_undo, "SELECT * FROM customer"),
     "version_lineage": (
         order_chain,
