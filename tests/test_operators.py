@@ -163,3 +163,17 @@ def test_dates(spark):
     day = dt.datetime(2024, 3, 4)
     assert got == [day, day, dt.datetime(2023, 12, 25), day, day.replace(hour=21, minute=30), day, day.replace(hour=10, minute=11, second=12),
                    day.replace(hour=7, minute=5), None, None]
+
+
+@pytest.mark.parametrize("case_sensitive", [False, True])
+def test_mappings_agree_as_literal_and_as_join(spark, monkeypatch, case_sensitive):
+    cells = ["a", "A", "b", "", None, "c", "É", "a", "z"] + [f"v{i}" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(cells)), "id long, name string")
+    mapping = {"a": "one", "A": "two", "b": None, "": "empty", "é": "e", **{f"v{i}": f"w{i % 7}" for i in range(0, 300, 2)}}
+    got = []
+    for most in (0, 10_000):
+        monkeypatch.setattr(M, "LITERAL_MAP", most)
+        got.append(rows(M.standardize_values(df, "name", mapping, case_sensitive), "id", "name"))
+    assert got[0] == got[1]
+    values = dict(got[0])
+    assert values[0] == ("one" if case_sensitive else "two") and values[2] == "b" and values[3] == "empty" and values[4] is None and values[9] == "w0" and values[10] == "v1"
