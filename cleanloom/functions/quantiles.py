@@ -1,16 +1,16 @@
 """Exact quantiles, modes and value ranks without holding a group in one buffer.
 
 ``percentile`` and ``mode`` keep every distinct value of a group in one map. Below
-``SMALL`` counted rows that is fine; above it the values are counted first (map-side
-combined, so a hot value is one row), numbered by a chunked running sum, and the wanted
-positions are picked out of that sorted run.
+``SMALL`` counted rows that is fine. Above it the values are cut into chunks, the rows of the
+chunks are added up, and only the chunks that hold a wanted position are counted by value (map-side
+combined, so a hot value is one row) and sorted. Ranks number all counted values by a chunked running sum.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import scan
 from .core import attach, col
@@ -40,13 +40,24 @@ def quantiles(df: DataFrame, part: Sequence[str], value: str, probs: Sequence[fl
         qs = F.percentile(x, F.array(*[F.lit(float(p)) for p in probs]), col(weight) if weight else F.lit(1))
         return df.groupBy(*[col(p) for p in part]).agg(qs.alias("__q")).select(
             *[col(p) for p in part], *[F.get("__q", F.lit(i)).alias(f"q{i}") for i in range(len(probs))])
-    slim = df.select(*[col(p) for p in part], x.alias("__x"), *([col(weight).alias("__w")] if weight else []))
-    runs = value_runs(slim, part, "__x", weight="__w" if weight else None)
-    totals = runs.groupBy(*[col(p) for p in part]).agg(F.sum("__cnt").alias("__n"))
-    if part:
-        runs = attach(runs, totals, part)
-    else:
-        runs = runs.withColumn("__n", totals.select("__n").scalar())
+    by = [col(p) for p in part]
+    slim = df.where(x.isNotNull()).select(*by, x.alias("__x"), (col(weight) if weight else F.lit(1)).cast("bigint").alias("__w"))
+    c = scan.chunked(slim, part, [scan.Key("__x")], rows)
+    # rows of each chunk, and before it: only the chunks that hold a wanted position are sorted
+    sums = c.df.groupBy(*by, col(c.chunk)).agg(F.sum("__w").alias("__cnt"))
+    upto = c.group_window().rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("__n", F.sum("__cnt").over(Window.partitionBy(*(by or [F.lit(0)])))).withColumn("__before", F.sum("__cnt").over(upto) - F.col("__cnt"))
+    wanted = F.lit(False)
+    for p in probs:
+        h = (F.col("__n") - 1) * F.lit(float(p))
+        for pos in (F.floor(h), F.ceil(h)):
+            wanted = wanted | ((F.col("__before") <= pos) & (pos < F.col("__before") + F.col("__cnt")))
+    # written, so that its size is known to the join: a row for each wanted (group, chunk)
+    chosen = scan.written(sums.where(wanted).select(*by, col(c.chunk), F.col("__n"), F.col("__before").alias("__first")))
+    near = attach(c.df, chosen, [*part, c.chunk]).where("__n IS NOT NULL")
+    counts = near.groupBy(*by, col(c.chunk), "__x", "__n", "__first").agg(F.sum("__w").alias("__cnt"))
+    inside = Window.partitionBy(*by, col(c.chunk)).orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    runs = counts.withColumn("__before", F.col("__first") + F.sum("__cnt").over(inside) - F.col("__cnt"))
     aggs: list[Column] = []
     for i, p in enumerate(probs):
         h = (F.col("__n") - 1) * F.lit(float(p))

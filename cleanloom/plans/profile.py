@@ -32,6 +32,9 @@ PATTERNS = (
     ("boolean", r"(?i)^(true|false|yes|no|y|n|1|0)$", "boolean", "true/false"),
 )
 
+# characters of which a value has one, if it has the pattern: looked for before the pattern (fixed values)
+MARKS = {"email": "@", "url": ":", "date_us": "/", "date_eu": ".", "datetime_iso": ":", "time": ":", "currency": "$€£¥", "percentage": "%"}
+
 # words of a boolean column (fixed values)
 BOOLEAN_WORDS = ("true", "false", "yes", "no", "y", "n", "1", "0", "t", "f")
 
@@ -82,17 +85,31 @@ def _merge(sides: Sequence[DataFrame]) -> DataFrame:
     return out.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in out.columns if c not in keys])
 
 
+def _beside(counts: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
+    """Join a frame with a row for each column. It is broadcast: its few keys would send all values of a column to one task."""
+    return counts.join(F.broadcast(side), _keys(counts), how)
+
+
 def value_metrics(counts: DataFrame) -> DataFrame:
     """Per column, from its value counts: rows, uniques, text flags, pattern hits, boolean words, uniques without case."""
-    v, n = F.col("value"), F.col("count")
-    clean = textfn.strip(v)
+    v, n, clean = F.col("value"), F.col("count"), F.col("__clean")
     weigh = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
-    hits = [weigh(clean.rlike(p)).alias(f"hit_{name}") for name, p, _, _ in PATTERNS]
-    return counts.groupBy(*_keys(counts)).agg(
+    may = {name: _any_in(clean, marks) for name, marks in MARKS.items()} | {"boolean": F.length(clean) <= 8}
+    hits = [weigh(may[name] & clean.rlike(p) if name in may else clean.rlike(p)).alias(f"hit_{name}") for name, p, _, _ in PATTERNS]
+    # the stripped value is a column of its own, so that it is made once for all tests
+    return counts.withColumn("__clean", textfn.strip(v)).groupBy(*_keys(counts)).agg(
         F.sum(n).alias("row_count"), weigh(v.isNotNull()).alias("filled"), F.count(v).alias("unique_count"),
         weigh(v == "").alias("empty_string_count"), weigh((clean == "") & (v != "")).alias("whitespace_only_count"),
         weigh((clean != v) & (v != "")).alias("edge_whitespace_count"),
-        F.bool_and(F.lower(clean).isin(*BOOLEAN_WORDS)).alias("boolean_words"), *hits)
+        F.bool_and((F.length(clean) <= 8) & F.lower(clean).isin(*BOOLEAN_WORDS)).alias("boolean_words"), F.bool_or(F.lower(v) != v).alias("cased"), *hits)
+
+
+def _any_in(text: Column, marks: str) -> Column:
+    """Whether one of the characters is in the text."""
+    found = F.lit(False)
+    for m in marks:
+        found = found | text.contains(m)
+    return found
 
 
 def lower_uniques(counts: DataFrame) -> DataFrame:
@@ -119,8 +136,14 @@ def top_values(counts: DataFrame, total: Column | None = None, n: int = 10) -> D
 def samples(counts: DataFrame, n: int = 5) -> DataFrame:
     """Per column: n values with the smallest hash, the same ones wherever the value occurs."""
     keys = _keys(counts)
-    w = Window.partitionBy(*keys).orderBy(F.xxhash64("value"), F.col("value"))
-    few = counts.where("value IS NOT NULL").withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
+    known = counts.where("value IS NOT NULL").select(*keys, "value", F.xxhash64("value").alias("__h"))
+    # the n-th of the least hashes of 256 classes: no sample has a larger hash, and few other values have smaller ones
+    least = known.groupBy(*keys, F.pmod("__h", F.lit(256)).alias("__class")).agg(F.min("__h").alias("__h"))
+    nth = least.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy("__h"))).where(F.col("__rn") <= n)
+    most = nth.groupBy(*keys).agg(F.max("__h").alias("__most"), F.count(F.lit(1)).alias("__classes"))
+    near = _beside(known, most).where((F.col("__h") <= F.col("__most")) | (F.col("__classes") < n))
+    w = Window.partitionBy(*keys).orderBy("__h", "value")
+    few = near.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
     return few.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__rn", "value"))).alias("s")).select(
         *keys, F.transform("s", lambda x: x["value"]).alias("sample_values"))
 
@@ -156,10 +179,11 @@ def _statistics(counts: DataFrame) -> DataFrame:
     quart = quantiles.quantiles(numbers, keys, "x", [0.25, 0.5, 0.75], numbers.count(), weight="c")
     both = _merge([first, quart])
     spread = F.col("q2") - F.col("q0")
-    both = both.withColumn("lower_bound", F.col("q0") - 1.5 * spread).withColumn("upper_bound", F.col("q2") + 1.5 * spread)
+    # a row for each column, read twice: written, so that quartiles are found once
+    both = scan.written(both.withColumn("lower_bound", F.col("q0") - 1.5 * spread).withColumn("upper_bound", F.col("q2") + 1.5 * spread))
     d = x - F.col("mean")
     # moments about the mean, and values outside the fences
-    about = numbers.join(both.select(*keys, "mean", "lower_bound", "upper_bound"), keys).groupBy(*keys).agg(
+    about = _beside(numbers, both.select(*keys, "mean", "lower_bound", "upper_bound")).groupBy(*keys).agg(
         F.sum(d * d * c).alias("m2"), F.sum(d * d * d * c).alias("m3"),
         F.coalesce(F.sum(F.when((x < F.col("lower_bound")) | (x > F.col("upper_bound")), c)), F.lit(0)).alias("outlier_count"))
     n = F.col("n").cast("double")
@@ -229,7 +253,11 @@ def profile_tables(tables: Mapping[str, DataFrame], quartiles: bool = True) -> D
     """One row per file and column: the profiles of any number of tables from one shuffle of their values."""
     tables = {f: _plain(df) for f, df in tables.items()}
     counts = counted(tables)
-    sides = [_schema_rows(tables), value_metrics(counts), lower_uniques(counts), samples(counts), top_values(counts), value_sketches(counts)]
+    metrics = scan.written(value_metrics(counts))  # a row for each column
+    # case matters only where a value has some, and frequent values are shown only of columns with fewer than 50 values
+    cased = _beside(counts, metrics.where("cased").select(*KEY), "left_semi")
+    listed = _beside(counts, metrics.where("unique_count < 50").select(*KEY), "left_semi")
+    sides = [_schema_rows(tables), metrics, lower_uniques(cased), samples(counts), top_values(listed), value_sketches(counts)]
     if any(is_numeric(df, c) for df in tables.values() for c in df.columns):
         sides.append(_statistics(counts) if quartiles else ranges(counts))
     out = _merge(sides).withColumn("row_count", F.coalesce("row_count", F.lit(0)))
@@ -254,7 +282,7 @@ def profile_tables(tables: Mapping[str, DataFrame], quartiles: bool = True) -> D
         F.when(texty, zero("empty_string_count")).otherwise(0).alias("empty_string_count"),
         F.when(texty, zero("whitespace_only_count")).otherwise(0).alias("whitespace_only_count"),
         F.when(texty, zero("edge_whitespace_count")).otherwise(0).alias("edge_whitespace_count"),
-        unique.alias("unique_count"), zero("unique_lower_count").alias("unique_lower_count"),
+        unique.alias("unique_count"), F.coalesce("unique_lower_count", "unique_count", F.lit(0)).alias("unique_lower_count"),
         ((unique == filled) & (filled > 1)).alias("is_unique"), (filled - zero("hit_email")).alias("invalid_email_count"),
         F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"), "min_value", "max_value", "mean", "median",
         "std", "q1", "q3", "skewness", "outlier_count", "lower_bound", "upper_bound",

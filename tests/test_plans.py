@@ -1,6 +1,7 @@
 """Pipelines, checks, profiles, contracts, files, versions and arriving files."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from cleanloom import dry_run, register_op, run_plan, validate
 from cleanloom.functions.core import OpError
@@ -290,3 +291,44 @@ def test_record_of_a_run(spark):
     n = out.df.count()
     assert [(r["step"], r["op"], r["rows"], r["columns"]) for r in out.record()] == [(1, "filter_rows", n, 3), (2, "running_total", n, 4), (3, "row_number", n, 5)]
     assert all(r["ms"] > 0 for r in out.record())
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_profile_sends_no_column_to_one_task(spark):
+    df = spark.range(3000).selectExpr("id", "concat('V', id % 700) AS s", "IF(id % 3 = 0, NULL, id * 0.5) AS x", "'' AS e", "CAST(NULL AS string) AS n")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("cleanloom.quantile.smallRows", "10")
+    try:
+        got = P.profile_table(df)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        got = {r["column"]: r for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("cleanloom.quantile.smallRows")
+    first = lambda c: [r[0] for r in df.where(f"{c} IS NOT NULL").select(F.col(c).cast("string").alias("v")).distinct().orderBy(F.xxhash64("v"), "v").limit(5).collect()]
+    for c in df.columns:
+        assert got[c]["sample_values"] == first(c), c
+    want = df.select(*[F.percentile(F.col("x").cast("double"), p) for p in (0.25, 0.5, 0.75)]).first()
+    assert (got["x"]["q1"], got["x"]["median"], got["x"]["q3"]) == tuple(want)
+    assert (got["s"]["unique_count"], got["s"]["unique_lower_count"], got["id"]["unique_lower_count"], got["n"]["unique_lower_count"]) == (700, 700, 3000, 0)
+    assert got["s"]["top_values"] is None and [v["count"] for v in got["e"]["top_values"]] == [3000]
+
+
+def test_values_are_stripped_once(spark):
+    counts = P.value_counts(spark.createDataFrame([(v,) for v in (" a@b.co ", "10%", "$5", "1/2/2024", "Yes", "12:30", "2024-01-05T10:00", "http://x", "5 €", "1.2.2024")], "v string"))
+    plan = plan_of(P.value_metrics(counts))
+    assert plan.count("regexp_replace") <= 2
+    hits = P.value_metrics(counts).first()
+    assert [hits[f"hit_{p}"] for p in ("email", "percentage", "currency", "date_us", "boolean", "time", "datetime_iso", "url", "date_eu")] == [1, 1, 2, 1, 1, 1, 1, 1, 1]
+
+
+def test_footers_move_no_cells(spark):
+    df = spark.createDataFrame([("a", 1, "1", "x"), ("a", 2, "Total", "3"), ("a", 3, None, None), ("b", 1, "2", "y"), ("c", 1, None, None)], "file string, row int, c1 string, c2 string")
+    got = I.detect_footer_rows(df, ["c1", "c2"])
+    plan = plan_of(got)
+    assert "collect_list" not in plan and "c1" not in plan[: plan.index("Window")]
+    assert rows(got) == [("a", 2, "summary"), ("b", 0, None), ("c", 1, "empty")]
+    assert got.schema["footer_rows"].dataType.simpleString() == "int"
