@@ -191,8 +191,6 @@ def detect_footer_rows(rows: DataFrame, columns: Sequence[str], file: str = "fil
 
     Only the last rows of a file reach the shuffle (``row_number`` limit pushed down).
     """
-    w = Window.partitionBy(file).orderBy(*[F.col(c).desc() for c in order])
-    last = rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= max_rows_to_check)
     blank = F.lit(0)
     for c in columns:
         blank = blank + F.col(c).isNull().cast("int")
@@ -200,11 +198,17 @@ def detect_footer_rows(rows: DataFrame, columns: Sequence[str], file: str = "fil
     summary = F.lit(False)
     for k in SUMMARY_WORDS:
         summary = summary | words.contains(k)
-    kind = F.when(blank / len(columns) > 0.5, "empty").when(summary, "summary")
-    d = last.select(file, "__rn", kind.alias("kind"))
-    data_at = F.coalesce(F.min(F.when(F.col("kind").isNull(), F.col("__rn"))), F.max("__rn") + 1)
-    run = d.groupBy(file).agg(data_at.alias("stop"), F.map_from_entries(F.collect_list(F.struct("__rn", F.coalesce("kind", F.lit("data"))))).alias("kinds"))
-    return run.select(file, (F.col("stop") - 1).alias("footer_rows"), F.when(F.col("stop") > 1, F.try_element_at("kinds", F.col("stop") - 1)).alias("footer_type"))
+    # 0 for data, else the kind of footer: the cells themselves need not travel
+    kind = F.when(blank / len(columns) > 0.5, 1).when(summary, 2).otherwise(0)
+    slim = rows.select(F.col(file), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], kind.alias("__kind"))
+    w = Window.partitionBy(file).orderBy(*[F.col(f"__o{i}").desc() for i in range(len(order))])
+    last = slim.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= max_rows_to_check)
+    # of fixed size: the least place of data, and the kind of each place
+    data_at = F.coalesce(F.min(F.when(F.col("__kind") == 0, F.col("__rn"))), F.max("__rn") + 1)
+    at = lambda k: F.coalesce(F.max(F.when(F.col("__rn") == k, F.col("__kind"))), F.lit(0))
+    run = last.groupBy(file).agg(data_at.alias("stop"), F.array(*[at(k + 1) for k in range(max_rows_to_check)]).alias("kinds"))
+    named = F.get("kinds", F.col("stop") - 2)
+    return run.select(file, (F.col("stop") - 1).alias("footer_rows"), F.when(named == 1, "empty").when(named == 2, "summary").alias("footer_type"))
 
 
 def sniff(spark: SparkSession, paths, **header_options) -> DataFrame:

@@ -158,7 +158,10 @@ def header_rows(s, d):
 
 def footers(s, d):
     """line items per order with a total row and a blank row at the end"""
-    li = t(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"))
+    lines = t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    # an order's lines lie in one of as many parts as the rows ask for, so that a task's memory does not grow with the table
+    parts = max(int(s.conf.get("spark.sql.shuffle.partitions")), lines.count() // 500_000 + 1)
+    li = lines.repartition(parts, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"))
     data = li.selectExpr("l_orderkey AS file", "l_linenumber AS row", "CAST(l_linenumber AS string) AS a", "CAST(q AS string) AS b", "'x' AS c")
     total = li.groupBy("l_orderkey").agg(F.sum("q").alias("q")).selectExpr("l_orderkey AS file", "100 AS row", "'Total' AS a", "CAST(q AS string) AS b", "'' AS c")
     blank = li.where("l_orderkey % 2 = 0").select("l_orderkey").distinct().selectExpr("l_orderkey AS file", "101 AS row", "CAST(NULL AS string) AS a", "CAST(NULL AS string) AS b", "'x' AS c")
