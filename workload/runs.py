@@ -195,11 +195,11 @@ ORDERED_STEPS = [{"op": "running_total", "params": {"column": "balance", "new_co
 
 
 def ordered_arrivals(s, d):
-    """a stream over a module with an ordered step and a lookup, one file it must reject, and the whole batch once more"""
+    """a stream over a module with an ordered step and a lookup, files it must reject, and the whole batch once more"""
     folder = shared_folder(s)
     module = M.build_module(named_customers(s, d), [{"op": "change_column_type", "params": {"column": c, "to_type": k}} for c, k in (("balance", "double"), ("nation_key", "integer"))] + ORDERED_STEPS, "customers")
-    named_customers(s, d).orderBy("customer_id").coalesce(1).write.csv(f"{folder}/in/a", header=True)
-    t(s, d, "events").select("ts", "props").coalesce(1).write.csv(f"{folder}/in/b", header=True)
+    named_customers(s, d).orderBy("customer_id").write.csv(f"{folder}/in/a", header=True)  # files in the order of their names
+    t(s, d, "events").select("ts", "props").write.csv(f"{folder}/in/b", header=True)
     nation = {"nation": t(s, d, "nation")}
     A.stream_module_run(s, f"{folder}/in/*", module, f"{folder}/out", f"{folder}/ckpt", tables=nation).awaitTermination()
     A.run_files(s, [f"{folder}/in/a", f"{folder}/in/b"], M.load_module(s, f"{folder}/out/module"), f"{folder}/out", 0, tables=nation)
