@@ -7,6 +7,7 @@ side with numpy. Spark's writer commits the files, so lost executors and repeate
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -14,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyspark
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import partitions
+from .common import kept_in_worker, partitions
 
 # Ids in a word and bits of each id, by selector. Selector 0 is the escape: the next word is the id itself.
 # Selector 1 stands for 240 zeros.
@@ -27,14 +28,21 @@ WIDTH = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BLOCK = 1024
 #: A page is closed when it holds so many ids; a longer document has a page of its own.
 PAGE = 1 << 18
-#: Distinct words whose ids a worker remembers before it starts anew.
+#: Distinct pieces whose ids a worker remembers before it starts anew.
 REMEMBERED = 1_200_000
-#: Characters of text that are worked on, and words that are encoded, at once.
-AT_ONCE, LEARNT = 4_000_000, 20_000
+#: Bytes of text that are worked on, and pieces that are encoded, at once.
+AT_ONCE, LEARNT = 8_000_000, 20_000
+#: Normalizer and pre-tokenizer under which letters and the signs after them have their ids apart, in any case.
+FOLDING = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}]
 PAGES = "shard int, page int, first long, n_ids long, doc_ids array<long>, lengths array<long>, offsets binary, words binary"
 
 _POWERS = np.array([1 << i for i in range(64)], np.uint64)
-_SEPARATOR = re.compile("[\x1c-\x1f]")
+# Letters that have no other form in NFC and one lower case, then signs that are neither letters, digits nor apostrophes.
+_PLAIN = re.compile(r"(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<signs>[!-&(-/:-@\[-`{-~]*)")
 _BITS = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
 
 
@@ -132,84 +140,120 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
+def _runs(ids: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the runs in ``which``, one after another, and their ends after a 0; run k is ``ids[ends[k]:ends[k + 1]]``."""
+    counts = np.diff(ends)[which]
+    to = np.append(0, np.cumsum(counts))
+    return ids[np.repeat(ends[which] - to[:-1], counts) + np.arange(to[-1])], to
+
+
 class WordIds:
-    """Little-endian uint32 ids of texts, word by word: the tokenizer drops white space and never joins over it, so each distinct
-    word is encoded once, all new ones in one call."""
+    """uint32 ids of texts, piece by piece: the tokenizer drops white space and never joins over it, so texts are cut at ASCII white
+    space, and only distinct words are looked at, in columns.
+
+    Where the tokenizer cuts letters from signs and ignores case (``FOLDING``), a word of plain letters and then signs has the ids of
+    its letters in lower case and those of its signs. Any other word is one piece. Each piece is encoded once, all new ones in one call."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        # Spark reuses its Python workers, so the words outlive the task
-        self.known: dict[str, bytes] = pyspark.__dict__.setdefault("_cleanloom_words", {}).setdefault(path, {})
+        # Spark reuses its Python workers, so tokenizer and pieces outlive the task
+        self.kept = kept_in_worker("words").setdefault(path, {})
+        if not self.kept:
+            self.kept["tokenizer"] = Tokenizer.from_file(path)
+            self.forget()
+        self.tokenizer = self.kept["tokenizer"]
+        rules = [json.loads(x.__getstate__()) if x else None for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        added = (t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.folds = rules == FOLDING and not any(_PLAIN.fullmatch(t) for t in added)
+
+    def forget(self) -> None:
+        """Numbers of pieces, the ids of all pieces in that order, and their ends after a 0; piece 0 is empty."""
+        self.kept |= {"known": {"": 0}, "ids": np.zeros(0, "<u4"), "ends": np.zeros(2, np.int64)}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        encoded = self.tokenizer.encode("\n".join(words), add_special_tokens=False)
-        ids = np.array(encoded.ids, "<u4")
-        starts = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(ids))
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        cuts = (4 * np.searchsorted(starts, ends)).tolist()
-        flat, a = ids.tobytes(), 0
-        for w, z in zip(words, cuts):
-            self.known[w] = flat[a:z]
-            a = z
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts. The separators 1C to 1F are white space to Python only, so texts with them are encoded as they are."""
-        split = [None if _SEPARATOR.search(t) else t.split() for t in texts]
-        distinct = {w for words in split if words for w in words}
-        new = distinct.difference(self.known)
-        if new and len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = distinct
-        new = sorted(new)
-        for a in range(0, len(new), LEARNT):
-            self.learn(new[a: a + LEARNT])
-        return [self.whole(t) if words is None else b"".join(map(self.known.__getitem__, words)) for t, words in zip(texts, split)]
-
-
-def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts, null ones empty, in portions of about ``AT_ONCE`` characters or one longer text."""
+    def learn(self, pieces: list[str]) -> None:
+        known, ids, ends = self.kept["known"], [self.kept["ids"]], [self.kept["ends"]]
+        for a in range(0, len(pieces), LEARNT):
+            some = pieces[a: a + LEARNT]
+            encoded = self.tokenizer.encode("\n".join(some), add_special_tokens=False)
+            ids.append(np.array(encoded.ids, "<u4"))
+            starts = np.fromiter((x for x, _ in encoded.offsets), np.int64, len(ids[-1]))
+            cuts = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+            ends.append(ends[-1][-1] + np.searchsorted(starts, cuts))
+        known.update(zip(pieces, range(len(known), len(known) + len(pieces))))
+        self.kept |= {"ids": np.concatenate(ids), "ends": np.concatenate(ends)}
+
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of distinct pieces; new ones are learnt."""
+        new = [x for x in pieces if x not in self.kept["known"]]
+        if new and len(self.kept["known"]) + len(new) > REMEMBERED:
+            self.forget()
+            new = [x for x in pieces if x]
+        if new:
+            self.learn(new)
+        return np.fromiter(map(self.kept["known"].__getitem__, pieces), np.int64, len(pieces))
+
+    def cut(self, words: pa.Array) -> list[pa.Array]:
+        """The first pieces of all words, the second pieces of all words (or empty)."""
+        if not self.folds:
+            return [words]
+        plain = pc.extract_regex(words, f"^{_PLAIN.pattern}$")
+        return [pc.coalesce(pc.utf8_lower(pc.struct_field(plain, 0)), words), pc.fill_null(pc.struct_field(plain, 1), "")]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of whole texts, none of them null."""
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        cut = self.cut(words.dictionary)
+        pieces = pa.concat_arrays(cut).dictionary_encode()
+        numbers = self.numbers(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids, ends = _runs(self.kept["ids"], self.kept["ends"], numbers[pieces.indices.to_numpy()].reshape(len(cut), -1).T.ravel())
+        ids, ends = _runs(ids, ends[::len(cut)], words.indices.to_numpy())
+        return np.split(ids, ends[np.cumsum(pc.list_value_length(split).to_numpy())[:-1]])
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """Ids and texts, null ones empty, in portions of at most ``AT_ONCE`` bytes or one longer text."""
     for batch in batches:
-        docs, texts, n, first = batch.column("doc_id").to_pylist(), [], 0, 0
-        for i, t in enumerate(batch.column("text"), 1):
-            texts.append(t.as_py() or "")
-            n += len(texts[-1])
-            if n >= AT_ONCE or i == len(docs):
-                yield docs[first:i], texts
-                texts, n, first = [], 0, i
+        docs, texts, a = batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text"), ""), 0
+        ends = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64))
+        while a < len(docs):
+            z = max(a + 1, int(np.searchsorted(ends, ends[a] + AT_ONCE, side="right")) - 1)
+            yield docs[a:z], texts.slice(a, z - a)
+            a = z
 
 
 def _pages(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known, shard, end = WordIds(path), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        known, shard, end = WordIds(path), TaskContext.get().partitionId(), np.array([end_id], "<u4")
         schema = pa.schema([("shard", pa.int32()), ("page", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
                             ("lengths", pa.list_(pa.int64())), ("offsets", pa.binary()), ("words", pa.binary())])
         ids, lengths, held, page, first = [], [], [], 0, 0
 
         def closed() -> pa.RecordBatch:
             nonlocal page, first, ids, lengths, held
-            flat = np.frombuffer(b"".join(held), "<u4")
+            flat = np.concatenate(held)
             words, offsets = pack(flat)
             row = [[shard], [page], [first], [len(flat)], [ids], [lengths], [offsets.astype("<u4").tobytes()], [words.astype("<u8").tobytes()]]
             page, first, ids, lengths, held = page + 1, first + len(flat), [], [], []
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
 
         n = 0
-        for doc_id, encoded in ((i, e + end) for docs, texts in _portions(batches) for i, e in zip(docs, known.encode(texts))):
-            if n and n + len(encoded) // 4 > PAGE:
+        for doc_id, encoded in ((i, e) for docs, texts in _portions(batches) for i, e in zip(docs, known.encode(texts))):
+            size = len(encoded) + 1
+            if n and n + size > PAGE:
                 yield closed()
                 n = 0
             ids.append(doc_id)
-            lengths.append(len(encoded) // 4)
-            held.append(encoded)
-            n += len(encoded) // 4
+            lengths.append(size)
+            held += [encoded, end]
+            n += size
         if n:
             yield closed()
 

@@ -415,3 +415,60 @@ def test_token_files(spark, odd, empty, tmp_path):
     assert {(r["start"], r["ids_crc32"]) for r in digests} == {(r["start"], zlib.crc32(np.array(r["ids"], "<u4").tobytes())) for r in got}
     tokens.write_tokens(empty, f"{tmp_path}/e", path, end_id=1)
     assert tokens.read_tokens(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_letters_and_signs_are_encoded_once(monkeypatch):
+    import pyarrow as pa
+
+    path = tokenizer_file("word_bpe_49k.json")
+    learnt, learn = [], tokens.WordIds.learn
+    monkeypatch.setattr(tokens.WordIds, "learn", lambda self, pieces: (learnt.extend(pieces), learn(self, pieces))[1])
+    known = tokens.WordIds(path)
+    known.forget()
+    texts = ["Quokkaß quokkaß, QUOKKAß!\tquokkaß\nQuokkaß,", "Éçuh?! éÇUH ?!", "", " \x0b\r\n "]
+    assert [x.tobytes() for x in known.encode(pa.array(texts))] == [known.whole(t) for t in texts]
+    assert sorted(learnt) == ["!", ",", "?!", "quokkaß", "éçuh"]
+
+
+@pytest.mark.parametrize("remembered", [8, 1000])
+def test_pieces_agree_with_whole_texts(monkeypatch, remembered):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+    known = tokens.WordIds(tokenizer_file("word_bpe_49k.json"))
+    odd = ["it's", "'s", "don't.", "'", "a'b,c", "x1y2.", "<|endoftext|>", "Foo<|endoftext|>bar", "<|", "|>", "endoftext|>", "a_b", "_", "\\[`{", "A\x1cb\x1f.", "b\x85C", "\xa0d\u3000", "e\u0301.",
+           "\u0301E", "\u212b", "İ", "ΣΑΣ.", "ſ", "ǅ!", "ª", "º.", "µ", "×÷", "ÿÞ", "ẞ", "ﬁ", "漢字。", "한글!", "कि", "😀👍🏽", "\0", "\ufeffa", "e\u0327\u0301", "\u1100\u1161", "½²", "٣", "\u200db", "$$$", "A" * 300]
+    r = np.random.default_rng(5)
+    texts = ["".join(w + s for w, s in zip(r.choice(odd, n), r.choice([" ", "\n", "\t\t", "  ", "\x0b", "\x0c", "\r\n"], n))) for n in r.integers(0, 60, 300)] + odd
+    for kind in (pa.string(), pa.large_string()):
+        assert [x.tobytes() for x in known.encode(pa.array(texts, kind).slice(3))] == [known.whole(t) for t in texts[3:]]
+
+
+def test_tokenizers_with_other_rules_keep_words_whole(tmp_path):
+    import pyarrow as pa
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    found = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    found.normalizer = normalizers.NFC()
+    found.save(f"{tmp_path}/cased.json")
+    found = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    found.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    found.save(f"{tmp_path}/joined.json")
+    found = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    found.add_tokens(["quok", "ka!"])
+    found.save(f"{tmp_path}/added.json")
+    texts = ["Quokka! quokka, QUOKKA", "ka!ka!", ""]
+    for name in ("cased", "joined", "added"):
+        known = tokens.WordIds(f"{tmp_path}/{name}.json")
+        assert not known.folds
+        assert [x.tobytes() for x in known.encode(pa.array(texts))] == [known.whole(t) for t in texts]
+
+
+def test_portions_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "AT_ONCE", 10)
+    texts = ["é" * 4, None, "ab", "c", "d" * 30, "", "e" * 11, "f"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + len(x)), pa.int64()), pa.array(x, pa.string())], names=["doc_id", "text"]) for k, x in ((0, texts[:3]), (3, texts[3:]), (8, []))]
+    assert [(docs, part.to_pylist()) for docs, part in tokens._portions(iter(batches))] == [
+        ([0, 1, 2], ["é" * 4, "", "ab"]), ([3], ["c"]), ([4], ["d" * 30]), ([5], [""]), ([6], ["e" * 11]), ([7], ["f"])]
