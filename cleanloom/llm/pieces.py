@@ -13,8 +13,10 @@ import heapq
 import random
 import re
 import zlib
-from collections.abc import Iterator
-from math import exp, expm1, inf, log
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
+from itertools import compress, count, islice
+from math import exp, expm1, inf, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,10 @@ from .common import beside, kept_in_worker
 from .hashing import GOLD, mix, uniform
 
 SPACE = "▁"
-#: Bytes of prepared lattices a worker remembers before it starts anew, and characters it works on at once (or one longer text).
+#: Bytes of prepared lattices a worker remembers before it forgets rare words, and characters it works on at once (or one longer text).
 REMEMBERED, AT_ONCE = 64_000_000, 400_000
-#: Bytes of an edge, of a node, and of a word with its place in the table of words, about.
-EDGE, NODE, WORD = 16, 4, 160
+#: Bytes of an edge, and of a word with its place in the table of words, about.
+EDGE, WORD = 16, 170
 
 
 class Vocabulary:
@@ -48,7 +50,7 @@ class Vocabulary:
         floor = min(weigh(s) for s in scores)
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
-        self.raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        self.raw = pa.array([bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)], pa.large_binary())
         self.unknown, self.byte_weight = sp.unk_id(), floor / temperature
         self.weights = {self.pieces[i]: (i, weigh(scores[i]) / temperature) for i in range(n)
                         if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
@@ -64,12 +66,20 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids; bytes that are no UTF-8 become replacement characters."""
-        text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, found: Sequence[np.ndarray]) -> list[str]:
+        """The text of each array of ids; the bytes of all of them are joined at once."""
+        _, offsets, data = self.raw.take(pa.array(np.concatenate([*found, np.zeros(0, np.int32)]))).buffers()
+        stops = np.frombuffer(offsets, np.int64)[np.cumsum([0, *map(len, found)])].tolist()
+        data = memoryview(data or b"")
+        texts = [str(data[a:z], "utf-8", "replace") for a, z in zip(stops, stops[1:])]
+        return [t[1:] if t[:1] == " " else t for t in texts]
 
 
 class Lattices:
-    """Lattices of words side by side in arrays. A node is a place in a word; its edges lie in a row, longest piece first.
+    """Lattices of words side by side in arrays. The edges of a word lie together, place by place, those of a place longest piece
+    first; a place is known by its first edge.
 
     New words are prepared together: one walk down a trie of the pieces for all their places at once, then backward sums over all
     paths to the word's end, for all words by the distance from the end.
@@ -88,7 +98,8 @@ class Lattices:
             state_of[p] = len(children)
             children.append({})
         # a target is an inner state or, below zero, a piece that nothing longer begins with
-        self.table = np.zeros((len(children), len(alphabet) + 1), np.int32)
+        self.width = len(alphabet) + 1
+        self.table = np.zeros((len(children), self.width), np.int32)
         self.ends = np.full(len(children), -1, np.int32)  # piece that ends at an inner state
         for p in inner:
             self.table[state_of[p[:-1]], self.letter[ord(p[-1])]] = state_of[p]
@@ -108,11 +119,12 @@ class Lattices:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.nodes = self.edges = 0
-        self.first = np.zeros(1 << 16, np.int32)  # first edge of a node, -1 at the end of a word
-        self.upto = np.zeros(1 << 16, np.float32)  # probability of an edge and those before it in its node, 2 for the last
-        self.to = np.zeros(1 << 16, np.int32)
+        self.known: defaultdict[str, int] = defaultdict(count().__next__)  # a word's number
+        self.edges = 0
+        self.begin = np.zeros(1 << 12, np.int32)  # first edge of a word
+        self.met = np.zeros(1 << 12, np.int32)  # calls that met a word, halved whenever others are forgotten
+        self.upto = np.zeros(1 << 16, np.float32)  # probability of an edge and those before it in its place, 2 for the last
+        self.to = np.zeros(1 << 16, np.int32)  # first edge of the place it leads to, -1 at the end of a word
         self.piece = np.zeros(1 << 16, np.int32)  # piece, or below zero a character that is spelled in bytes
         self.logp = np.zeros(1 << 16, np.float32)
 
@@ -123,15 +135,38 @@ class Lattices:
                 setattr(self, name, np.concatenate([a, np.zeros(max(n, len(a) * 5 // 4) - len(a), a.dtype)]))
 
     def starts(self, words: list[str]) -> np.ndarray:
-        """First node of each word. Words that are new are prepared; when too many are remembered, all but these are forgotten."""
-        distinct = set(words)
-        new = distinct.difference(self.known)
-        if new and EDGE * self.edges + NODE * self.nodes + WORD * len(self.known) > REMEMBERED:
-            self.reset()
-            new = distinct
-        if new:
-            self._prepare(list(new))
-        return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        """First edge of each word. Words that are new are prepared; when too many are remembered, rare ones are forgotten before."""
+        if EDGE * self.edges + WORD * len(self.known) > REMEMBERED:
+            self._forget()
+        before = len(self.known)
+        try:
+            numbers = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            if len(self.known) > before:
+                self._prepare(list(islice(self.known, before, None)))
+        except BaseException:
+            self.reset()  # no word may be known without its edges
+            raise
+        self.met[numbers] += 1  # once, however often a word is among these
+        return self.begin[numbers]
+
+    def _forget(self) -> None:
+        """Forgets the words met by the fewest calls, so that those left take half the room at most."""
+        n = len(self.known)
+        held = np.diff(np.append(self.begin[:n], self.edges))
+        room = np.bincount(self.met[:n], EDGE * held + WORD)
+        stays = self.met[:n] >= np.flatnonzero(np.append(np.cumsum(room[::-1])[::-1], 0) <= REMEMBERED / 2)[0]
+        edge, gone = np.repeat(stays, held), np.cumsum(np.where(stays, 0, held))
+        self.to[:self.edges] -= np.where(self.to[:self.edges] < 0, 0, np.repeat(gone, held)).astype(np.int32)
+        for name in ("upto", "to", "piece", "logp"):
+            a = getattr(self, name)
+            left = a[:self.edges][edge]
+            if EDGE * len(a) > 2 * REMEMBERED:  # grown by one very long text
+                setattr(self, name, left)
+            else:
+                a[:len(left)] = left
+        self.edges, m = int(edge.sum()), int(stays.sum())
+        self.begin, self.met = (self.begin[:n] - gone)[stays], self.met[:n][stays] >> 1
+        self.known = defaultdict(count(m).__next__, zip(compress(self.known, stays.tolist()), range(m)))
 
     def _prepare(self, words: list[str]) -> None:
         v = self.vocabulary
@@ -145,70 +180,81 @@ class Lattices:
         single = self.single[codes]
         spelled = np.fromiter((len(v.bytes) == 256 and len(chr(c).encode("utf-8", "surrogatepass")) or 1 for c in codes[single < 0].tolist()), np.float64)
         own = np.where(single >= 0, single, np.where((codes < 128) & (len(v.bytes) == 256), self.ascii[np.minimum(codes, 127)], -codes - 1))
-        source, target, piece = [place], [place + 1], [own]
+        source, target, piece, rank = [place], [place + 1], [own], [np.zeros(len(codes), np.int64)]
         weight = [self.weight[np.maximum(single, 0)]]
         weight[0][single < 0] = spelled * v.byte_weight
-        at, state = place, self.table[0, letters]
+        held = np.ones(len(codes), np.int64)  # edges of a place
+        table = self.table.ravel()
+        at, state = place, table[letters]
         at, state = at[state > 0], state[state > 0]
         length = 1
         while len(at):
-            inside = left[at] > length
+            inside = np.flatnonzero(left[at] > length)
             at, state = at[inside], state[inside]
-            state = self.table[state, letters[at + length]]
+            state = table[state.astype(np.int64) * self.width + letters[at + length]]
             length += 1
-            going = state != 0
+            going = np.flatnonzero(state)
             at, state = at[going], state[going]
             found = np.where(state < 0, -state - 1, self.ends[np.maximum(state, 0)])
-            hit = found >= 0
-            source.append(at[hit]), target.append(at[hit] + length), piece.append(found[hit]), weight.append(self.weight[found[hit]])
-            at, state = at[state > 0], state[state > 0]
-        source, target, piece, weight = (np.concatenate(x[::-1]) for x in (source, target, piece, weight))
-        order = np.lexsort((source, left[source]))  # by distance from the word's end, then by place; longest piece first
-        source, target, piece, weight = source[order], target[order], piece[order], weight[order]
-        distance = left[source]
-        cuts = np.searchsorted(distance, np.arange(1, int(distance[-1]) + 2))
-        begins = np.flatnonzero(np.concatenate([[True], source[1:] != source[:-1]]))
-        held = np.diff(np.append(begins, len(source)))
-        node_cuts = np.searchsorted(begins, cuts)
-        beta = np.zeros(len(codes) + 1)
-        logp = np.zeros(len(source))
-        closing = target == end[source]
-        for a, z, b, y in zip(cuts, cuts[1:], node_cuts, node_cuts[1:]):
+            hit = np.flatnonzero(found >= 0)
+            here, found = at[hit], found[hit]
+            source.append(here), target.append(here + length), piece.append(found), weight.append(self.weight[found]), rank.append(held[here])
+            held[here] += 1
+            going = np.flatnonzero(state > 0)
+            at, state = at[going], state[going]
+        source, target, piece, weight, rank = map(np.concatenate, (source, target, piece, weight, rank))
+        # sums need the edges by distance from the word's end, then by place; longest piece first
+        order = np.argsort(left.astype(np.uint16) if len(left) and left.max() < 1 << 16 else left, kind="stable")
+        many = held[order]
+        begins = np.cumsum(many) - many
+        slot = np.empty(len(codes), np.int64)
+        slot[order] = begins
+        slot = slot[source] + held[source] - 1 - rank
+        word = np.repeat(np.arange(len(words)), size)
+        sorted_target, sorted_piece, sorted_weight = np.empty(len(slot), np.int64), np.empty(len(slot), np.int32), np.empty(len(slot))
+        sorted_target[slot], sorted_piece[slot], sorted_weight[slot] = target + word[source], piece, weight
+        distance = left[order]
+        node_cuts = np.searchsorted(distance, np.arange(1, int(distance[-1]) + 2))
+        cuts = np.append(begins, len(slot))[node_cuts]
+        beta = np.zeros(len(codes) + len(words))  # of the places, each word with one more for its end
+        node = order + word[order]
+        logp = np.zeros(len(slot))
+        for a, z, b, y in zip(cuts.tolist(), cuts[1:].tolist(), node_cuts.tolist(), node_cuts[1:].tolist()):
             if a == z:
                 continue
-            x = weight[a:z] + np.where(closing[a:z], 0.0, beta[target[a:z]])
-            group, many = begins[b:y] - a, held[b:y]
+            x = sorted_weight[a:z] + beta[sorted_target[a:z]]
+            group, m = begins[b:y] - a, many[b:y]
             top = np.maximum.reduceat(x, group)
-            total = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, many)), group))
-            beta[source[begins[b:y]]] = total
-            logp[a:z] = x - np.repeat(total, many)
-        p = np.cumsum(np.exp(logp))
-        p -= np.repeat(p[begins] - np.exp(logp[begins]), held)
-        p[begins + held - 1] = 2.0
-        # nodes: the places, each word with one more for its end
-        shift = np.repeat(np.arange(len(words)), size)
-        n, e = self.nodes + len(codes) + len(words), self.edges + len(source)
-        self._room(("first",), n)
+            total = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, m)), group))
+            beta[node[b:y]] = total
+            logp[a:z] = x - np.repeat(total, m)
+        p = np.exp(logp)
+        p, alone = np.cumsum(p), p[begins]
+        p -= np.repeat(p[begins] - alone, many)
+        p[begins + many - 1] = 2.0
+        # in the arrays the edges lie by place
+        n, e = len(self.known), self.edges + len(slot)
+        first = self.edges + np.cumsum(held) - held
+        after = np.full(len(beta), -1, np.int32)
+        after[node] = first[order]
+        lies = np.repeat(first[order] - begins, many) + np.arange(len(slot))
+        self._room(("begin", "met"), n)
         self._room(("upto", "to", "piece", "logp"), e)
-        self.first[self.nodes + ends + np.arange(len(words))] = -1
-        own = source[begins]
-        self.first[self.nodes + own + shift[own]] = self.edges + begins
-        self.upto[self.edges:e], self.piece[self.edges:e], self.logp[self.edges:e] = p, piece, logp
-        self.to[self.edges:e] = self.nodes + target + shift[source]
-        self.known.update(zip(words, (self.nodes + ends - size + np.arange(len(words))).tolist()))
-        self.nodes, self.edges = n, e
+        self.upto[lies], self.to[lies], self.piece[lies], self.logp[lies] = p, after[sorted_target], sorted_piece, logp
+        self.begin[n - len(words): n] = first[ends - size]
+        self.edges = e
 
     def sample(self, at: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A path to the end of the word from each node, drawn by the bits: the edges, word after word, and how many each has."""
+        """A path to the end of the word from each place, drawn by the bits: the edges, word after word, and how many each has."""
         n = len(at)
         counts, word, steps = np.zeros(n, np.int64), np.arange(n), []
-        e = self.first[at]
-        while True:
+        e = np.array(at)
+        while len(e):
             going = e >= 0
             if not going.all():
+                counts[word[~going]] = len(steps)
+                going = np.flatnonzero(going)
                 word, e, bits = word[going], e[going], bits[going]
-            if not len(e):
-                break
             bits = mix(bits + GOLD)
             u = uniform(bits).astype(np.float32)
             over = np.flatnonzero(u >= self.upto[e])
@@ -216,8 +262,7 @@ class Lattices:
                 e[over] += 1
                 over = over[u[over] >= self.upto[e[over]]]
             steps.append((word, e))
-            counts[word] += 1
-            e = self.first[self.to[e]]
+            e = self.to[e]
         offset = np.cumsum(counts) - counts
         out = np.zeros(int(counts.sum()), np.int32)
         for s, (word, e) in enumerate(steps):
@@ -262,7 +307,10 @@ class _Search:
             self.number += 1
 
     def value_under(self, location: float, bound: float) -> float:
-        return float(_under(location, bound, self.random.random() or 0.5)) if location > -inf else -inf
+        if location == -inf:
+            return -inf
+        x, y = -bound, log(-log(self.random.random() or 0.5)) - location  # as _under has it
+        return -max(x, y) - log1p(exp(-abs(x - y)))
 
     def head(self, path: int) -> None:
         """The best of a path's regions 'another segmentation of word i, the words before it as they are'."""
@@ -284,7 +332,8 @@ class _Search:
         return mass
 
     def next(self) -> tuple | None:
-        """The next path as far as the word in which it leaves an older one, or None if there is none left."""
+        """The next path as far as the edge by which it leaves an older one, and the bits that draw the rest of that word, or None if
+        there is none left."""
         lattices, logp = self.lattices, self.lattices.logp
         while self.heap:
             value, _, kind, path, i, *more = heapq.heappop(self.heap)
@@ -309,8 +358,7 @@ class _Search:
                 banned, done = (own[j],), upto[j]
             else:
                 j, done, banned = more
-            node = int(self.start[i]) if not j else int(lattices.to[own[j - 1]])
-            a = z = int(lattices.first[node])
+            a = z = int(lattices.to[own[j - 1]]) if j else int(self.start[i])
             while lattices.upto[z] < 1.5:
                 z += 1
             free = [e for e in range(a, z + 1) if e not in banned]
@@ -319,8 +367,7 @@ class _Search:
             taken = self.random.choices(free, [exp(float(logp[e])) for e in free])[0] if len(free) > 1 else free[0]
             if len(free) > 1:
                 self.leave(path, i, j, done, (*banned, taken), value)
-            tail, _ = lattices.sample(lattices.to[[taken]], np.array([self.random.getrandbits(64)], np.uint64))
-            return value, path, i, begin, own[:j], done, taken, tail
+            return value, path, i, begin, own[:j], done, taken, self.random.getrandbits(64)
         return None
 
 
@@ -342,13 +389,13 @@ def segment(texts: list[str], keys: list[int], lattices: Lattices, k: int) -> li
     todo = [(d, -1, 0.0, -log(-log(searches[d].random.random() or 0.5)), None) for d in range(len(texts)) if sizes[d]]
     for turn in range(k):
         if turn:
-            todo = []
-            for d, s in enumerate(searches):
-                if len(s.found) == turn and (following := s.next()):
-                    value, path, i, begin, own, done, taken, tail = following
-                    edges, ends, before = s.paths[path][:3]
-                    sofar = float(before[i]) + done + float(lattices.logp[taken]) + float(lattices.logp[tail].sum(dtype=np.float64))
-                    todo.append((d, i, sofar, value, following))
+            leaving = [(d, x) for d, s in enumerate(searches) if len(s.found) == turn and (x := s.next())]
+            tails, stops = lattices.sample(lattices.to[[x[-2] for _, x in leaving]], np.array([x[-1] for _, x in leaving], np.uint64))
+            stops, todo = np.cumsum(stops).tolist(), []
+            for (d, (value, path, i, begin, own, done, taken, _)), a, z in zip(leaving, [0, *stops], stops):
+                tail = tails[a:z]
+                sofar = float(searches[d].paths[path][2][i]) + done + float(lattices.logp[taken]) + float(lattices.logp[tail].sum(dtype=np.float64))
+                todo.append((d, i, sofar, value, (path, begin, own, done, taken, tail)))
         if not todo:
             break
         many = np.array([sizes[t[0]] - t[1] - 1 for t in todo])
@@ -372,7 +419,7 @@ def segment(texts: list[str], keys: list[int], lattices: Lattices, k: int) -> li
             edges, ends, earlier = drawn[lo:hi] if n else drawn[:0], stops[a: a + n] - lo, before[a: a + n]
             total = float(earlier[-1] + per_word[a + n - 1]) if n else begun
             if following:
-                _, path, _, begin, own, done, taken, tail = following
+                path, begin, own, done, taken, tail = following
                 old_edges, old_ends, old_before = s.paths[path][:3]
                 here = begin + len(own) + 1 + len(tail)
                 edges = np.concatenate([old_edges[:begin], np.array([*own, taken], np.int32), tail, edges])
@@ -422,11 +469,13 @@ def sampled(docs: DataFrame, model: str, k: int = 2, row_id: str = "doc_id", tex
                     held, first, n = [], i + 1, 0
 
     def rows(batch: pa.RecordBatch, texts: list[str], keys: list[int], lattices: Lattices) -> pa.RecordBatch:
-        v, at, out = lattices.vocabulary, [], []
-        for i, (t, found) in enumerate(zip(texts, segment(texts, keys, lattices, k))):
+        at, out, all_found = [], [], segment(texts, keys, lattices, k)
+        decoded = iter(lattices.vocabulary.decode_all([ids for found in all_found for ids, _, _ in found]))
+        for i, (t, found) in enumerate(zip(texts, all_found)):
+            plain = t.replace(SPACE, " ")
             for s, (ids, lp, inclusion) in enumerate(found, 1):
                 at.append(i)
-                out.append((s, len(ids), lp, inclusion, zlib.crc32(ids.astype("<u4").tobytes()) if digest else ids, v.decode(ids) == t.replace(SPACE, " ")))
+                out.append((s, len(ids), lp, inclusion, zlib.crc32(ids.astype("<u4").tobytes()) if digest else ids, next(decoded) == plain))
         columns = list(zip(*out)) or [()] * 6
         kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int64() if digest else pa.list_(pa.int32()), pa.bool_())
         return pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at, pa.int64())), *[pa.array(c, x) for c, x in zip(columns, kinds)]],

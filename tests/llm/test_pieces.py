@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pytest
 
+from cleanloom.llm import pieces
 from cleanloom.llm.pieces import SPACE, Lattices, Vocabulary, sampled, segment
 from cleanloom.llm.workload import tokenizer_file
 
@@ -73,6 +74,30 @@ def test_draws_do_not_depend_on_neighbours(lattices):
         assert [x.tolist() for x, _, _ in a] == [x.tolist() for x, _, _ in b]
 
 
+@pytest.mark.parametrize("room", [0, 200_000])
+def test_frequent_words_are_prepared_once(monkeypatch, lattices, room):
+    """When the room for prepared words is full, those met again and again stay, and the samples are those of new lattices."""
+    prepared, prepare = collections.Counter(), Lattices._prepare
+    kept = Lattices(lattices.vocabulary)
+    monkeypatch.setattr(pieces, "REMEMBERED", room)
+    monkeypatch.setattr(kept, "_prepare", lambda words: (prepared.update(words), prepare(kept, words))[1])
+    common = [f"common{i * 7919 % 1000}é" for i in range(40)]
+    for n in range(30):
+        texts = [" ".join([*common, *(f"rare{n}word{i}" for i in range(j, j + 50))]) for j in (0, 50)]
+        got, want = (segment(texts, [n, n + 1], x, 3) for x in (kept, Lattices(lattices.vocabulary)))
+        assert [[(x.tolist(), *scores) for x, *scores in found] for found in got] == [[(x.tolist(), *scores) for x, *scores in found] for found in want]
+        assert not room or pieces.EDGE * kept.edges + pieces.WORD * len(kept.known) < 2 * room
+    again = {prepared[SPACE + w] for w in common}
+    assert again == ({1} if room else {30}) and len(prepared) == 40 + 30 * 100
+
+
+def test_decoding_many_at_once(lattices):
+    v, texts = lattices.vocabulary, ["", "a b", "", " É語 😀\n", "x"]
+    ids = [found[0][0] for found in segment(texts, [1, 2, 3, 4, 5], lattices, 2)]
+    assert v.decode_all(ids) == texts and v.decode_all([]) == [] and v.decode_all(ids[:1]) == [""]
+    assert v.decode_all([np.array([v.bytes[0xC3]]), np.array([v.bytes[0xA9]])]) == ["\ufffd"] * 2  # halves of a letter stay apart
+
+
 def test_decoding_agrees_with_the_library(lattices):
     import sentencepiece
 
